@@ -75,6 +75,6 @@ def get_scenario(spark: SparkSession, scenario: str) -> DataFrame:
 def scenario_counts(access: DataFrame, txns: DataFrame) -> DataFrame:
     """Transactions found per catalogued scenario beside the catalogue's expected events."""
     found = txns.groupBy(F.lower("scenario").alias("scenario_id")).agg(F.count(F.lit(1)).alias("found_events"))
-    return (F.broadcast(scenario_catalogue(txns.sparkSession)).join(found, "scenario_id", "left")
+    return (scenario_catalogue(txns.sparkSession).join(found, "scenario_id", "left")
             .select("scenario_id", "title", "expected_events", "recommended_speed",
                     F.coalesce("found_events", F.lit(0)).alias("found_events")))
