@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tracewell.operators.ordering import Order, null_safe_join, positions, spread_positions
+from tracewell.operators.ordering import Order, null_safe_join, spread_positions
 from tracewell.session import plan_bytes, setting
 
 HOT_ROWS = 5_000_000
@@ -76,16 +76,14 @@ def ordered_blocks(df: DataFrame, by: list[str], order: Order, reach: int) -> Bl
     if hot is None:
         return Blocks(df, by, list(order), False)
     size = max(setting(df.sparkSession, "blockRows", 1_000_000), reach + 1)
-    place = F.col("_n") - 1
+    place = F.col("_row_at") - 1
     first = F.floor(place / size).cast("long")
     last = F.floor((place + reach) / size).cast("long")
-    cut = (spread_positions(hot, by, order, "_n")
+    cut = (spread_positions(hot, by, order, "_row_at")
            .withColumn("_home", first)
            .withColumn("_block", F.explode(F.sequence(first, last)))
            .withColumn("_repeat", F.col("_block") != F.col("_home"))
-           .drop("_n", "_home"))
+           .drop("_row_at", "_home"))
     whole = cold.withColumn("_block", F.lit(-1).cast("long")).withColumn("_repeat", F.lit(False))
     return Blocks(whole.unionByName(cut), by, list(order), True)
 
-
-__all__ = ["HOT_ROWS", "Blocks", "hot_keys", "numbered", "ordered_blocks", "positions", "split_by_heat"]
