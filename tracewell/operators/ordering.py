@@ -38,25 +38,25 @@ def _fixed_order(df: DataFrame, by: list[str], order: Order) -> DataFrame:
     parts = setting(spark, "orderPartitions", int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.col(c) for c in by] + [as_col(c) for c in order]
     placed = (df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-              .withColumn("_mid", F.monotonically_increasing_id()))
+              .withColumn("_ord_mid", F.monotonically_increasing_id()))
     fixed = checkpointed(placed)
-    return (fixed.withColumn("_part", F.shiftright("_mid", _POSITION_BITS))
-            .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))))
+    return (fixed.withColumn("_ord_part", F.shiftright("_ord_mid", _POSITION_BITS))
+            .withColumn("_ord_pos", F.col("_ord_mid").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))))
 
 
 def spread_positions(df: DataFrame, by: list[str], order: Order, name: str) -> DataFrame:
     """The partition-wise form of :func:`positions`."""
     fixed = _fixed_order(df, by, order)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_ord_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range partition.
-    starts = (fixed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-              .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")))
-    out = (fixed.join(F.broadcast(starts), "_part")
-           .withColumn(name, F.col("_start") + F.col("_pos") + 1)
-           .drop("_part", "_pos", "_mid", "_start"))
+    starts = (fixed.groupBy("_ord_part").agg(F.count(F.lit(1)).alias("_ord_rows"))
+              .select("_ord_part", F.coalesce(F.sum("_ord_rows").over(before), F.lit(0)).alias("_ord_start")))
+    out = (fixed.join(F.broadcast(starts), "_ord_part")
+           .withColumn(name, F.col("_ord_start") + F.col("_ord_pos") + 1)
+           .drop("_ord_part", "_ord_pos", "_ord_mid", "_ord_start"))
     if by:
-        firsts = out.groupBy(*by).agg(F.min(name).alias("_first"))
-        out = null_safe_join(out, firsts, by).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first")
+        firsts = out.groupBy(*by).agg(F.min(name).alias("_ord_first"))
+        out = null_safe_join(out, firsts, by).withColumn(name, F.col(name) - F.col("_ord_first") + 1).drop("_ord_first")
     return out
 
 
@@ -75,19 +75,19 @@ def spread_running(df: DataFrame, by: list[str], order: Order, aggs: dict[str, t
     """The partition-wise form of :func:`running`."""
     fixed = _fixed_order(df, by, order)
     inputs = fixed.select("*", *[col.alias(f"_in_{n}") for n, (_, col) in aggs.items()])
-    local = Window.partitionBy("_part", *by).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-    prior = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy("_ord_part", *by).orderBy("_ord_mid").rowsBetween(Window.unboundedPreceding, 0)
+    prior = Window.partitionBy(*by).orderBy("_ord_part").rowsBetween(Window.unboundedPreceding, -1)
     totals, carries, finals = [], [], []
     for n, (kind, _) in aggs.items():
         src = F.col(f"_in_{n}")
         if kind == "last":
-            totals.append(F.max_by(src, F.when(src.isNotNull(), F.col("_mid"))).alias(f"_t_{n}"))
+            totals.append(F.max_by(src, F.when(src.isNotNull(), F.col("_ord_mid"))).alias(f"_t_{n}"))
             carries.append(F.last(f"_t_{n}", ignorenulls=True).over(prior).alias(f"_c_{n}"))
         else:
             totals.append(_LOCAL[kind](src).alias(f"_t_{n}"))
             carries.append(_LOCAL[kind](f"_t_{n}").over(prior).alias(f"_c_{n}"))
     # One row per group and range partition it touches.
-    carried = inputs.groupBy("_part", *by).agg(*totals).select("_part", *by, *carries)
+    carried = inputs.groupBy("_ord_part", *by).agg(*totals).select("_ord_part", *by, *carries)
     for n, (kind, _) in aggs.items():
         here, there = F.col(f"_l_{n}"), F.col(f"_c_{n}")
         if kind == "sum":
@@ -99,7 +99,7 @@ def spread_running(df: DataFrame, by: list[str], order: Order, aggs: dict[str, t
         finals.append(both.alias(n))
     run = [(F.last(f"_in_{n}", ignorenulls=True) if kind == "last" else _LOCAL[kind](f"_in_{n}")).over(local).alias(f"_l_{n}")
            for n, (kind, _) in aggs.items()]
-    joined = null_safe_join(inputs.select("*", *run), carried, ["_part", *by])
+    joined = null_safe_join(inputs.select("*", *run), carried, ["_ord_part", *by])
     return joined.select(*df.columns, *finals)
 
 
@@ -119,10 +119,10 @@ def previous_value(df: DataFrame, order: Order, col: str, name: str) -> DataFram
     if fits_one_task(df):
         return df.withColumn(name, F.lag(col).over(Window.partitionBy(F.lit(0)).orderBy(*order)))
     fixed = _fixed_order(df, [], order)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (fixed.groupBy("_part").agg(F.max_by(F.struct(F.col(col).alias("v")), F.col("_mid")).alias("_tail"))
-               .select("_part", F.last("_tail").over(before).alias("_carry")))
-    inside = Window.partitionBy("_part").orderBy("_mid")
-    return (fixed.join(F.broadcast(carried), "_part")
-            .withColumn(name, F.when(F.col("_pos") == 0, F.col("_carry.v")).otherwise(F.lag(col).over(inside)))
-            .drop("_part", "_pos", "_mid", "_carry"))
+    before = Window.orderBy("_ord_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (fixed.groupBy("_ord_part").agg(F.max_by(F.struct(F.col(col).alias("v")), F.col("_ord_mid")).alias("_tail"))
+               .select("_ord_part", F.last("_tail").over(before).alias("_carry")))
+    inside = Window.partitionBy("_ord_part").orderBy("_ord_mid")
+    return (fixed.join(F.broadcast(carried), "_ord_part")
+            .withColumn(name, F.when(F.col("_ord_pos") == 0, F.col("_carry.v")).otherwise(F.lag(col).over(inside)))
+            .drop("_ord_part", "_ord_pos", "_ord_mid", "_carry"))

@@ -1 +1,11 @@
 """Registered queries and the SQL each one is checked against."""
+
+from importlib import import_module
+
+MODULES = ["link_plans"]
+
+
+def load_plans() -> None:
+    """Imports every plan module, which registers its queries."""
+    for name in MODULES:
+        import_module(f"tracewell.plans.{name}")

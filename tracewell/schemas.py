@@ -24,10 +24,13 @@ EVENTS = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
 ])
 
-REASON = T.StructType([
-    T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType()),
-    T.StructField("shap_contribution", T.DoubleType()), T.StructField("explanation", T.StringType()),
-])
+# Rows kept per key by the burst buffer, and what it emits.
+BURST_BUFFER = _s(transaction_id="s", timestamp="t", amount="d")
+BURST_OUT = _s(account_id="s", slice="l", transaction_id="s", timestamp="t", amount="d",
+               cluster_count="i", aggregate_amount="d").add("rule_matched", T.BooleanType())
+
+# One line of a replayed event stream.
+EVENT_LINES = _s(topic="s", payload="s", timestamp="t", topic_rank="i", event_key="s")
 
 # Replaces a missing key of an event.
 DEFAULTS = {

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Functions that run in Python workers travel with the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules["tracewell"])
+
 # Inputs whose estimated size is below this may be handled by one task or broadcast.
 SINGLE_TASK_BYTES = 64 << 20
 
