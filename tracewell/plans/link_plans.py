@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell import constants as C
+from tracewell.functions.columns import role_allows
 from tracewell.operators import links as L
-from tracewell.operators import structuring as B
+from tracewell.operators.skew import ordered_blocks
+from tracewell.operators.stats import group_mode
 from tracewell.plans.registry import access, query, r, txns
 
 GAP_US = "abs(epoch_us(t.timestamp) - epoch_us(a.timestamp))"
@@ -121,8 +123,6 @@ def prior_access_flags(spark, d):
   select transaction_id, amount, count(*) over w as n, avg(amount) over w as m, stddev_pop(amount) over w as s from transactions
   window w as (partition by account_id order by timestamp, transaction_id rows between 20 preceding and 1 preceding))""", "t")
 def buffer_zscore(spark, d):
-    from tracewell.operators.skew import ordered_blocks
-
     b = ordered_blocks(txns(spark, d), ["account_id"], ["timestamp", "transaction_id"], reach=20)
     past = F.collect_list("amount").over(b.over.rowsBetween(-20, -1))
     return b.finish(b.df.withColumn("_past", past)).select(
@@ -131,8 +131,6 @@ def buffer_zscore(spark, d):
 
 @query("role_access_map", f"select role, account_type, {allowed()}::int as allowed, count(*) as n_rows from access_events group by all", "a")
 def role_access_map(spark, d):
-    from tracewell.functions.columns import role_allows
-
     return access(spark, d).groupBy("role", "account_type").agg(F.count(F.lit(1)).alias("n_rows")).select(
         "role", "account_type", role_allows("role", "account_type").cast("int").alias("allowed"), "n_rows")
 
@@ -141,8 +139,6 @@ def role_access_map(spark, d):
   select account_id, branch_code as branch from (select account_id, branch_code, row_number() over (partition by account_id order by count(*) desc, branch_code) as n
     from access_events group by account_id, branch_code) where n = 1) m using (account_id)""", "at")
 def account_branch_lookup(spark, d):
-    from tracewell.operators.stats import group_mode
-
     home = group_mode(access(spark, d), ["account_id"], "branch_code", "home_branch")
     return L.with_dimension(txns(spark, d).select("transaction_id", "account_id"), home, ["account_id"], {"home_branch": "BR_001"}).drop("account_id")
 
@@ -150,9 +146,7 @@ def account_branch_lookup(spark, d):
 @query("typed_bursts", """select transaction_id, count(*) filter (where amount < 50000) over w as n_below, count(*) filter (where amount >= 50000) over w as n_above
   from transactions window w as (partition by account_id order by timestamp, transaction_id rows between 19 preceding and current row)""", "t")
 def typed_bursts(spark, d):
-    from tracewell.operators.skew import ordered_blocks
-
     b = ordered_blocks(txns(spark, d), ["account_id"], ["timestamp", "transaction_id"], reach=19)
     w = b.over.rowsBetween(-19, 0)
-    return b.finish(b.df.withColumn("n_below", F.count_if(F.col("amount") < B.C.REPORTING_LIMIT).over(w))
-                    .withColumn("n_above", F.count_if(F.col("amount") >= B.C.REPORTING_LIMIT).over(w))).select("transaction_id", "n_below", "n_above")
+    return b.finish(b.df.withColumn("n_below", F.count_if(F.col("amount") < C.REPORTING_LIMIT).over(w))
+                    .withColumn("n_above", F.count_if(F.col("amount") >= C.REPORTING_LIMIT).over(w))).select("transaction_id", "n_below", "n_above")

@@ -26,6 +26,7 @@ def query(name: str, sql: str | None = None, tables: str = "", ctes: str = "") -
             prepare(spark)
             return plan(spark, sf_dir)
 
+        run.module = plan.__module__.rsplit(".", 1)[-1]
         PLANS[name] = run
         if sql is not None:
             parts = [_CTES[k] for k in tables] + ([ctes] if ctes else [])
