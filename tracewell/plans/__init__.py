@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["source_plans", "link_plans", "stats_plans", "history_plans", "graph_plans", "risk_plans"]
+MODULES = ["source_plans", "link_plans", "stats_plans", "history_plans", "graph_plans", "risk_plans", "learning_plans", "stream_plans"]
 
 
 def load_plans() -> None:

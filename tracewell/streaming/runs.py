@@ -13,6 +13,7 @@ from tracewell.sources import readers
 from tracewell.sources.slicing import STREAM_ORDER, interleave
 from tracewell.session import fresh_dir
 
+JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"  # the default keeps milliseconds only
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -57,7 +58,7 @@ def write_replay(access: DataFrame, txns: DataFrame, path: str, chunks: int = 4)
         "slice", F.coalesce(F.least(F.floor(at * chunks), F.lit(chunks - 1)), F.lit(0)).cast("int"))
     for i in range(chunks):
         (sliced.where(F.col("slice") == i).select("topic", "payload", *STREAM_ORDER)
-         .sortWithinPartitions(*STREAM_ORDER).write.json(f"{path}/slice={i:04d}"))
+         .sortWithinPartitions(*STREAM_ORDER).write.option("timestampFormat", JSON_TIME).json(f"{path}/slice={i:04d}"))
     return path
 
 
