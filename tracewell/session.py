@@ -68,7 +68,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def plan_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the result, or None where it cannot be read."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:
         return None
 
