@@ -54,16 +54,18 @@ def transaction_signals(access: DataFrame, txns: DataFrame, rings: DataFrame | N
     rows = P.profile_reasons(P.profile_score(P.profile_features(rows, mode)))
     keep = [*txns.columns, "burst_score", "burst_detected", "aggregate_amount", "burst_evidence", "cluster_count",
             "profile_score", "profile_anomalous", "profile_reasons"]
+    if rings is not None:
+        # Joined while the rows are still partitioned by account.
+        rows = rows.join(first_rings(rings), "account_id", "left")
+        due = (F.col("scenario") == "circular_transfer") & (F.col("closed_at") <= F.col("timestamp"))
+        ring = ["ring_score", "ring_path", "ring_quantum"]
+        rows = rows.withColumns({n: F.when(due, F.col(n)) for n in ring})
+        keep += ring
     acc = L.as_accesses(access)
     rows = L.match_within(L.as_payments(rows.select(*keep)), acc, "account_id", "txn_ts", "access_ts", "access_id", -w, 0, "first", "_m")
     fields = [c for c in acc.columns if c != "account_id"]
     rows = rows.select("*", *[F.col(f"_m.{c}").alias(c) for c in fields]).withColumn("_linked", F.col("_m").isNotNull())
     rows = _link_columns(rows, "_linked")
-    if rings is not None:
-        asked = F.col("scenario") == "circular_transfer"
-        rows = rows.join(first_rings(rings), "account_id", "left")
-        due = asked & (F.col("closed_at") <= F.col("txn_ts"))
-        rows = rows.withColumns({n: F.when(due, F.col(n)) for n in ("ring_score", "ring_path", "ring_quantum")})
     return rows.withColumn("timestamp", F.col("txn_ts")).withColumn("raw_event", _raw_txn("txn_ts", "txn_branch"))
 
 

@@ -15,6 +15,7 @@ from tracewell.plans.graph_plans import TARGET
 from tracewell.plans.history_plans import BURST_S, ROLE_ERROR, ROLE_LIMIT, RULE
 from tracewell.plans.link_plans import ASOF, DRIVERS, FEATURES, PAIRS, SCORED
 from tracewell.plans.registry import access, query, r, txns, us
+from tracewell.session import checkpointed
 from tracewell.sources import writers
 
 W = "partition by account_id order by timestamp, transaction_id"
@@ -186,5 +187,5 @@ def alert_neighbourhoods(spark, d):
 def telemetry(spark, d):
     a, t = access(spark, d), txns(spark, d)
     rings = D.find_rings(a, t)
-    rows = D.all_signals(a, t, rings, burst_window_s=BURST_S)
+    rows = checkpointed(D.all_signals(a, t, rings, burst_window_s=BURST_S))  # counted and turned into alerts
     return O.telemetry(a, t, L.temporal_link(a, t), rings, rows, K.build_alerts(rows, ["source", "source_id"]))

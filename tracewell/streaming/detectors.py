@@ -116,8 +116,9 @@ def alert_batch(spark: SparkSession, store: str, out: str, burst_window_s: float
                 use_label_flag: bool = True) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: stores a batch's events, scores them against what is stored, writes their alerts.
 
-    The stored tables are the state. Only accounts in the batch are read back, and rings are sought only through
-    accounts that just made a transfer. A batch that runs again overwrites its own folders.
+    The stored tables are the state: events, and per batch the transfers summed by pair, from which the current
+    digraph is merged without reading old transfers. Only accounts in the batch are read back, and rings are sought
+    only through accounts that just made a flagged transfer. A batch that runs again overwrites its own folders.
     """
     def stored(name: str, batch_id: int) -> DataFrame:
         return spark.read.parquet(f"{store}/{name}").where(F.col("batch") <= batch_id).drop("batch")
@@ -129,10 +130,12 @@ def alert_batch(spark: SparkSession, store: str, out: str, burst_window_s: float
         new_access = spark.read.parquet(f"{store}/access/batch={batch_id}")
         new_txns = spark.read.parquet(f"{store}/txns/batch={batch_id}")
         touched = new_access.select("account_id").union(new_txns.select("account_id")).distinct()
-        all_txns = stored("txns", batch_id)
+        (G.transfer_digraph(G.build_edges(new_access, new_txns))
+         .write.mode("overwrite").parquet(f"{store}/pairs/batch={batch_id}"))
         near_access = stored("access", batch_id).join(touched, "account_id", "left_semi")
-        near_txns = all_txns.join(touched, "account_id", "left_semi")
-        digraph = G.transfer_digraph(G.build_edges(new_access, all_txns))
+        near_txns = stored("txns", batch_id).join(touched, "account_id", "left_semi")
+        digraph = (stored("pairs", batch_id).groupBy("src", "dst")
+                   .agg(F.sum("amount").alias("amount"), F.sum("txn_count").alias("txn_count"), F.min("first_ts").alias("first_ts")))
         movers = new_txns.where(F.col("scenario") == "circular_transfer").select(F.col("account_id").alias("s")).distinct()
         rings = G.ring_summary(G.find_cycles(digraph, target=movers), digraph)
         signals = D.all_signals(near_access, near_txns, rings, burst_window_s=burst_window_s)
