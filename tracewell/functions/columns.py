@@ -69,7 +69,7 @@ def step_hour(step: Column | str) -> Column:
 
 def decay(ts: Column | str, ref: Column | str, lam: float = C.DECAY_LAMBDA) -> Column:
     """Time-decay weight exp(-lam * seconds before ``ref``), 1 for anything later."""
-    return F.exp(F.lit(-lam) * F.greatest(F.lit(0.0), gap_seconds(ts, ref)))
+    return F.exp(F.lit(-lam) * clip(gap_seconds(ts, ref), lo=0.0))
 
 
 def squash(x: Column | str, k: float = 5.0) -> Column:

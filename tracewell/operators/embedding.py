@@ -89,7 +89,7 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in [-1, 1]; a missing or zero vector gives 0."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     raw = F.try_divide(dot(a, b), norms)
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)), F.lit(0.0))
+    return F.when(raw.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))).otherwise(0.0)
 
 
 def similar(vecs: DataFrame, account: str, k: int = 5, min_sim: float = 0.5, prefix: str | None = "ACC_",

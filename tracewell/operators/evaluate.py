@@ -126,8 +126,8 @@ def search_deviation(df: DataFrame, label: str, score: str, by: str, lo: float =
     rows = df.select(by, label, score).join(base, by)
     # Number of multipliers k whose threshold the score exceeds.
     z = F.try_divide(F.col(score) - F.col("_mu"), F.col("_sd"))
-    guess = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(n), F.ceil((z - lo) / step).cast("int"))),
-                       F.when(F.col(score) > F.col("_mu"), n).otherwise(0))
+    guess = F.when(z.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(n), F.ceil((z - lo) / step).cast("int")))).when(
+        F.col(score) > F.col("_mu"), n).otherwise(0)
     steps = F.array(*[F.lit(k) for k in ks])
     limit = lambda i: F.col("_mu") + F.try_element_at(steps, i) * F.col("_sd")
     slot = (F.when((guess < n) & (F.col(score) > limit(guess + 1)), guess + 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell import constants as C
 from tracewell.functions import text
+from tracewell.functions.columns import clip
 from tracewell.operators.stats import minmax
 
 # Detector columns and their types; a detector that did not run has NULLs.
@@ -185,7 +186,7 @@ def dossier_composite(df: DataFrame, weights: dict[str, float] | None = None, ro
     """
     weights = weights or C.DOSSIER_WEIGHTS
     df = with_signals(df)
-    role = F.least(F.lit(1.0), F.col("role_error") / F.lit(max(0.01, role_limit))) if "role_error" in df.columns else F.lit(None).cast("double")
+    role = clip(F.col("role_error") / F.lit(max(0.01, role_limit)), hi=1.0) if "role_error" in df.columns else F.lit(None).cast("double")
     scores = {"isolation_forest": F.col("link_score"), "xgboost": F.col("profile_score"), "lstm": F.col("burst_score"), "autoencoder": role}
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     fires = {"isolation_forest": yes("link_suspicious"), "autoencoder": yes("role_anomalous"),

@@ -78,7 +78,7 @@ def role_score(df: DataFrame, thresholds: DataFrame | None = None, error: str |
     return rows.withColumns({
         "role_error": F.round(raw, 5),
         "role_anomalous": raw > limit,
-        "role_component": F.least(F.lit(1.0), F.round(raw, 5) / F.greatest(F.lit(0.01), F.round(limit, 5))),
+        "role_component": X.clip(F.round(raw, 5) / F.greatest(F.lit(0.01), F.round(limit, 5)), hi=1.0),
     })
 
 

@@ -55,7 +55,5 @@ def stream_unique(spark, d):
 @query("stream_alerts", "select alert_id, account_id, score as composite_risk_score, severity from alerts", "at", ALERTS)
 def stream_alerts(spark, d):
     run = runs.new_run(spark)
-    runs.write_replay(access(spark, d), txns(spark, d), f"{run}/events", 2)
-    each = S.alert_batch(spark, f"{run}/store", f"{run}/alerts", BURST_S)
-    runs.drain_batches(runs.read_replay(spark, f"{run}/events"), run, each)
+    runs.replay(access(spark, d), txns(spark, d), run, S.alert_batch(spark, f"{run}/store", f"{run}/alerts", BURST_S), chunks=2)
     return spark.read.parquet(f"{run}/alerts").select("alert_id", "account_id", "composite_risk_score", "severity")

@@ -49,24 +49,40 @@ def late_rows(query) -> int:
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
 
 
-def write_replay(access: DataFrame, txns: DataFrame, path: str, chunks: int = 4) -> str:
-    """Both tables as tagged JSON events in ``chunks`` consecutive time slices, written oldest first."""
+def _slices(access: DataFrame, txns: DataFrame, chunks: int) -> list[DataFrame]:
+    """The interleaved events cut into consecutive time slices, oldest first."""
     events = interleave(access, txns)
     span = events.agg(F.struct(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).alias("s"))
     at = F.try_divide(X.gap_seconds("_s.lo", "timestamp"), X.gap_seconds("_s.lo", "_s.hi"))
     sliced = events.withColumn("_s", span.scalar()).withColumn(
         "slice", F.coalesce(F.least(F.floor(at * chunks), F.lit(chunks - 1)), F.lit(0)).cast("int"))
-    for i in range(chunks):
-        (sliced.where(F.col("slice") == i).select("topic", "payload", *STREAM_ORDER)
-         .sortWithinPartitions(*STREAM_ORDER).write.option("timestampFormat", JSON_TIME).json(f"{path}/slice={i:04d}"))
+    return [sliced.where(F.col("slice") == i).select("topic", "payload", *STREAM_ORDER) for i in range(chunks)]
+
+
+def write_replay(access: DataFrame, txns: DataFrame, path: str, chunks: int = 4) -> str:
+    """Both tables as tagged JSON events in ``chunks`` consecutive time slices, written oldest first."""
+    for i, rows in enumerate(_slices(access, txns, chunks)):
+        rows.write.option("timestampFormat", JSON_TIME).json(f"{path}/slice={i:04d}")
     return path
 
 
 def read_replay(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Stream of replayed events in file order."""
+    """Stream of replayed events."""
     return readers.read_event_stream(spark, f"{path}/slice=*", schemas.EVENT_LINES, "json", max_files)
 
 
+def replay(access: DataFrame, txns: DataFrame, run: str, each: Callable[[DataFrame, int], None], chunks: int = 4) -> None:
+    """Feeds the tables through a foreachBatch function slice by slice, in time order.
+
+    A slice may be many files; each is written and then processed as one batch of the same query, so a batch
+    never sees events older than the batches before it.
+    """
+    spark = access.sparkSession
+    for i, rows in enumerate(_slices(access, txns, chunks)):
+        rows.write.option("timestampFormat", JSON_TIME).json(f"{run}/events/slice={i:04d}")
+        drain_batches(read_replay(spark, f"{run}/events"), run, each)
+
+
 def split_topics(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Typed access and transaction rows of a tagged event table, batch or streaming."""
     topic = X.route_topic("topic")
