@@ -91,15 +91,17 @@ def burst_rule(df: DataFrame, window_s: float = C.BURST_WINDOW_SECONDS, n: int =
     kind = "transaction_type" if "transaction_type" in df.columns else "type"
     buffer = b.df.withColumn("_buffer", recent_rows(b, n, C.BUFFER_HOURS, [unique, "timestamp", "amount", kind]))
     since = F.col("timestamp") - F.expr(f"interval {int(window_s)} seconds")
-    cluster = F.filter("_buffer", lambda r: (r["timestamp"] >= since) & (r["amount"] < limit))
-    out = (b.finish(buffer).withColumn("buffer_rows", F.size("_buffer"))
-           .withColumn("cluster_rows", F.transform(cluster, lambda r: F.struct(
-               r[unique].cast("string").alias("transaction_id"), r["timestamp"].alias("timestamp"),
-               r["amount"].alias("amount"), r[kind].alias("type")))).drop("_buffer"))
-    total = F.aggregate("cluster_rows", F.lit(0.0), lambda s, r: s + r["amount"])
-    return (out.withColumn("cluster_count", F.size("cluster_rows"))
-            .withColumn("aggregate_amount", F.round(total, 2))
-            .withColumn("rule_matched", (F.col("cluster_count") >= min_n) & (total >= limit * factor)))
+    inside = lambda r: (r["timestamp"] >= since) & (r["amount"] < limit)
+    # One pass over the buffer for count and sum; the row list is built only where a query asks for it.
+    tally = F.aggregate("_buffer", F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s")), lambda acc, r: F.struct(
+        (acc["n"] + F.when(inside(r), 1).otherwise(0)).alias("n"), (acc["s"] + F.when(inside(r), r["amount"]).otherwise(0.0)).alias("s")))
+    rows = F.transform(F.filter("_buffer", inside), lambda r: F.struct(
+        r[unique].cast("string").alias("transaction_id"), r["timestamp"].alias("timestamp"),
+        r["amount"].alias("amount"), r[kind].alias("type")))
+    return (b.finish(buffer).withColumn("_tally", tally).withColumns({
+        "buffer_rows": F.size("_buffer"), "cluster_rows": rows, "cluster_count": F.col("_tally.n"),
+        "aggregate_amount": F.round("_tally.s", 2),
+        "rule_matched": (F.col("_tally.n") >= min_n) & (F.col("_tally.s") >= limit * factor)}).drop("_buffer", "_tally"))
 
 
 def burst_result(df: DataFrame, score: str | None = None, threshold: float = C.BURST_SCORE_THRESHOLD,

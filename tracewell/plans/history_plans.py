@@ -68,15 +68,15 @@ def daily_access_count(spark, d):
     return H.past_count(rows, ["employee_id", "_day"]).select("event_id", "past_count")
 
 
-@query("dormancy", f"""select transaction_id, round(days, 6) as days_since_last_transaction, (days > 30)::int::double as is_dormant_account from (
+@query("dormancy", f"""select transaction_id, days as days_since_last_transaction, (days > 30)::int::double as is_dormant_account from (
   select transaction_id, coalesce((epoch_us(timestamp) - epoch_us(lag(timestamp) over w)) / 1e6 / 86400, 999) as days from transactions window w as ({W}))""", "t")
 def dormancy(spark, d):
-    return H.dormancy(txns(spark, d)).select("transaction_id", r("days_since_last_transaction", 6), "is_dormant_account")
+    return H.dormancy(txns(spark, d)).select("transaction_id", "days_since_last_transaction", "is_dormant_account")
 
 
-@query("account_age", "select transaction_id, round((epoch_us(timestamp) - epoch_us(min(timestamp) over (partition by account_id))) / 1e6 / 3600, 6) as account_age_steps from transactions", "t")
+@query("account_age", "select transaction_id, (epoch_us(timestamp) - epoch_us(min(timestamp) over (partition by account_id))) / 1e6 / 3600 as account_age_steps from transactions", "t")
 def account_age(spark, d):
-    return H.account_age(txns(spark, d)).select("transaction_id", r("account_age_steps", 6))
+    return H.account_age(txns(spark, d)).select("transaction_id", "account_age_steps")
 
 
 @query("new_counterparty", "select transaction_id, (row_number() over (partition by account_id, counterparty_id order by timestamp, transaction_id) = 1)::int::double as is_new_counterparty from transactions", "t")
@@ -180,7 +180,7 @@ def account_sequences(spark, d):
     return seq.select("account_id", *[F.col("sequence")[i][0].alias(f"amount_{i}") for i in range(5)], "label")
 
 
-PROFILE = f"""profiles as (select txn_key, account_id, timestamp, amount as current_amount, type, isfraud, round((epoch_us(timestamp) - epoch_us(first_value(timestamp) over w)) / 1e6 / 3600, 6) as account_age_steps,
+PROFILE = f"""profiles as (select txn_key, account_id, timestamp, amount as current_amount, type, isfraud, (epoch_us(timestamp) - epoch_us(first_value(timestamp) over w)) / 1e6 / 3600 as account_age_steps,
   coalesce(avg(amount) over p, 0) as mean_raw, coalesce(stddev_samp(amount) over p, 0) as std_raw, (row_number() over w - 1)::double as historical_txn_count,
   coalesce(max(amount) over p, 0) as historical_max_amount, coalesce((epoch_us(timestamp) - epoch_us(lag(timestamp) over w)) / 1e6 / 86400, 999) as days,
   hour(timestamp)::double as hour_of_day, (row_number() over (partition by account_id, counterparty_id order by timestamp, txn_key) = 1)::int::double as is_new_counterparty,
@@ -189,12 +189,12 @@ PROFILE = f"""profiles as (select txn_key, account_id, timestamp, amount as curr
   case type when 'CASH_OUT' then 0 when 'TRANSFER' then 1 else {type_code('type', 'profile')} end::double as type_encoded,
   abs(oldbalanceorg - amount - newbalanceorg) as orig_raw, least(greatest(abs(newbalancedest - oldbalancedest - amount), 0), 1e8) as dest_raw, (type = 'TRANSFER')::int::double as is_transfer
   from ledger window w as ({WL}), p as ({WL} rows between unbounded preceding and 1 preceding)),
-  shown as (select *, round(mean_raw, 6) as historical_mean_amount, round(std_raw, 4) as historical_std_amount, round(days, 6) as days_since_last_transaction,
+  shown as (select *, round(mean_raw, 6) as historical_mean_amount, round(std_raw, 4) as historical_std_amount, days as days_since_last_transaction,
   current_amount / (mean_raw + 1) as mean_ratio, round(current_amount / (mean_raw + 1), 6) as amount_vs_historical_mean_ratio,
   round(current_amount / (historical_max_amount + 1), 6) as amount_vs_historical_max_ratio, round(drop_raw, 6) + 0.0 as balance_drop_ratio, (days > 30)::int::double as is_dormant_account,
   round(orig_raw, 4) as errorBalanceOrig, round(dest_raw, 4) as errorBalanceDest from profiles)"""
 _PLACES = {"historical_std_amount": 4, "errorBalanceOrig": 4, "errorBalanceDest": 4}
-_EXACT = {"current_amount", "balance_before", "balance_after", "historical_max_amount"}
+_EXACT = {"account_age_steps", "days_since_last_transaction", "current_amount", "balance_before", "balance_after", "historical_max_amount"}
 
 
 def _profile(spark, d):

@@ -82,13 +82,13 @@ def asof_zscores(spark, d):
     return L.link_features(pairs, "account").select("transaction_id", r("amount_zscore", 6))
 
 
-@query("link_features", """select transaction_id, access_id, round(minutes, 6) as time_delta_minutes, amount, round(z, 6) + 0.0 as amount_zscore,
+@query("link_features", """select transaction_id, access_id, minutes as time_delta_minutes, amount, round(z, 6) + 0.0 as amount_zscore,
   role_match as role_account_match, h as hour_of_access, dow as day_of_week, records_accessed::int as records_accessed,
   code as transaction_type_encoded, is_suspicious::int as is_suspicious, ((is_suspicious = 1) or (is_fraud = 1))::int as is_fraud_pair from features""",
        "at", f"{PAIRS}, {FEATURES}")
 def link_features(spark, d):
     return L.link_features(_pairs(spark, d)).select(
-        "transaction_id", "access_id", r("time_delta_minutes", 6), "amount", r("amount_zscore", 6), "role_account_match", "hour_of_access",
+        "transaction_id", "access_id", "time_delta_minutes", "amount", r("amount_zscore", 6), "role_account_match", "hour_of_access",
         "day_of_week", "records_accessed", "transaction_type_encoded", "is_suspicious", "is_fraud_pair")
 
 

@@ -78,7 +78,7 @@ def stream_bursts(txns: DataFrame, window_s: float = C.BURST_WINDOW_SECONDS, kee
     busy account's history is spread over keys and old slices expire whole.
     """
     txns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", runs.ROCKSDB)
-    slice_s = 3 * window_s
+    slice_s = 10 * window_s
     slot = lambda us: F.floor(us / F.lit(int(slice_s * 1e6))).cast("long")
     us = X.micros("timestamp")
     fed = (txns.withWatermark("timestamp", delay)
