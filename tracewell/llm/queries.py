@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate, sharding
+from tracewell.llm import decontaminate, jaccard_join, sharding
 from tracewell.plans.registry import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,20 @@ def size_in_bytes(text):
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
+@register("op4_ngram_jaccard_join", """
+with recursive w as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words from documents),
+s as materialized (select distinct r, md5(array_to_string(words[i:i + least(5, len(words)) - 1], ' ')) as t from (select r, words, unnest(range(1, len(words) - least(5, len(words)) + 2)) as i from w where len(words) > 0)),
+n as materialized (select r, count(*) as n from s group by r),
+common as (select a.r as a, b.r as b, count(*) as k from s a join s b on a.t = b.t and a.r < b.r group by a.r, b.r),
+links as materialized (select a, b from common join n x on x.r = a join n y on y.r = b where 100 * k >= 80 * (x.n + y.n - k)),
+edges as materialized (select a, b from links union select b, a from links),
+reach as (select a as r, b as q from edges union select reach.r, e.b from reach join edges e on reach.q = e.a),
+low as (select x.r, min(w.doc_id) as low from (select r, q from reach union select r, r from w) x join w on w.r = x.q group by x.r)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, low.low as component_id from w join low on w.r = low.r left join n on w.r = n.r""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 @register("op7_hypergeometric_sharding")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
