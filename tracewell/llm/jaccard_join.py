@@ -30,7 +30,7 @@ from tracewell.llm.words import mix, runs, space_separated
 from tracewell.session import checkpointed, fresh_dir
 
 SHINGLE, PERCENT = 5, 80
-CHUNK_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 21  # tokens of a chunk and of a token range, about
+CHUNK_TOKENS, RANGE_TOKENS = 1 << 21, 1 << 21  # tokens of a chunk and of a token range, about
 ORDERS = 3
 MANY = 1 << 23  # a chunk has fewer documents than this
 TOKEN_BITS = 48  # of a shingle's 64-bit hash; in one comparison of two documents a chance match has odds of about 1e-9
@@ -80,8 +80,11 @@ def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE)
 
 
 def _send(docs: DataFrame, text: str, shingle: int, ranges: int, chunk_tokens: int) -> DataFrame:
-    """Rows (chunk, shard, data, own): packed tokens for a token range, or (shard -1) what stays with the chunk."""
-    schema = "chunk long, shard int, tokens binary, owners binary, nodes binary, sizes binary"
+    """Rows (chunk, shard, ...): packed tokens for a token range, or, at a shard of its own beyond them, what stays with the chunk.
+
+    Chunks are numbered by task, so ``docs`` must give a task that runs again the same rows in the same order, as files do.
+    """
+    schema = "chunk long, shard long, tokens binary, owners binary, nodes binary, sizes binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, task = 0, TaskContext.get().partitionId()
@@ -106,9 +109,9 @@ def _send(docs: DataFrame, text: str, shingle: int, ranges: int, chunk_tokens: i
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
             chunk = (task << 31) + done
             rows = [(chunk, int(shard[a]), _pack(distinct[a:z], 6), _pack(marks[a:z], 3), b"", b"") for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-            rows.append((chunk, -1, _pack(tokens[shared], 6), _pack(owner[shared], 3), b"".join(nodes), np.array(sizes, "<i8").tobytes()))
+            rows.append((chunk, ranges + chunk, _pack(tokens[shared], 6), _pack(owner[shared], 3), b"".join(nodes), np.array(sizes, "<i8").tobytes()))
             done, nodes, sizes, parts, held = done + 1, [], [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)],
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)],
                                               names=["chunk", "shard", "tokens", "owners", "nodes", "sizes"])
 
         for _, sets in _sets(batches, 0, shingle):
@@ -130,8 +133,13 @@ def _send(docs: DataFrame, text: str, shingle: int, ranges: int, chunk_tokens: i
     return docs.select(text).mapInArrow(send, schema)
 
 
+ANSWER = ["chunk", "shard", "tokens", "owners", "counts", "nodes", "sizes"]
+
+
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one token range, for every chunk: its tokens that more than one document has, and how many have them."""
+    if len(rows["nodes"].iloc[0]):  # a chunk's own row
+        return rows.assign(counts=b"")[ANSWER]
     tokens = [_unpack(t, 6) for t in rows["tokens"]]
     marks = [_unpack(o, 3) for o in rows["owners"]]
     every = np.concatenate(tokens)
@@ -148,15 +156,15 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
         at = np.searchsorted(known, t)
         at[at == len(known)] = 0
         hit = known[at] == t if len(known) else np.zeros(len(t), bool)
-        out.append((chunk, int(rows["shard"].iloc[0]), _pack(t[hit], 6), _pack(m[hit], 3), _pack(np.minimum(counts[at[hit]], 0xFFFFFFFF), 4)))
-    return pd.DataFrame(out, columns=["chunk", "shard", "tokens", "owners", "counts"])
+        out.append((chunk, int(rows["shard"].iloc[0]), _pack(t[hit], 6), _pack(m[hit], 3), _pack(np.minimum(counts[at[hit]], 0xFFFFFFFF), 4), b"", b""))
+    return pd.DataFrame(out, columns=ANSWER)
 
 
 def _gather(percent: int):
     """Of one chunk: nodes that can have a partner, with their tokens that other documents have, in the order of rarity."""
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows["shard"] < 0].iloc[0]
-        rest = rows[rows["shard"] >= 0].sort_values("shard")
+        mine = rows["nodes"].map(len) > 0
+        own, rest = rows[mine].iloc[0], rows[~mine].sort_values("shard")
         sizes = np.frombuffer(own["sizes"], "<i8")
         out = []
         if len(rest):
@@ -184,19 +192,11 @@ def _gather(percent: int):
 
 def candidates(docs: DataFrame, text: str, total: int, shingle: int, percent: int, chunk_tokens: int = CHUNK_TOKENS, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """(node, n, prefix, tokens) of the sets that can have a partner: tokens that others have, rarest first, and how many of them
-    stand in the prefix. ``total``: tokens of all documents, from which the number of token ranges follows."""
+    stand in the prefix; a set comes once for each task that has it. ``total``: tokens of all documents, from which the number of token ranges follows."""
     ranges = max(1, -(-total // range_tokens))
-    sent = _send(docs, text, shingle, ranges, chunk_tokens)
-    folder = fresh_dir(docs.sparkSession, "jaccard-sent")
-    # Chunks are numbered by task; stored, they stay what they are when a task runs again.
-    sent.write.option("compression", "lz4").parquet(folder)
-    stored = docs.sparkSession.read.schema(sent.schema).parquet(folder)
-    answers = stored.where("shard >= 0").select("chunk", "shard", "tokens", "owners").groupBy("shard").applyInPandas(
-        _answer, "chunk long, shard int, tokens binary, owners binary, counts binary")
-    own = stored.where("shard < 0").select("chunk", "shard", "tokens", "owners", F.lit(b"").alias("counts"), "nodes", "sizes")
-    both = answers.select("*", F.lit(b"").alias("nodes"), F.lit(b"").alias("sizes")).unionByName(own)
-    found = both.groupBy("chunk").applyInPandas(_gather(percent), "node binary, n long, prefix long, tokens array<long>")
-    return found.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"))
+    answers = _send(docs, text, shingle, ranges, chunk_tokens).groupBy("shard").applyInPandas(
+        _answer, "chunk long, shard long, tokens binary, owners binary, counts binary, nodes binary, sizes binary")
+    return answers.groupBy("chunk").applyInPandas(_gather(percent), "node binary, n long, prefix long, tokens array<long>")
 
 
 def _other_order(tokens: Column, k: int) -> Column:
@@ -206,7 +206,9 @@ def _other_order(tokens: Column, k: int) -> Column:
 
 def _verified(pairs: DataFrame, found: DataFrame, percent: int, orders: int) -> DataFrame:
     """The pairs (a, b) that share a prefix token under every further order and whose sets reach the threshold."""
-    side = lambda c: found.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "prefix", "tokens")])
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    mine = found.join(wanted, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "tokens")])
+    side = lambda c: mine.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "prefix", "tokens")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     for k in range(1, orders):
         prefix = lambda c, k=k: F.slice(_other_order(F.col(f"tokens_{c}"), k), F.lit(1), F.col(f"prefix_{c}").cast("int"))
@@ -236,7 +238,7 @@ def links_between_sets(found: DataFrame, percent: int, orders: int) -> tuple[Dat
     # The smaller of two sets needs a shorter prefix: it must share 2t/(1+t) of its tokens with a partner of its size or more.
     short = F.expr(f"n - (2 * {percent} * n + {100 + percent - 1}) div {100 + percent} + 1 - (n - size(tokens))")
     rows = checkpointed(found.select("node", "n", F.size("tokens").alias("known"), least.alias("least"), short.alias("short"),
-                                     F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix").cast("int"))).alias("at", "token")))
+                                     F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix").cast("int"))).alias("at", "token")).distinct())
 
     def rank(prefix: str) -> Column:
         return F.struct(F.col(f"{prefix}n"), F.col(f"{prefix}node"))
@@ -287,7 +289,10 @@ def assigned(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int
     signed.write.parquet(folder)
     signed = spark.read.schema(signed.schema).parquet(folder)
     total = signed.agg(F.sum("n")).first()[0] or 0
-    found = checkpointed(candidates(docs, text, total, shingle, percent, chunk_tokens, range_tokens))
+    folder = fresh_dir(spark, "jaccard-candidates")
+    found = candidates(docs, text, total, shingle, percent, chunk_tokens, range_tokens)
+    found.write.parquet(folder)
+    found = spark.read.schema(found.schema).parquet(folder)
     _, known = links_between_sets(found, percent, orders)
     return signed.join(known, "node", "left").select("doc_id", "node", "n", F.coalesce("root", "node").alias("root"))
 
