@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate, jaccard_join, sharding
+from tracewell.llm import chat_format, decontaminate, jaccard_join, language_id, mixing, quality_knn, sharding, warc
 from tracewell.plans.registry import prepare
+from tracewell.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +37,13 @@ def size_in_bytes(text):
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
+@register("op2_quality_neighbours")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_knn.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_knn.score(docs, model).select("doc_id", quality_knn.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @register("op4_ngram_jaccard_join", """
 with recursive w as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words from documents),
 s as materialized (select distinct r, md5(array_to_string(words[i:i + least(5, len(words)) - 1], ' ')) as t from (select r, words, unnest(range(1, len(words) - least(5, len(words)) + 2)) as i from w where len(words) > 0)),
@@ -50,6 +58,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
+@register("op5_chat_grammar", """
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, regexp_replace(text, '([<\\[])(\\\\*)(/?s>|/?INST\\]|/?OUT\\]|/?ROLE[ \\]])', '\\1\\\\\\2\\3', 'g') as escaped from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length(escaped) + case role when 'user' then 22 when 'assistant' then 20 else 23 + length(url_encode(role)) end) as bigint) as formatted_chars
+from e group by conv_id""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_format.read_back(chat_format.format_turns(turns.unionByName(hard)))
+
+
+@register("op6_cross_parsing_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sample = language_id.labelled(docs, "doc_id", "text", "lang")
+    found = language_id.predict(docs.select("doc_id", "text"), sample)
+    return found.select("doc_id", quality_knn.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @register("op7_hypergeometric_sharding")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -76,3 +107,56 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
+def domain_of(source):
+    """Domain of a source; the tables have none, so sources are dealt to four by a digest of their name."""
+    return F.concat(F.lit("d"), F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.coalesce(source, F.lit("")).cast("binary")), 1, 1)) % 4)
+
+
+MIX_WEIGHTS = {"lang": {"en": 0.5, "de": 0.25, "fr": 0.125, "es": 0.125}}
+
+
+def mix_levels():
+    return {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def _share_sql(name: str, parent: str, above: str, level: str, weight: str) -> str:
+    """CTEs that give each child of a level its part, filling in the order in which children run full."""
+    cols = f"{parent}, {level}" if parent else level
+    by = f"partition by {parent}" if parent else ""
+    join = f"join {above} using ({parent})" if above else "cross join total"
+    return f"""{name}_n as (select {cols}, cast(sum(tokens) * 4 as double) as cap, {weight} as w from leaves group by {cols}),
+{name}_b as (select n.*, budget, cap / w as fill from {name}_n n {join} where cap > 0),
+{name}_l as (select *, (budget - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0)) / (sum(w) over ({by}) - coalesce(sum(w) over (o rows between unbounded preceding and 1 preceding), 0)) as lvl
+  from {name}_b window o as ({by} order by fill, {level})),
+{name} as (select {cols}, case when lvl * w >= cap then cap else least(cap, w * first_value(case when lvl * w < cap then lvl end ignore nulls) over ({by} order by fill, {level} rows between unbounded preceding and unbounded following)) end as budget from {name}_l)"""
+
+
+@register("op9_hierarchical_mixing", """
+with d as (select doc_id, coalesce('=' || lang, 'null') as lang, coalesce('=' || source, 'null') as source, '=d' || (instr('0123456789abcdef', substr(md5(coalesce(source, '')), 1, 1)) % 4) as domain,
+  cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as tokens, md5(coalesce(cast(doc_id as varchar), 'null') || '|' || coalesce(text, '')) as key from documents),
+total as (select cast(sum(tokens) as double) as budget from d),
+leaves as (select domain, lang, source, sum(tokens) as tokens from d where lang in ('=en', '=de', '=fr', '=es') group by all),
+""" + _share_sql("l1", "", "", "domain", "1.0::double") + "," + _share_sql("l2", "domain", "l1", "lang", "(case lang when '=en' then 0.5 when '=de' then 0.25 else 0.125 end)::double") + "," + _share_sql("l3", "domain, lang", "l2", "source", "1.0::double") + """,
+plan as (select domain, lang, source, cast(floor(budget + 1e-6) as bigint) as given, cast(tokens as bigint) as held from l3 join leaves using (domain, lang, source) where tokens > 0),
+p as (select d.*, given // held as whole, given % held as rest, cast('0x' || substr(md5('11|' || (given // held) || '|' || key), 1, 15) as bigint) as place from d join plan using (domain, lang, source) where given > 0),
+c as (select *, sum(tokens) over (partition by domain, lang, source order by place) as until from p),
+n as (select *, whole + case when rest > 0 and until <= rest then 1 else 0 end as copies from c)
+select doc_id, tokens as n_tokens, substr(domain, 2) as domain, case when lang <> 'null' then substr(lang, 2) end as lang, case when source <> 'null' then substr(source, 2) end as source, cast(unnest(range(copies)) as bigint) as epoch from n where copies > 0""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS)
+    return mixed.select("doc_id", mixing.count_tokens(F.col("text")).alias("n_tokens"), domain_of(F.col("source")).alias("domain"), "lang", "source", "epoch")
+
+
+@register("op10_warc_sharded_writer", """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as digest, octet_length(encode(coalesce(html, ''))) as n from pages),
+k as (select digest, max(page_id) as keeper from p where n >= 1000 group by digest)
+select page_id, cast(n as bigint) as payload_bytes, p.digest as payload_digest,
+  case when k.keeper is not null and page_id is distinct from k.keeper then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from k.keeper then k.keeper end as refers_to
+from p left join k on p.digest = k.digest and p.n >= 1000""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
