@@ -258,7 +258,8 @@ def links_between_sets(found: DataFrame, percent: int, orders: int) -> tuple[Dat
     pair = F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")
     # Any order of meeting counts towards the possible overlap only from the first common token on, so a pair that fails the
     # bound at a later token has passed it at the first one if it can pass at all.
-    pivots = rows.groupBy("token").agg(F.min_by(F.struct("node", "n", "known", "least", "short", "at"), "node").alias("p"), F.count("*").alias("size")).where("size > 1")
+    # The pivot is the node with the fewest tokens of its own: the text that edited copies were made from, not one of them.
+    pivots = rows.groupBy("token").agg(F.min_by(F.struct("node", "n", "known", "least", "short", "at"), F.struct(F.col("n") - F.col("known"), "node")).alias("p"), F.count("*").alias("size")).where("size > 1")
     pivots = pivots.select("token", *[F.col(f"p.{c}").alias(f"o_{c}") for c in ("node", "n", "known", "least", "short", "at")])
     star = rows.join(pivots, "token").where((F.col("node") != F.col("o_node")) & possible_pair()).select(*pair).distinct()
     links = checkpointed(_verified(star, found, percent, orders))
