@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 TRAIN_DOCS, TRAIN_CHARS = 64, 24_000  # per language: labelled documents read, and characters of them in the automaton
 HELD_CHARS = 12_000  # per language: further characters by which phrases are normalised
-PIECE, BATCH_CHARS = 256, 1 << 21
+PIECE, BATCH_CHARS = 256, 1 << 19
 SYMBOLS = 64  # 0: anything but the most frequent letters of the labelled text; 1: between words
 SHARPNESS = 20.0  # of the score: a language that needs a tenth more phrases counts exp(-2) of the winner
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tracewell.session import checkpointed, fresh_dir
 
 EPOCHS, SEED = 4, 11
-PIECE_DOCS = 20_000  # documents of a leaf that are sorted together, about
+PIECE_DOCS = 2_000  # documents of a leaf that are sorted together, about
 BROADCAST_LEAVES = 50_000  # with more leaves than this, budgets are joined by shuffling
 
 

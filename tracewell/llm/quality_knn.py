@@ -23,7 +23,7 @@ PAIRS, WORDS = 1024, 512  # hashed terms of each kind
 DIMENSIONS, NEIGHBOURS = 48, 25
 POWER = 8.0  # a neighbour's weight is its cosine to this power
 PRIOR = 0.5  # weight of the labelled texts' mean label in every vote
-BLOCK_BYTES, BLOCK_DOCS = 1 << 21, 256
+BLOCK_BYTES, BLOCK_DOCS = 1 << 19, 128
 
 
 def held_out(doc_id: Column) -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 21  # bytes of text that are hashed at a time
+BLOCK = 1 << 19  # bytes of text that are hashed at a time
 _MULT = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 
 
