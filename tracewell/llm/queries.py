@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat_format, decontaminate, jaccard_join, language_id, mixing, quality_knn, sharding, warc
+from tracewell.llm import chat_format, decontaminate, jaccard_join, language_id, mixing, pii, quality_knn, quality_rules, sharding, warc
 from tracewell.plans.registry import prepare
 from tracewell.session import fresh_dir
 
@@ -37,6 +37,14 @@ def size_in_bytes(text):
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
+@register("op1_pii_weak_supervision")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    n = {f"n_{k}": count(k) for k in pii.BASE}
+    return found.select("doc_id", *[v.alias(k) for k, v in n.items()], F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 @register("op2_quality_neighbours")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,6 +52,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.score(docs, model).select("doc_id", quality_knn.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@register("op3_quality_log_ratio")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("ratio", 6).alias("ratio"))
+
+
 @register("op4_ngram_jaccard_join", """
 with recursive w as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words from documents),
 s as materialized (select distinct r, md5(array_to_string(words[i:i + least(5, len(words)) - 1], ' ')) as t from (select r, words, unnest(range(1, len(words) - least(5, len(words)) + 2)) as i from w where len(words) > 0)),
