@@ -131,13 +131,13 @@ def _phrases(table: np.ndarray, pieces: np.ndarray) -> np.ndarray:
     state, ended = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
     for column in np.ascontiguousarray(pieces.T):
         step = table[state, column]
-        ended += step & 1
-        state = (step >> 1).astype(np.int64)
+        ended += step & 3
+        state = (step >> 2).astype(np.int64)
     return ended + (state > 0)  # a phrase that the piece cuts counts too
 
 
 def _table(text: np.ndarray) -> np.ndarray:
-    """next * 2 + (a phrase ended), by state and symbol, of the suffix automaton of ``text``; state 0 is the empty match."""
+    """next * 4 + phrases ended, by state and symbol, of the suffix automaton of ``text``; state 0 is the empty match."""
     moves, link, longest, last = [{}], [-1], [0], 0
     for c in text.tolist():
         now = len(moves)
@@ -165,13 +165,11 @@ def _table(text: np.ndarray) -> np.ndarray:
     table = np.full((len(moves), SYMBOLS + 1), -1, np.int32)
     for s, out in enumerate(moves):
         for c, to in out.items():
-            table[s, c] = to * 2
-    # No way on: the phrase has ended, and the next begins with this symbol, if any text has it.
-    root = np.where(table[0] >= 0, table[0], 0) | 1
-    # From the empty match nothing has ended yet, but an unknown symbol is a phrase by itself.
-    table[1:] = np.where(table[1:] >= 0, table[1:], root)
+            table[s, c] = to * 4
+    # No way on: a phrase has ended, and the next begins with this symbol; one that the text lacks is a phrase by itself.
+    table[1:] = np.where(table[1:] >= 0, table[1:], np.where(table[0] >= 0, table[0] + 1, 2))
     table[0] = np.where(table[0] >= 0, table[0], 1)
-    table[:, SYMBOLS] = np.arange(len(moves), dtype=np.int32) * 2
+    table[:, SYMBOLS] = np.arange(len(moves), dtype=np.int32) * 4
     return table
 
 

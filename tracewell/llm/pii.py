@@ -110,7 +110,7 @@ def _votes(kind: str, c: Column) -> dict[str, Column]:
     digits = _digits(t)
     vote = lambda yes, no=None: F.when(yes, 1).otherwise(F.lit(0) if no is None else F.when(no, -1).otherwise(0))
     shape = {
-        "email": vote(t.rlike(r"^[A-Za-z0-9][^@]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}$"), t.rlike(r"\.\.|\.@|@-")),
+        "email": vote(t.rlike(r"^[A-Za-z0-9][^@]{0,63}@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,24}$"), t.rlike(r"\.\.|\.@|@-")),
         "ip": vote(_valid("ip", t) & ~t.rlike(r"(?:^|\.)0[0-9]"), ~_valid("ip", t)),
         "card": vote(_valid("card", t) & F.length(digits).between(13, 19), ~_valid("card", t)),
         "phone": vote(_valid("phone", t) & (F.length(digits) >= 10), ~_valid("phone", t)),
@@ -122,7 +122,7 @@ def _votes(kind: str, c: Column) -> dict[str, Column]:
     }[kind]
     words = vote(before.rlike(WORDS_FOR[kind]), before.rlike(WORDS_AGAINST))
     known = {
-        "email": vote(F.lower(t).rlike(r"@(?:[a-z0-9-]+\.)*(?:gmail|yahoo|hotmail|outlook|icloud|gmx|example)\.")),
+        "email": vote(F.lower(t).rlike(r"[@.](?:gmail|yahoo|hotmail|outlook|icloud|gmx|example)\.")),
         "ip": vote(F.lit(False), t.rlike(r"^(?:0|127|255)\.|^[0-9]\.[0-9]\.[0-9]\.[0-9]$")),
         "card": vote(digits.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6)")),
         "phone": vote(t.rlike(r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"), t.rlike(r"^\+0")),
