@@ -26,6 +26,27 @@ CASES = {
 }
 
 
+@pytest.mark.parametrize("name", ["past", "profile", "types", "rule", "dormancy", "label"])
+def test_split_equals_plain_on_null_amounts(skewed, tuned, name):
+    """A fifth of the amounts NULL, many times tied."""
+    case = {**CASES, "label": lambda t: structuring.label_bursts(t, 43200)}[name]
+    holes = skewed.withColumn("amount", F.when(F.pmod(F.xxhash64("transaction_id", F.lit(1)), F.lit(5)) > 0, F.col("amount") / 4))
+    plain = case(holes)
+    plain.toPandas()
+    tuned(hotRows=60, blockRows=25, singleTaskBytes=1)
+    same(case(holes), plain, "transaction_id")
+
+
+def test_label_of_repeated_ids_and_null_amounts(spark, tuned):
+    rows = [("ACC", "T1", 30000.0, 0), ("ACC", "T1", 30000.0, 1), ("ACC", "T2", None, 2), ("ACC", "T3", 30000.0, 3), ("ACC", "T4", 100.0, 90)]
+    df = spark.createDataFrame([(a, i, m, f"2026-01-01 {h // 60:02d}:{h % 60:02d}:00") for a, i, m, h in rows], "account_id string, transaction_id string, amount double, timestamp string").withColumn("timestamp", F.to_timestamp("timestamp"))
+    seen = []
+    for hot in (1000, 1):
+        tuned(hotRows=hot, singleTaskBytes=1)
+        seen.append(sorted((r.transaction_id, r.timestamp, r.is_structuring) for r in structuring.label_bursts(df, 3600).collect()))
+    assert seen[0] == seen[1] and [x[2] for x in seen[0]] == [1, 1, 1, 1, 0]
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_split_equals_plain(skewed, tuned, name):
     plain = CASES[name](skewed)

@@ -46,6 +46,32 @@ def test_burst_stream_over_several_batches(spark, tables):
     assert ids(out, *cols) == ids(structuring.burst_rule(t, 43200), *cols)
 
 
+def test_late_and_shuffled_rows_get_the_batch_answer(spark):
+    """Rows within the watermark's delay, dealt to five batches in no order: each sees what arrived by then, and one that comes
+    last sees all."""
+    t = txns(spark, *[{"timestamp": f"2026-01-01 00:{m:02d}:00", "transaction_id": f"T{m:02d}", "amount": 20000.0} for m in range(0, 50, 2)])
+    run = runs.new_run(spark)
+    late = "transaction_id = 'T30'"
+    for i in range(4):
+        t.where(f"not {late} and crc32(transaction_id) % 4 = {i}").coalesce(1).write.parquet(f"{run}/in/p={i}")
+    t.where(late).coalesce(1).write.parquet(f"{run}/in/p=9")
+    stream = readers.read_event_stream(spark, f"{run}/in/p=*", t.schema, "parquet", max_files=1)
+    got = {r.transaction_id: (r.cluster_count, r.rule_matched) for r in runs.drain(detectors.stream_bursts(stream, window_s=3600, keep=5), run).collect()}
+    want = {r.transaction_id: (r.cluster_count, r.rule_matched) for r in structuring.burst_rule(t, 3600, n=5).collect()}
+    assert len(got) == len(want) == 25 and got["T30"] == want["T30"] and got["T30"][0] == 5
+
+
+def test_counters_over_many_batches(spark, tables):
+    t = tables[1]
+    run = runs.new_run(spark)
+    for i in range(4):
+        t.where(F.pmod(F.crc32("transaction_id"), F.lit(4)) == i).coalesce(1).write.parquet(f"{run}/in/p={i}")
+    stream = readers.read_event_stream(spark, f"{run}/in/p=*", t.schema, "parquet", max_files=1)
+    runs.drain_batches(detectors.stream_nodes(stream), run, detectors.table_sink(f"{run}/nodes"), mode="update")
+    got = detectors.newest(spark, f"{run}/nodes", ["account_id"])
+    assert got.count() == t.select("account_id").distinct().count() and got.agg(F.sum("txn_count")).head()[0] == t.count()
+
+
 def test_repeated_transactions_are_dropped(spark):
     t = txns(spark, {"timestamp": "2026-01-01 00:00:00"}, {"timestamp": "2026-01-01 00:00:01"})
     run = runs.new_run(spark)

@@ -47,8 +47,12 @@ def _link_columns(df: DataFrame, present: str) -> DataFrame:
 
 
 def transaction_signals(access: DataFrame, txns: DataFrame, rings: DataFrame | None = None,
-                        mode: str = "past", burst_window_s: float = C.BURST_WINDOW_SECONDS) -> DataFrame:
-    """Link, burst, profile and ring columns of every transaction, as known when it arrived."""
+                        mode: str = "past", burst_window_s: float = C.BURST_WINDOW_SECONDS, ring_scenario: str | None = None) -> DataFrame:
+    """Link, burst, profile and ring columns of every transaction, as known when it arrived.
+
+    Rings count for every transaction of a member once they are closed; ``ring_scenario`` keeps them to transactions with
+    that label.
+    """
     w = int(C.LINK_WINDOW_SECONDS * 1e6)
     rows = B.burst_result(txns, window_s=burst_window_s)
     rows = P.profile_reasons(P.profile_score(P.profile_features(rows, mode)))
@@ -57,7 +61,9 @@ def transaction_signals(access: DataFrame, txns: DataFrame, rings: DataFrame | N
     if rings is not None:
         # Joined while the rows are still partitioned by account.
         rows = rows.join(first_rings(rings), "account_id", "left")
-        due = (F.col("scenario") == "circular_transfer") & (F.col("closed_at") <= F.col("timestamp"))
+        due = F.col("closed_at") <= F.col("timestamp")
+        if ring_scenario is not None:
+            due = due & (F.col("scenario") == ring_scenario)
         ring = ["ring_score", "ring_path", "ring_quantum"]
         rows = rows.withColumns({n: F.when(due, F.col(n)) for n in ring})
         keep += ring

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators.ordering import positions
-from tracewell.session import checkpointed, setting
+from tracewell.session import checkpointed
 
-# Word2Vec keeps all vectors on the driver; beyond this many numbers the factorised form is used.
-DRIVER_VECTOR_NUMBERS = 50_000_000
+MAX_NODES = 2**31 - 1  # the factorisation numbers nodes as integers
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -48,17 +45,6 @@ def random_walks(edges: DataFrame, n: int = 10, length: int = 15, seed: int = 42
     return walks.select("start", "walk", "path")
 
 
-def embed(walks: DataFrame, dim: int = 32, window: int = 5, epochs: int = 5, seed: int = 42) -> DataFrame:
-    """Node vectors from walks: skip-gram while its vectors fit on the driver, else factorised co-occurrence."""
-    names = walks.select("start").distinct().count()
-    limit = setting(walks.sparkSession, "driverVectorNumbers", DRIVER_VECTOR_NUMBERS)
-    if names * dim <= limit:
-        model = Word2Vec(vectorSize=dim, windowSize=window, maxIter=epochs, minCount=0, seed=seed,
-                         inputCol="path", outputCol="v").fit(walks)
-        return model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector").alias("vec"))
-    return embed_spread(walks, dim, window, epochs, seed)
-
-
 def cooccurrence(walks: DataFrame, window: int = 5) -> DataFrame:
     """How often two nodes stand within ``window`` steps of each other; walks are short, so pairs per walk are few."""
     spots = F.transform("path", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
@@ -68,9 +54,11 @@ def cooccurrence(walks: DataFrame, window: int = 5) -> DataFrame:
             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
 
 
-def embed_spread(walks: DataFrame, dim: int = 32, window: int = 5, epochs: int = 5, seed: int = 42) -> DataFrame:
-    """Implicit factorisation of walk co-occurrence; both factor tables stay distributed."""
+def embed(walks: DataFrame, dim: int = 32, window: int = 5, epochs: int = 5, seed: int = 42) -> DataFrame:
+    """Node vectors from walks: implicit factorisation of walk co-occurrence. Both factor tables stay distributed, at any size."""
     ids = checkpointed(positions(walks.select(F.col("start").alias("id")).distinct(), [], ["id"], "no"))
+    if (ids.agg(F.max("no")).first()[0] or 0) > MAX_NODES:
+        raise ValueError(f"at most {MAX_NODES} nodes can be embedded")
     pairs = cooccurrence(walks, window)
     a = ids.select(F.col("id").alias("a"), F.col("no").cast("int").alias("ia"))
     b = ids.select(F.col("id").alias("b"), F.col("no").cast("int").alias("ib"))

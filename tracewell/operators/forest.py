@@ -1,4 +1,4 @@
-"""Isolation forest: trees grown in parallel tasks from a bounded pool, rows scored where they lie."""
+"""Isolation forest: each tree grown in a task of its own from its own sample of all rows, rows scored where they lie."""
 
 from __future__ import annotations
 
@@ -7,12 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.operators.stats import quantiles, quantiles_approx
-from tracewell.session import fits_one_task
+from tracewell.operators.stats import quantiles
 
 
 def average_path(n: float) -> float:
@@ -48,37 +47,40 @@ def grow(points: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float,
 class IsolationForest:
     """100 trees over 256 rows each; ``score`` adds the raw anomaly score (positive = anomalous)."""
 
-    def __init__(self, cols: list[str], trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42,
-                 pool: int = 8192):
+    def __init__(self, cols: list[str], trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42):
         self.cols, self.trees, self.sample = cols, trees, sample
-        self.contamination, self.seed, self.pool = contamination, seed, pool
+        self.contamination, self.seed = contamination, seed
         self.nodes: pd.DataFrame | None = None
         self.offset = 0.0
         self.size = 0
 
-    def fit(self, df: DataFrame) -> IsolationForest:
-        """``df`` has the feature columns; the pool is the rows with the smallest hashes, at most ``pool``."""
-        typed = df.select(*[F.col(c).cast("double").alias(c) for c in self.cols]).na.drop()
-        pool = typed.orderBy(F.xxhash64(F.lit(self.seed), *self.cols), *self.cols).limit(self.pool).toPandas().to_numpy()
-        self.size = min(self.sample, len(pool))
-        spark, seed, size = df.sparkSession, self.seed, self.size
-        shared = spark.sparkContext.broadcast(pool)
+    def drawn(self, typed: DataFrame, n: int) -> DataFrame:
+        """Candidates for every tree's sample: rows of ``typed`` (features and _id) whose hash of (row, tree) is low.
 
-        def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for tree in batch["id"]:
-                    rng = np.random.default_rng([seed, int(tree)])
-                    picked = shared.value[rng.choice(len(shared.value), size, replace=False)]
-                    out = pd.DataFrame(grow(picked, rng), columns=["feature", "cut", "lo", "hi", "depth"])
-                    yield out.assign(tree=int(tree), node=range(len(out)))
+        A tree takes those with the smallest hashes; twice as many as it takes are expected here, and only they are sorted.
+        """
+        limit = 2.0**63 * min(1.0, (2 * self.sample + 64) / max(n, 1))
+        hashes = F.transform(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64("_id", t).bitwiseAND(F.lit(2**63 - 1)).alias("_h")))
+        return typed.withColumn("_t", F.explode(F.filter(hashes, lambda x: x["_h"] <= limit))).select(*self.cols, "_id", "_t.tree", "_t._h")
+
+    def fit(self, df: DataFrame, row_id: list[str | Column]) -> IsolationForest:
+        """``df`` has the feature columns; ``row_id`` tells rows apart, so that equal rows are drawn independently."""
+        typed = df.select(*[F.col(c).cast("double").alias(c) for c in self.cols], F.xxhash64(F.lit(self.seed), *row_id).alias("_id")).na.drop()
+        n = typed.count()
+        self.size = min(self.sample, n)
+        cols, seed, size = self.cols, self.seed, self.size
+
+        def build(rows: pd.DataFrame) -> pd.DataFrame:
+            tree = int(rows["tree"].iloc[0])
+            picked = rows.sort_values(["_h", "_id", *cols]).head(size)[cols].to_numpy(float)
+            out = pd.DataFrame(grow(picked, np.random.default_rng([seed, tree])), columns=["feature", "cut", "lo", "hi", "depth"])
+            return out.assign(tree=tree, node=range(len(out)))
 
         schema = "feature int, cut double, lo int, hi int, depth double, tree int, node int"
         # At most trees * 2 * sample rows.
-        self.nodes = spark.range(self.trees).mapInPandas(build, schema).toPandas().sort_values(["tree", "node"])
-        scored = self._normalised(typed)
-        p = {"q": 1.0 - self.contamination}
-        cut = quantiles(scored, [], "_s", p) if fits_one_task(typed) else quantiles_approx(scored, [], "_s", p)
-        self.offset = float(cut.head()[0])
+        self.nodes = self.drawn(typed, n).groupBy("tree").applyInPandas(build, schema).toPandas().sort_values(["tree", "node"])
+        scored = self._normalised(typed.drop("_id"))
+        self.offset = float(quantiles(scored, [], "_s", {"q": 1.0 - self.contamination}).head()[0])
         return self
 
     def _normalised(self, df: DataFrame) -> DataFrame:

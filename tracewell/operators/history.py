@@ -100,20 +100,22 @@ def past_stats(df: DataFrame, key: str = KEY) -> DataFrame:
         return plain
     # Running sums about the account's own mean, so that squares do not swamp the deviation.
     centre = hot.groupBy(key).agg(F.avg("amount").alias("_mu"), F.min("timestamp").alias("first_seen"))
-    rows = null_safe_join(hot, centre, [key], small=True).withColumn("_d", F.col("amount") - F.col("_mu"))
+    # A NULL amount counts as a row only, as in a window.
+    rows = null_safe_join(hot, centre, [key], small=True).withColumn("_d", F.coalesce(F.col("amount") - F.col("_mu"), F.lit(0.0)))
+    one = F.col("amount").isNotNull().cast("int")
     run = spread_running(rows, [key], order, {
-        "_n": ("sum", F.lit(1)), "_s": ("sum", F.col("_d")), "_q": ("sum", F.col("_d") * F.col("_d")),
+        "_n": ("sum", F.lit(1)), "_k": ("sum", one), "_s": ("sum", F.col("_d")), "_q": ("sum", F.col("_d") * F.col("_d")),
         "_top": ("max", F.col("amount"))})
-    n = (F.col("_n") - 1).cast("double")
+    n, k = (F.col("_n") - 1).cast("double"), (F.col("_k") - one).cast("double")
     s, q = F.col("_s") - F.col("_d"), F.col("_q") - F.col("_d") * F.col("_d")
-    mean = F.try_divide(s, n)
-    var = F.greatest(F.try_divide(q - s * mean, n - 1.0), F.lit(0.0))
+    mean = F.try_divide(s, k)
+    var = F.greatest(F.try_divide(q - s * mean, k - 1.0), F.lit(0.0))
     # The maximum of earlier rows: the running maximum, moved one row down.
     b = ordered_blocks(run, [key], order, reach=1)
     shifted = b.finish(b.df.withColumn("_prev_top", F.lag("_top").over(b.over)))
     done = shifted.select(
         *df.columns, n.alias("historical_txn_count"), zero(mean + F.col("_mu")).alias("historical_mean_amount"),
-        zero(F.when(n > 1, F.sqrt(var))).alias("historical_std_amount"),
+        zero(F.when(k > 1, F.sqrt(var))).alias("historical_std_amount"),
         zero(F.col("_prev_top")).alias("historical_max_amount"), "first_seen")
     return plain.unionByName(done)
 

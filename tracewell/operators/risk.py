@@ -166,12 +166,14 @@ def severity_rank(level: Column | str = "severity") -> Column:
 
 
 def alert_queue(alerts: DataFrame, level: str | None = None, limit: int = 50) -> DataFrame:
-    """Most severe first, then highest score; the id breaks ties. ``limit`` is held in 1..200."""
+    """Most severe first, then highest score; the id breaks ties. ``limit`` must be in 1..200."""
+    if not 1 <= limit <= 200:
+        raise ValueError("limit must be between 1 and 200")
     rows = alerts.where(F.upper("severity") == level.upper()) if level else alerts
-    return rows.orderBy(severity_rank(), F.desc("composite_risk_score"), "alert_id").limit(max(1, min(200, limit)))
+    return rows.orderBy(severity_rank(), F.desc("composite_risk_score"), "alert_id").limit(limit)
 
 
-def alert_by_id(alerts: DataFrame, wanted: str) -> DataFrame:
+def alert_by_id(alerts: DataFrame, wanted: str | Column) -> DataFrame:
     return alerts.where(F.col("alert_id") == wanted)
 
 

@@ -12,18 +12,20 @@ from tracewell.operators import history as H
 from tracewell.operators.ordering import null_safe_join, spread_running
 from tracewell.operators.skew import Blocks, numbered, ordered_blocks, split_by_heat
 from tracewell.operators.stats import group_stats
+from tracewell.session import checkpointed
 
 KEY = H.KEY
 
 
 def _range_label(df: DataFrame, w_us: int, limit: float, min_n: int, floor: float) -> DataFrame:
     """Two trailing/leading time frames per account."""
+    # Decimal sums, as the form for heavy accounts has them: both must agree at the limit.
     base = Window.partitionBy(KEY).orderBy("_us")
     back, ahead = base.rangeBetween(-w_us, 0), base.rangeBetween(0, w_us)
     staged = (df.withColumn("_us", X.micros("timestamp"))
               .withColumn("_n", F.count(F.lit(1)).over(back))
               .withColumn("_top", F.max("amount").over(back))
-              .withColumn("_sum", F.sum("amount").over(back)))
+              .withColumn("_sum", F.sum(F.col("amount").cast("decimal(38,6)")).over(back)))
     ends = X.flag((F.col("_n") >= min_n) & (F.col("_top") < limit) & (F.col("_sum") >= floor))
     return (staged.withColumn("ends_burst", ends.cast("int"))
             .withColumn("is_structuring", F.max("ends_burst").over(ahead))
@@ -34,11 +36,13 @@ def _swept_label(df: DataFrame, w_us: int, limit: float, min_n: int, floor: floa
     """The same label for heavy accounts, from running totals: every frame sum is a difference of two.
 
     Each row enters at its time and leaves after its window; counts and sums at a row are totals of what
-    has entered and not left. Amounts are summed as decimals so that the differences are exact.
+    has entered and not left. Amounts are summed as decimals so that the differences are exact. A NULL amount
+    counts as a row and adds nothing, as in a window. Rows get numbers of their own, since ids may repeat.
     """
-    key, unique = KEY, H.order_of(df)[1]
-    us, money = X.micros("timestamp"), F.col("amount").cast("decimal(38,6)")
-    big = F.when(F.col("amount") < limit, 0).otherwise(1)
+    key, unique = KEY, "_row"
+    df = checkpointed(df.withColumn(unique, F.monotonically_increasing_id()))
+    us, money = X.micros("timestamp"), F.coalesce(F.col("amount").cast("decimal(38,6)"), F.lit(0).cast("decimal(38,6)"))
+    big = F.when(F.col("amount") >= limit, 1).otherwise(0)
     enter = df.select(key, us.alias("_at"), F.lit(0).alias("_step"), F.col(unique).alias("_id"),
                       F.lit(1).alias("_c"), money.alias("_m"), big.alias("_b"))
     ask = enter.select(key, "_at", F.lit(1).alias("_step"), "_id", F.lit(0).alias("_c"),
@@ -58,7 +62,7 @@ def _swept_label(df: DataFrame, w_us: int, limit: float, min_n: int, floor: floa
                                {"_open": ("sum", F.col("_c"))}).where(F.col("_step") == 1)
     label = (open_ends.select("_id", X.flag(F.col("_open") > 0).cast("int").alias("is_structuring"))
              .join(ends.select("_id", "ends_burst"), "_id"))
-    return df.join(label, df[unique] == label["_id"]).drop("_id").select(*df.columns, "ends_burst", "is_structuring")
+    return df.join(label, df[unique] == label["_id"]).select(*[c for c in df.columns if c != unique], "ends_burst", "is_structuring")
 
 
 def label_bursts(df: DataFrame, window_s: float = C.BURST_WINDOW_SECONDS, limit: float = C.REPORTING_LIMIT,

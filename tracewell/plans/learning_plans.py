@@ -185,7 +185,7 @@ def isolation_forest(spark, d):
     normal = rows.where(F.col("is_fraud_pair") == 0)
     scaled = checkpointed(M.scale(rows, C.LINK_FEATURES, fit=normal))
     cols = [f"{c}_scaled" for c in C.LINK_FEATURES]
-    forest = IsolationForest(cols).fit(scaled.where(F.col("is_fraud_pair") == 0))
+    forest = IsolationForest(cols).fit(scaled.where(F.col("is_fraud_pair") == 0), ["transaction_id", "access_id"])
     scored = L.link_score(forest.score(scaled), "forest_score")
     return scored.select("transaction_id", "access_id", "forest_score", "is_outlier", "link_score", "link_suspicious")
 

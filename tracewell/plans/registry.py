@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import micros
-from tracewell.session import use_utc
+from tracewell.session import STATE_STORE, use_utc
 from tracewell.sources import views
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,8 @@ def query(name: str, sql: str | None = None, tables: str = "", ctes: str = "") -
 def prepare(spark: SparkSession) -> None:
     """UTC, and on a local master as many shuffle partitions as cores in place of the default 200."""
     use_utc(spark)
+    if spark.conf.get(STATE_STORE[0], None) != STATE_STORE[1]:
+        spark.conf.set(*STATE_STORE)
     sc = spark.sparkContext
     if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
         spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))

@@ -34,7 +34,7 @@ SIGNALS = f"""{PAIRS}, {FEATURES}, {SCORED}, {RULE}, {GP.EDGES}, {GP.DIGRAPH}, {
   roles as (select *, {ROLE_ERROR} as err, round({ROLE_LIMIT}, 5) as lim, {ROLE_ERROR} > {ROLE_LIMIT} as odd from access_events),
   signals as (
     select 'transaction' as source, t.transaction_id as source_id, t.account_id, t.timestamp, t.is_fraud, round(b.score, 4) as link_score, cast(format('{{:.2f}}', b.minutes) as double) as link_gap,
-      (b.score > 0.5 or b.minutes <= 4) as link_on, b.drivers, case when t.scenario = 'circular_transfer' and g.closed_at <= t.timestamp then g.ring_score end as ring_score,
+      (b.score > 0.5 or b.minutes <= 4) as link_on, b.drivers, case when g.closed_at <= t.timestamp then g.ring_score end as ring_score,
       g.cycle_path, g.quantum, case when p.days > 30 and p.ratio > 10 then 0.85::double else 0.15::double end as profile_score, (p.days > 30 and p.ratio > 10) as profile_on, {REASONS} as reasons,
       case when x.matched then 0.9::double else 0.1::double end as burst_score, x.matched as burst_on, x.aggregate_amount, null::double as role_score, false as role_on, null::varchar[] as role_lines
     from transactions t left join (select *, {DRIVERS} as drivers from before) b using (transaction_id) left join first_ring g on g.account_id = t.account_id join past p using (transaction_id) join rule x using (transaction_id)
@@ -133,9 +133,12 @@ def case_export(spark, d):
     return rows.select(*[F.get_json_object("payload", f"$.{c}").alias(c) for c in ("alert_id", "severity", "account_id")])
 
 
-@query("alert_lookup", f"select alert_id, account_id from alerts where account_id = '{TARGET}'", "at", ALERTS)
+@query("alert_lookup", f"select alert_id, account_id from alerts where alert_id = (select min(alert_id) from alerts where account_id = '{TARGET}')", "at", ALERTS)
 def alert_lookup(spark, d):
-    return alerts(spark, d).where(F.col("account_id") == TARGET).select("alert_id", "account_id")
+    rows = alerts(spark, d)
+    # The id to look up stands in a table: the first one of the account.
+    wanted = rows.where(F.col("account_id") == TARGET).agg(F.min("alert_id")).scalar()
+    return K.alert_by_id(rows, wanted).select("alert_id", "account_id")
 
 
 _ALL_WEIGHTS = repr(sum(C.DOSSIER_WEIGHTS.values()))

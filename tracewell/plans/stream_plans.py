@@ -19,6 +19,25 @@ def _events(spark, d):
     return readers.read_event_stream(spark, d, schemas.EVENTS, "parquet", glob="events.parquet")
 
 
+BATCHES = 4
+
+
+def _shuffled(spark, d, run, late=True, repeat=False):
+    """The transactions as files that a stream takes one by one: in time order, or dealt out by a hash, so that most rows come
+    after later ones; ``repeat`` writes every row into two files."""
+    rows = txns(spark, d)
+    if late:
+        part = F.pmod(F.crc32("transaction_id"), F.lit(BATCHES))
+    else:
+        span = rows.agg(F.struct(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))).scalar()
+        part = F.least(F.floor((us("timestamp", "a") - us(span["lo"], "b")) * BATCHES / (us(span["hi"], "c") - us(span["lo"], "d") + 1)), F.lit(BATCHES - 1))
+    rows = rows.withColumn("_part", part.cast("int"))
+    for i in range(BATCHES):
+        mine = (F.col("_part") == i) | ((F.col("_part") + 1) % BATCHES == i) if repeat else F.col("_part") == i
+        rows.where(mine).drop("_part").coalesce(1).write.parquet(f"{run}/in/p={i}")
+    return f"{run}/in/p=*"
+
+
 @query("stream_link", "select transaction_id, access_id, gap_seconds from pairs", "at", PAIRS)
 def stream_link(spark, d):
     pairs = S.stream_link(views.project_access(_events(spark, d)), views.project_transactions(_events(spark, d)))
@@ -27,7 +46,9 @@ def stream_link(spark, d):
 
 @query("stream_structuring", "select transaction_id, cluster_count::int as cluster_count, aggregate_amount, matched::int as rule_matched from rule", "t", RULE)
 def stream_structuring(spark, d):
-    out = runs.drain(S.stream_bursts(views.project_transactions(_events(spark, d)), window_s=BURST_S), runs.new_run(spark))
+    run = runs.new_run(spark)
+    stream = readers.read_event_stream(spark, _shuffled(spark, d, run, late=False), txns(spark, d).schema, "parquet", max_files=1)
+    out = runs.drain(S.stream_bursts(stream, window_s=BURST_S), run)
     return out.select("transaction_id", "cluster_count", "aggregate_amount", F.col("rule_matched").cast("int").alias("rule_matched"))
 
 
@@ -36,20 +57,23 @@ def stream_structuring(spark, d):
 def stream_counters(spark, d):
     run = runs.new_run(spark)
     runs.write_replay(access(spark, d), txns(spark, d), f"{run}/events", 2)
-    runs.drain_batches(S.stream_counters(runs.read_replay(spark, f"{run}/events")), run, S.table_sink(f"{run}/counts"), mode="complete")
-    return spark.read.parquet(f"{run}/counts/latest-*").groupBy("topic").agg(F.max("n_events").alias("n_events"), us(F.max("last_seen"), "last_us"))
+    runs.drain_batches(S.stream_counters(runs.read_replay(spark, f"{run}/events")), run, S.table_sink(f"{run}/counts"), mode="update")
+    return S.newest(spark, f"{run}/counts", ["topic"]).select("topic", "n_events", us("last_seen", "last_us"))
 
 
 @query("stream_nodes", "select src as account_id, count(*) as txn_count, round(sum(amount), 2) as total_outflow from edges where edge_type = 'TRANSFER' group by src", "at", EDGES)
 def stream_nodes(spark, d):
     run = runs.new_run(spark)
-    runs.drain_batches(S.stream_nodes(views.project_transactions(_events(spark, d))), run, S.table_sink(f"{run}/nodes"), mode="complete")
-    return spark.read.parquet(f"{run}/nodes/latest-*").select("account_id", "txn_count", F.round("total_outflow", 2).alias("total_outflow"))
+    stream = readers.read_event_stream(spark, _shuffled(spark, d, run), txns(spark, d).schema, "parquet", max_files=1)
+    runs.drain_batches(S.stream_nodes(stream), run, S.table_sink(f"{run}/nodes"), mode="update")
+    return S.newest(spark, f"{run}/nodes", ["account_id"]).select("account_id", "txn_count", F.round("total_outflow", 2).alias("total_outflow"))
 
 
 @query("stream_unique", "select transaction_id, amount from transactions", "t")
 def stream_unique(spark, d):
-    return runs.drain(S.unique_transfers(views.project_transactions(_events(spark, d))).select("transaction_id", "amount"), runs.new_run(spark))
+    run = runs.new_run(spark)
+    stream = readers.read_event_stream(spark, _shuffled(spark, d, run, repeat=True), txns(spark, d).schema, "parquet", max_files=1)
+    return runs.drain(S.unique_transfers(stream, "400 days").select("transaction_id", "amount"), run)
 
 
 @query("stream_alerts", "select alert_id, account_id, score as composite_risk_score, severity from alerts", "at", ALERTS)

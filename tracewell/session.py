@@ -15,7 +15,11 @@ cloudpickle.register_pickle_by_value(sys.modules["tracewell"])
 # Inputs whose estimated size is below this may be handled by one task or broadcast.
 SINGLE_TASK_BYTES = 64 << 20
 
+# One state store for every stream of a session: large state stays off the heap, and restarts find what they left.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 _DEFAULTS = {
+    STATE_STORE[0]: STATE_STORE[1],
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,23 +45,31 @@ class BurstBuffer(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = ["transaction_id", "timestamp", "amount"]
-        seen = pd.DataFrame(list(self.rows.get()), columns=names) if self.rows.exists() else pd.DataFrame(columns=names)
-        fresh = pd.concat(list(rows)).sort_values(["timestamp", "transaction_id"])
-        kept = [tuple(r) for r in seen.itertuples(index=False)]
-        out = []
-        for r in fresh.itertuples(index=False):
-            kept.append((r.transaction_id, r.timestamp, r.amount))
-            kept.sort(key=lambda k: (k[1], k[0]))
-            kept = kept[-self.keep:]
-            if not r.repeat:
-                near = [a for _, t, a in kept if r.timestamp - self.window <= t <= r.timestamp and a < self.limit]
-                total = float(sum(near))
-                out.append((key[0], int(key[1]), r.transaction_id, r.timestamp, r.amount, len(near), round(total, 2),
-                            len(near) >= self.min_n and total >= self.floor))
-        self.rows.put([(i, pd.Timestamp(t).to_pydatetime(), float(a)) for i, t, a in kept])
+        fresh = pd.concat(list(rows))[[*names, "repeat"]].assign(new=True)
+        if self.rows.exists():
+            seen = pd.DataFrame(list(self.rows.get()), columns=names).assign(repeat=True, new=False)
+            fresh = pd.concat([seen, fresh]) if len(seen) else fresh
+        every = fresh.sort_values(["timestamp", "transaction_id"], kind="stable").reset_index(drop=True)
+        ts = every["timestamp"].to_numpy("datetime64[ns]")
+        small = every["amount"].to_numpy(float)
+        below = small < self.limit  # false where there is no amount
+        count = np.concatenate([[0], np.cumsum(below)])
+        total = np.concatenate([[0.0], np.cumsum(np.where(below, small, 0.0))])
+        # A row sees its window, as far back as its last ``keep`` rows, whenever it arrives.
+        ask = np.flatnonzero((every["new"] & ~every["repeat"].astype(bool)).to_numpy())
+        lo = np.maximum(np.searchsorted(ts, ts[ask] - self.window.to_timedelta64(), "left"), ask + 1 - self.keep)
+        n, amount = count[ask + 1] - count[lo], np.round(total[ask + 1] - total[lo], 2)
+        mine = every.iloc[ask]
+        out = pd.DataFrame({"a": key[0], "s": int(key[1]), "t": mine["transaction_id"], "ts": mine["timestamp"], "m": mine["amount"], "n": n, "sum": amount,
+                            "hit": (n >= self.min_n) & (amount >= self.floor)})
+        # Rows that a later one may still look back to: it can't be older than the watermark.
+        oldest = pd.Timestamp(max(timerValues.getCurrentWatermarkInMs(), 0), unit="ms") - self.window
+        kept = every[every["timestamp"] >= oldest]
+        self.rows.put([(i, pd.Timestamp(t).to_pydatetime(), float(a)) for i, t, a in kept[names].itertuples(index=False)])
         # The slice's state goes once the watermark is a slice past its end.
         self.handle.registerTimer(int((key[1] + 2) * self.slice_s * 1000))
-        yield pd.DataFrame(out, columns=schemas.BURST_OUT.names)
+        out.columns = schemas.BURST_OUT.names
+        yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.rows.clear()
@@ -77,7 +86,6 @@ def stream_bursts(txns: DataFrame, window_s: float = C.BURST_WINDOW_SECONDS, kee
     State is kept per account and time slice; rows near a slice's end are sent to the next slice too, so a
     busy account's history is spread over keys and old slices expire whole.
     """
-    txns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", runs.ROCKSDB)
     slice_s = 10 * window_s
     slot = lambda us: F.floor(us / F.lit(int(slice_s * 1e6))).cast("long")
     us = X.micros("timestamp")
@@ -101,12 +109,20 @@ def stream_nodes(txns: DataFrame) -> DataFrame:
 
 
 def table_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Keeps the newest complete result in ``path``/latest-<batch>."""
+    """Keeps the rows that each batch changed in ``path``/batch=<batch>; a batch that runs again overwrites its own."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/latest-{batch_id:08d}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return write
 
 
+def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The table that update-mode batches of :func:`table_sink` make: of each key the row of its last batch."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
+    return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def unique_transfers(txns: DataFrame, delay: str = "24 hours") -> DataFrame:
     """Repeated transaction ids within the watermark are dropped."""
     return txns.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["transaction_id"])
@@ -118,7 +134,7 @@ def alert_batch(spark: SparkSession, store: str, out: str, burst_window_s: float
 
     The stored tables are the state: events, and per batch the transfers summed by pair, from which the current
     digraph is merged without reading old transfers. Only accounts in the batch are read back, and rings are sought
-    only through accounts that just made a flagged transfer. A batch that runs again overwrites its own folders.
+    only through accounts that just made a transfer. A batch that runs again overwrites its own folders.
     """
     def stored(name: str, batch_id: int) -> DataFrame:
         return spark.read.parquet(f"{store}/{name}").where(F.col("batch") <= batch_id).drop("batch")
@@ -136,7 +152,7 @@ def alert_batch(spark: SparkSession, store: str, out: str, burst_window_s: float
         near_txns = stored("txns", batch_id).join(touched, "account_id", "left_semi")
         digraph = (stored("pairs", batch_id).groupBy("src", "dst")
                    .agg(F.sum("amount").alias("amount"), F.sum("txn_count").alias("txn_count"), F.min("first_ts").alias("first_ts")))
-        movers = new_txns.where(F.col("scenario") == "circular_transfer").select(F.col("account_id").alias("s")).distinct()
+        movers = new_txns.select(F.col("account_id").alias("s")).distinct()
         rings = G.ring_summary(G.find_cycles(digraph, target=movers), digraph)
         signals = D.all_signals(near_access, near_txns, rings, burst_window_s=burst_window_s)
         new_ids = (new_access.select(F.lit("access").alias("source"), F.col("event_id").cast("string").alias("source_id"))

@@ -14,7 +14,6 @@ from tracewell.sources.slicing import STREAM_ORDER, interleave
 from tracewell.session import fresh_dir
 
 JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"  # the default keeps milliseconds only
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def new_run(spark: SparkSession) -> str:
