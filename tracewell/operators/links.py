@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell import constants as C
 from tracewell.functions import columns as X
 from tracewell.functions import text
+from tracewell.operators.evaluate import pair_label
 from tracewell.operators.stats import group_stats
 
 _ACCESS_NAMES = {"event_id": "access_id", "timestamp": "access_ts", "branch_code": "access_branch"}
@@ -162,14 +163,10 @@ def link_features(pairs: DataFrame, zscore: str = "fixed") -> DataFrame:
            .withColumn("hour_of_access", X.hour_of("access_ts").cast("double"))
            .withColumn("day_of_week", X.weekday_of("access_ts").cast("double"))
            .withColumn("transaction_type_encoded", X.encode_type("transaction_type", "link"))
-           .withColumn("is_fraud_pair", pair_label()))
+           .withColumn("is_fraud_pair", pair_label("is_suspicious", "is_fraud")))
     return out.drop("mean_amount", "std_amount")
 
 
-def pair_label() -> Column:
-    return ((F.coalesce("is_suspicious", F.lit(0)) == 1) | (F.coalesce("is_fraud", F.lit(0)) == 1)).cast("int")
-
-
 def history_zscore(amount: Column, history: Column) -> Column:
     """Score of an amount against an array of past amounts; population deviation, 0 counts as 1.
 

@@ -10,7 +10,7 @@ from tracewell.operators import profile as P
 from tracewell.operators import roles as R
 from tracewell.operators import structuring as B
 from tracewell.plans.link_plans import type_code
-from tracewell.plans.registry import BURST_HOURS, access, ledger, query, r, txns, us
+from tracewell.plans.registry import BURST_HOURS, SQL, access, ledger, query, r, txns, us
 
 BURST_S = BURST_HOURS * 3600
 W = "partition by account_id order by timestamp, transaction_id"
@@ -172,6 +172,37 @@ def sequence_tensor(spark, d):
     return seq.select("transaction_id", *[at(i, 0).alias(f"amount_{i}") for i in range(5)], *[at(i, 1).alias(f"below_{i}") for i in range(5)])
 
 
+# Long sequences are shown as one sum per feature, each step weighted by its place, so that values and places both count.
+_STEP_PLACES = {"time_since_last_minutes": 3, "time_since_last_steps": 3, "cumulative_amount_window": 2}
+
+
+def _weighted(seq: str, j: int, name: str):
+    total = F.aggregate(F.transform(seq, lambda v, i: (i + 1) * v[j]), F.lit(0.0), lambda a, x: a + x)
+    return r(total, _STEP_PLACES.get(name, 6), name)
+
+
+@query("sequence_tensor_full", "select transaction_id, " + ", ".join(f"round(coalesce(sum(n * {c}) over f - (n - 30) * sum({c}) over f, 0), {_STEP_PLACES.get(c, 6)}) + 0.0 as {c}" for c in C.BURST_FEATURES)
+       + f" from (select *, row_number() over ({W}) as n from sequences) window f as ({W} rows between 29 preceding and current row)", "t", f"{GAPS}, {SEQUENCE}")
+def sequence_tensor_full(spark, d):
+    rows = B.sequence_features(txns(spark, d))
+    rows = rows.withColumns({c: r(c, 2 if c == "cumulative_amount_window" else 6) for c in C.BURST_FEATURES if c != "time_since_last_minutes"})
+    seq = B.sequence_tensor(rows, C.BURST_FEATURES, 30)
+    return seq.select("transaction_id", *[_weighted("sequence", j, c) for j, c in enumerate(C.BURST_FEATURES)])
+
+
+_LOADER = SQL["loader_sequence_features"].split("select txn_key,", 1)[1]
+
+
+@query("account_sequences_full", "select account_id, " + ", ".join(f"round(sum((21 - k) * {c}) filter (where k <= 20), {_STEP_PLACES.get(c, 6)}) + 0.0 as {c}" for c in C.LOADER_SEQUENCE_FEATURES)
+       + """, max(m) as label from (select *, row_number() over (partition by account_id order by timestamp desc, txn_key desc) as k, max(isfraud) over (partition by account_id) as m from steps) group by account_id""",
+       "l", f"steps as (select account_id, timestamp, isfraud, txn_key,{_LOADER})")
+def account_sequences_full(spark, d):
+    rows = B.loader_sequence_features(ledger(spark, d))
+    rows = rows.withColumns({c: r(c, 6) for c in C.LOADER_SEQUENCE_FEATURES if c != "time_since_last_steps"})
+    seq = B.account_sequences(rows, C.LOADER_SEQUENCE_FEATURES, "isfraud", 20)
+    return seq.select("account_id", *[_weighted("sequence", j, c) for j, c in enumerate(C.LOADER_SEQUENCE_FEATURES)], "label")
+
+
 @query("account_sequences", "select account_id, " + ", ".join(f"coalesce(max(amount) filter (where k = {5 - i}), 0) as amount_{i}" for i in range(5))
        + """, max(m) as label from (select account_id, amount, row_number() over (partition by account_id order by timestamp desc, txn_key desc) as k,
   max(isfraud) over (partition by account_id) as m from ledger) group by account_id""", "l")

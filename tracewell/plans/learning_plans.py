@@ -18,6 +18,7 @@ from tracewell.operators.forest import IsolationForest
 from tracewell.operators.risk import top_scores
 from tracewell.operators.stats import keep_active
 from tracewell.plans.history_plans import BURST_S
+from tracewell.plans.link_plans import PAIRS
 from tracewell.plans.registry import access, ledger, query, r, txns
 from tracewell.session import checkpointed
 from tracewell.sources.readers import scored_types
@@ -122,6 +123,13 @@ def pair_labels(spark, d):
     return rows.groupBy("scenario").agg(F.sum("label").alias("n_positive"), F.count(F.lit(1)).alias("n_rows"))
 
 
+@query("link_pair_labels", """select is_suspicious, is_fraud, (coalesce(is_suspicious, 0) = 1 or coalesce(is_fraud, 0) = 1)::int as label, count(*) as n_pairs from pairs group by all""", "at", PAIRS)
+def link_pair_labels(spark, d):
+    """Either side of a pair makes it positive."""
+    rows = L.temporal_link(access(spark, d), txns(spark, d)).withColumn("label", V.pair_label())
+    return rows.groupBy("is_suspicious", "is_fraud", "label").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
 @query("chrono_split", """select transaction_id, case when i > floor(0.8 * n) then 'test' when i > floor(0.8 * floor(0.8 * n)) then 'val' else 'train' end as split from (
   select transaction_id, row_number() over (order by timestamp, transaction_id) as i, count(*) over () as n from transactions)""", "t")
 def chrono_split(spark, d):

@@ -177,6 +177,17 @@ def dossier(spark, d):
     return case.select("alert_id", "severity", "composite_risk_score", F.col("timeline")[0]["event"].alias("event"), us(F.col("timeline")[0]["timestamp"], "ts_us"))
 
 
+@query("dossier_neighbourhood", f"""select 'alert' as part, alert_id as id, severity as detail from alerts where account_id = '{TARGET}'
+  union all select 'node', id, node_type from nodes where id in (select id from ego)
+  union all select 'edge', src || '->' || dst, cast(key as varchar) from edges where src in (select id from ego) and dst in (select id from ego)""", "at", f"{ALERTS}, {GP.NODES}, {GP.EGO}")
+def dossier_neighbourhood(spark, d):
+    """The whole case file: alerts, and the nodes and edges around the account."""
+    case, near, between = O.dossier(alerts(spark, d), GP.nodes(spark, d), GP.edges(spark, d), TARGET)
+    return (case.select(F.lit("alert").alias("part"), F.col("alert_id").alias("id"), F.col("severity").alias("detail"))
+            .unionByName(near.select(F.lit("node").alias("part"), "id", F.col("node_type").alias("detail")))
+            .unionByName(between.select(F.lit("edge").alias("part"), F.concat_ws("->", "src", "dst").alias("id"), F.col("key").cast("string").alias("detail"))))
+
+
 @query("alert_neighbourhoods", """select alert_id, n_edges, n_neighbours from alerts left join (select account_id, count(*) as n_edges, count(distinct other) as n_neighbours from (
   select src as account_id, dst as other from edges union all select dst, src from edges) group by account_id) using (account_id)""", "at", ALERTS)
 def alert_neighbourhoods(spark, d):
