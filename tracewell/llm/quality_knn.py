@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.words import Words
 
-SAMPLE = 4_000  # labelled documents at most, chosen by a hash of the id
-PAIRS, WORDS = 1024, 512  # hashed terms of each kind
+SAMPLE = 2_000  # labelled documents at most, chosen by a hash of the id
+PAIRS, WORDS = 512, 256  # hashed terms of each kind
 DIMENSIONS, NEIGHBOURS = 48, 25
 POWER = 8.0  # a neighbour's weight is its cosine to this power
 PRIOR = 0.5  # weight of the labelled texts' mean label in every vote
@@ -38,7 +38,7 @@ def _reader() -> Words:
 
 def _pair_table() -> np.ndarray:
     codes = np.arange(65536, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (codes >> np.uint64(54)).astype(np.int64) % PAIRS
+    return (codes >> np.uint64(40)).astype(np.int64) % PAIRS
 
 
 def term_counts(reader: Words, pairs: np.ndarray, texts: pa.Array) -> np.ndarray:
