@@ -26,27 +26,23 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.words import mix, runs, space_separated
+from tracewell.llm.words import Words, runs, space_separated
 from tracewell.session import checkpointed, fresh_dir
 
 SHINGLE, PERCENT = 5, 80
-CHUNK_TOKENS, RANGE_TOKENS = 1 << 21, 1 << 21  # tokens of a chunk and of a token range, about
+CHUNK_TOKENS, RANGE_TOKENS = 1 << 19, 1 << 20  # tokens of a chunk and of a token range, about
 ORDERS = 3
 MANY = 1 << 23  # a chunk has fewer documents than this
 TOKEN_BITS = 48  # of a shingle's 64-bit hash; in one comparison of two documents a chance match has odds of about 1e-9
 
 
-def _sets(batches: Iterator[pa.RecordBatch], column: int, shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """The sorted distinct shingle hashes of every document of a batch."""
-    reader = space_separated()
-    for batch in batches:
-        out: list[np.ndarray] = []
-        for lo, hi, hashes, offsets in reader.blocks(batch.column(column)):
-            all_runs = runs(hashes, shingle)
-            for d in range(hi - lo):
-                a, z = int(offsets[d]), int(offsets[d + 1])
-                out.append(np.unique(all_runs[a : z - shingle + 1] if z - a >= shingle else runs(hashes[a:z], z - a) if z > a else hashes[:0]))
-        yield batch, out
+def _sets(reader: Words, texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of one text after the other."""
+    for lo, hi, hashes, offsets in reader.blocks(texts):
+        all_runs = runs(hashes, shingle)
+        for d in range(hi - lo):
+            a, z = int(offsets[d]), int(offsets[d + 1])
+            yield np.unique(all_runs[a : z - shingle + 1] if z - a >= shingle else runs(hashes[a:z], z - a) if z > a else hashes[:0])
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -73,8 +69,10 @@ def _least(n, percent: int):
 def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, node, n): 128-bit digest of each document's set and its size."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, 1, shingle):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "node", "n"])
+        reader = space_separated()
+        for batch in batches:
+            found = [(_digest(s), len(s)) for s in _sets(reader, batch.column(1), shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "node", "n"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, node binary, n long")
 
@@ -114,12 +112,13 @@ def _send(docs: DataFrame, text: str, shingle: int, ranges: int, chunk_tokens: i
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)],
                                               names=["chunk", "shard", "tokens", "owners", "nodes", "sizes"])
 
-        for _, sets in _sets(batches, 0, shingle):
-            for s in sets:
+        reader = space_separated()
+        for batch in batches:
+            for s in _sets(reader, batch.column(0), shingle):
                 key = _digest(s)
                 if not len(s) or key in seen:  # a copy within the task adds nothing
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(key)
                 nodes.append(key)
                 sizes.append(len(s))
@@ -326,8 +325,10 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     column = docs.columns.index(text)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, column, shingle):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_digest(s) for s in sets], pa.binary())], names=[*batch.schema.names, "node"])
+        reader = space_separated()
+        for batch in batches:
+            digests = [_digest(s) for s in _sets(reader, batch.column(column), shingle)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=[*batch.schema.names, "node"])
 
     own = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
     key = F.col(names[doc_id]).cast("long")
