@@ -232,8 +232,8 @@ def flat_sequence(df: DataFrame, sequence: str = "sequence") -> DataFrame:
 
 
 def fit_profile(df: DataFrame, cols: list[str] = C.PROFILE_FEATURES, label: str = "isfraud", validation: str | None = None,
-                trees: int = 20, depth: int = 5, step: float = 0.1, seed: int = 42) -> PipelineModel:
-    """Boosted trees with class weights; with a boolean ``validation`` column training stops early on it."""
+                trees: int = 200, depth: int = 8, step: float = 0.1, seed: int = 42) -> PipelineModel:
+    """Boosted trees with class weights; with a boolean ``validation`` column training stops once the error on it no longer falls."""
     train = class_weight(df.withColumn("label", F.col(label).cast("double")), "label").na.drop(subset=cols)
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=step,
                         subsamplingRate=0.85, featureSubsetStrategy="0.85", seed=seed)

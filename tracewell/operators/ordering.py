@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import as_col
-from tracewell.session import checkpointed, fits_one_task, plan_bytes, setting
+from tracewell.session import checkpointed, fits_one_task, setting
 
-RANGE_BYTES = 128 << 20  # estimated bytes of a range partition
 Order = Sequence["str | Column"]
 _POSITION_BITS = 33
 
@@ -36,9 +35,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
 def _fixed_order(df: DataFrame, by: list[str], order: Order) -> DataFrame:
     """Rows in range partitions of the sort key, with partition number and place kept in a checkpoint."""
     spark = df.sparkSession
-    # As many as shuffles have, and more where the rows would not fit: an explicit number is not split afterwards.
-    size = plan_bytes(df) or 0
-    parts = setting(spark, "orderPartitions", max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
+    # Size estimates of joins are products and can't tell how many are needed: it is for the session to say.
+    parts = setting(spark, "orderPartitions", int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.col(c) for c in by] + [as_col(c) for c in order]
     placed = (df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
               .withColumn("_ord_mid", F.monotonically_increasing_id()))
