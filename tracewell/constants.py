@@ -23,7 +23,6 @@ PROFILE_THRESHOLD = 0.3547236180904523
 
 # Access-side code tables.
 ROLES = ["loan_officer", "savings_representative", "branch_manager", "it_admin", "compliance_officer"]
-ACCOUNT_TYPES = ["loan", "mortgage", "savings", "checking", "business", "system", "audit"]
 ROLE_ACCOUNT_TYPES = {
     "loan_officer": ["loan", "mortgage"],
     "savings_representative": ["savings", "checking"],
@@ -116,19 +115,12 @@ DOSSIER_ACTIONS = {
     "MEDIUM": "WATCHLIST MONITOR: Flag account for enhanced monitoring over next 72 hours; enforce lower OTP limits.",
     "LOW": "LOGGED: Normal event logged to audit stream with no active intervention required.",
 }
-SEVERITY_RANK = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3}
 
-# Profile reasons: feature, contribution, explanation.
+# Profile reasons (fixed texts): feature, explanation.
 PROFILE_REASONS = {
-    "errorBalanceOrig": "Balance arithmetic discrepancy — funds vanished, strongly consistent with fraudulent diversion.",
-    "balance_drop_ratio": "Account balance drained close to zero — mule account washout pattern.",
     "amount_vs_historical_mean_ratio": "Transaction is far larger than this account's historical average — profile mismatch.",
     "is_dormant_account": "Account was dormant for >30 days and suddenly activated — dormant account hijacking pattern.",
     "balance_is_zero_after": "Balance is exactly INR 0 after transfer — complete account liquidation detected.",
-    "is_new_counterparty": "Funds sent to counterparty never seen in account history — unknown destination.",
-    "current_amount": "Abnormally high single transaction value relative to retail banking baseline.",
-    "days_since_last_transaction": "Long inactive gap prior to this large transaction spike.",
-    "type_matches_history": "Channel switch — account using a payment method it has never used historically.",
 }
 PROFILE_REASON_CONTRIBUTIONS = {
     "is_dormant_account": 0.42,
@@ -160,26 +152,12 @@ INCIDENTS = [
      "Income Tax Department 'Operation Clean Money' Guidelines"),
 ]
 
-# Scenario catalogue: id, title, incident, quantum, context, description, model, expected events, speed, window.
+# Scenario catalogue: id, title, description (own words); fixed values: expected events, replay speed.
 SCENARIOS = [
-    ("temporal_link", "4-Minute Insider Collusion Link", "Citibank India Wealth Management Scam (2010)", "INR 400 Crore",
-     "PMLA 2002 Section 3, RBI Master Direction on Fraud Classification",
-     "Bank loan officer accesses customer savings account. Within 4 minutes, large outbound fund transfers depart to external beneficiary accounts.",
-     "Isolation Forest (Temporal Link) + Role Autoencoder", 266, 500.0, "4 minutes"),
-    ("structuring", "Hawala Structuring / Smurfing Burst", "Hawala Syndicates & ED Smurfing Operations (Ongoing)",
-     "Sub-INR 50,000 Fragmented Bursts (CTR Evasion)",
-     "PMLA 2002 Rule 3(1)(A) (Cash transaction reporting threshold evasion)",
-     "Rapid succession of 3+ transfers between INR 30,000 and INR 49,500 within 2 hours, cumulatively exceeding reporting limits without triggering CTR.",
-     "LSTM + Attention (Structuring Detector)", 99, 500.0, "2 hours"),
-    ("circular_transfer", "Layered Circular Transfer Ring", "Saradha Financial Syndicate Fraud (2013)", "INR 2,500 Crore",
-     "SEBI Collective Investment Scheme Regulations, FIU-IND RFI-08",
-     "Multi-hop closed loop transfer (A ➔ B ➔ C ➔ A) across shell accounts with disguised round-tripping to inflate commercial velocity.",
-     "Circular Flow Detector + Node2Vec Ring Cohesion", 15, 200.0, "Real-time Graph Cycle"),
-    ("clean_busy", "Benign High-Velocity Branch Operations (Clean Baseline)", "Legitimate Peak Banking Operations",
-     "Normal Commercial Payroll & Merchant Debits",
-     "Standard KYC & AML Audit Validation",
-     "High-volume branch transactions executed by authorized branch staff during standard hours. Demonstrates zero false positives.",
-     "All ML Engines (Low Anomaly Baseline)", 255, 500.0, "Standard Audit"),
+    ("temporal_link", "Access followed by transfers", "An employee opens an account and money leaves it within four minutes.", 266, 500.0),
+    ("structuring", "Bursts under the reporting limit", "Three or more transfers just below the limit within two hours that together exceed it.", 99, 500.0),
+    ("circular_transfer", "Money that comes back", "Transfers over several accounts that close a ring.", 15, 200.0),
+    ("clean_busy", "Busy but clean branch", "Many ordinary transactions that should raise nothing.", 255, 500.0),
 ]
 
 # Graph display sizes and colours by node type.

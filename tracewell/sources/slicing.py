@@ -10,8 +10,7 @@ from tracewell import schemas
 from tracewell.functions.columns import gap_seconds
 from tracewell.operators.ordering import previous_value
 
-_CATALOGUE_COLUMNS = ["scenario_id", "title", "historical_incident", "quantum", "pmla_context", "description",
-                      "target_model", "expected_events", "recommended_speed", "detection_window"]
+_CATALOGUE_COLUMNS = ["scenario_id", "title", "description", "expected_events", "recommended_speed"]
 
 
 def scenario_slice(access: DataFrame, txns: DataFrame, scenario: str | None, pad: str = "2 hours") -> tuple[DataFrame, DataFrame]:
