@@ -1,6 +1,8 @@
 """Plain Python versions of the operators, for small tables."""
 
+import hashlib
 import itertools
+import math
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,3 +82,64 @@ def base_counts(text):
     covered = {p + d for v in places.values() if len(v) > 1 for p in v for d in range(5)}
     lines = [x for x in text.split("\n") if WORD.search(x)]
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def _sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def merkle_leaf(values):
+    return _sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def merkle_root(leaves, fanout, proofs):
+    """Root of a list of digests; ``proofs``, one list of steps for each, gets (before, after) of every level."""
+    level, above = list(leaves), [[k] for k in range(len(leaves))]
+    while len(level) > 1:
+        up, under = [], []
+        for k in range(0, len(level), fanout):
+            run = level[k:k + fanout]
+            for j, members in enumerate(above[k:k + fanout]):
+                for m in members:
+                    proofs[m].append((run[:j], run[j + 1:]))
+            up.append(_sha("".join(run)))
+            under.append([m for members in above[k:k + fanout] for m in members])
+        level, above = up, under
+    return level[0]
+
+
+def merkle(rows, fanout=8):
+    """rows: (order, group, leaf). {row number: (subroot, root, proof digest, proof)}."""
+    groups = {}
+    for k, (order, group, leaf) in enumerate(rows):
+        groups.setdefault(group, []).append((order is not None, order or 0, leaf, k))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    proofs, subroots = {k: [] for k in range(len(rows))}, []
+    for g in names:
+        members = [m[3] for m in sorted(groups[g])]
+        found = [[] for _ in members]
+        subroots.append(merkle_root([rows[m][2] for m in members], fanout, found))
+        for m, p in zip(members, found):
+            proofs[m] += p
+    top = [[] for _ in names]
+    root = merkle_root(subroots, fanout, top) if names else None
+    out = {}
+    for g, sub, p in zip(names, subroots, top):
+        for *_, k in groups[g]:
+            steps = proofs[k] + p
+            out[k] = (sub, root, _sha("".join("".join(b) + "".join(a) for b, a in steps)), steps)
+    return out
+
+
+def hard_negatives(rows, modulus=100, n_pos=5, n_neg=10, low=30, high=90, scale=256):
+    """rows: (vec_id, vector, label), label as it is used."""
+    kept = [(i, [math.floor(scale * x) for x in v], y) for i, v, y in rows if i is not None and y is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for i, a, y in kept:
+        if i % modulus:
+            continue
+        scored = sorted(((sum(p * q for p, q in zip(a, v)), j, z) for j, v, z in kept if j != i), key=lambda s: (-s[0], s[1]))
+        for p, j, _ in [s for s in scored if s[2] == y][:n_pos]:
+            window = [s for s in scored if s[2] != y and low * p <= 100 * s[0] <= high * p][:n_neg]
+            out += [(i, j, k + 1, n, p, s) for k, (s, n, _) in enumerate(window)]
+    return sorted(out)

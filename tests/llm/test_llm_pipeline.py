@@ -31,6 +31,6 @@ def test_stages_on_no_documents(spark):
         assert stage(spark, docs, SF).count() == 0, name
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_each_operator_has_one_query(n):
     assert len([k for k in QUERIES if k.startswith(f"op{n}_")]) == 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat_format, decontaminate, jaccard_join, language_id, mixing, pii, quality_knn, quality_rules, sharding, warc
+from tracewell.llm import bpe, chat_format, decontaminate, jaccard_join, language_id, merkle, mixing, pii, quality_knn, quality_rules, sharding, warc
 from tracewell.plans.registry import prepare
 from tracewell.session import fresh_dir
 
@@ -174,3 +174,91 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def tampered_leaf():
+    """The leaf after an edit that lower-cases A-Z in every third document, or NULL for the others."""
+    edited = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = merkle.digest(*[merkle.field(edited if c == "text" else F.col(c)) for c in LEAF])
+    return F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, changed)
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string in DuckDB: eight shifts after each byte."""
+    bits = f"flatten(list_transform(range(1, length({text}) + 1), lambda k: list_prepend(ascii(substr({text}, k, 1))::bigint, [-1, -1, -1, -1, -1, -1, -1, -1]::bigint[])))"
+    step = "lambda c, e: case when e >= 0 then xor(c, e) else xor(c >> 1, (c & 1) * 3988292384) end"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {bits}), {step}), 4294967295::bigint)"
+
+
+def _tree_sql(name: str, leaves: str, depth: int) -> str:
+    """CTEs {name}0 to {name}{depth}, the levels of trees over (tree, i, n, digest); a node alone in its level stays there."""
+    out = [f"{name}0 as materialized (select tree, i, n, digest from {leaves})"]
+    for k in range(depth):
+        out.append(f"{name}{k + 1} as materialized (select tree, i // 8 as i, (any_value(n) + 7) // 8 as n, sha256(string_agg(digest, '' order by i)) as digest from {name}{k} where n > 1 group by tree, i // 8)")
+    return ",\n".join(out)
+
+
+def _step_sql(name: str, k: int) -> str:
+    """CTE {name}s{k}: the siblings of each node of a level, before and after it."""
+    side = lambda test: f"coalesce(string_agg(b.digest, '' order by b.i) filter (b.i {test} a.i), '')"
+    return f"{name}s{k} as materialized (select a.tree, a.i, {side('<')} as before, {side('>')} as after from {name}{k} a join {name}{k} b on a.tree = b.tree and a.i // 8 = b.i // 8 where a.n > 1 group by a.tree, a.i)"
+
+
+def _merkle_sql(depth: int = 8, top: int = 3) -> str:
+    """Trees of up to 8^depth leaves and 8^top groups."""
+    field = lambda v: f"coalesce(strlen(cast({v} as varchar)) || ':' || cast({v} as varchar), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(text if c == "text" else c) for c in LEAF) + ")"
+    edited = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    acc, proof, joins = "coalesce(l.changed, l.digest)", "", []
+    for name, key, count in (("t", "l.i", depth), ("u", "g.i", top)):
+        tree = "l.tree" if name == "t" else "g.one"
+        for k in range(count):
+            s = f"{name}s{k}"
+            joins.append(f"left join {s} on {s}.tree = {tree} and {s}.i = {key} // {8 ** k}")
+            proof += f" || coalesce({s}.before || {s}.after, '')"
+    folds, last = [], "f0"
+    for s in [f"ts{k}" for k in range(depth)] + [f"us{k}" for k in range(top)]:
+        new = f"f{len(folds) + 1}"
+        folds.append(f"{new} as (select * exclude ({s}_b, {s}_a, acc), case when {s}_b is null then acc else sha256({s}_b || acc || {s}_a) end as acc from {last})")
+        last = new
+    carried = ", ".join(f"{s}.before as {s}_b, {s}.after as {s}_a" for s in [f"ts{k}" for k in range(depth)] + [f"us{k}" for k in range(top)])
+    return f"""
+with d as (select doc_id, coalesce('=' || lang, '-') as tree, {leaf('text')} as digest, case when {_crc32_sql("cast(doc_id as varchar)")} % 3 = 0 then {leaf(edited)} end as changed from documents),
+l as materialized (select *, row_number() over (partition by tree order by doc_id nulls first, digest) - 1 as i, count(*) over (partition by tree) as n from d),
+{_tree_sql("t", "l", depth)},
+{", ".join(_step_sql("t", k) for k in range(depth))},
+g as materialized (select tree, digest, 0 as one, row_number() over (order by tree) - 1 as i, count(*) over () as n from ({" union all ".join(f"select tree, digest from t{k} where n = 1" for k in range(depth + 1))})),
+gl as (select one as tree, i, n, digest from g),
+{_tree_sql("u", "gl", top)},
+{", ".join(_step_sql("u", k) for k in range(top))},
+r as ({" union all ".join(f"select digest as root from u{k} where n = 1" for k in range(top + 1))}),
+f0 as (select l.doc_id, l.digest as leaf, g.digest as subroot, r.root, sha256(''{proof}) as proof_sha256, {acc} as acc, {carried}
+  from l join g on l.tree = g.tree cross join r {" ".join(joins)}),
+{", ".join(folds)}
+select doc_id, leaf, subroot, root, proof_sha256, acc as folded_root, acc = root as verified from {last}"""
+
+
+@register("op11_merkle_manifest", _merkle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle.manifest(table(spark, sf_dir, "documents"), "lang", "doc_id", LEAF, extra={"changed": tampered_leaf()})
+    reached = merkle.folded(F.coalesce("changed", "leaf"), F.col("steps"))
+    text = made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), reached.alias("folded_root"))
+    text = text.select("doc_id", *[merkle.hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")], "proof_sha256", merkle.hexed(F.col("folded_root")).alias("folded_root"))
+    return text.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+@register("op12_bpe_speculate_verify")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer = bpe.load(public_tokenizers.path(TOKENIZER))
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, keep=["doc_id"])
+    decoded = bpe.decode(encoded, tokenizer)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
