@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat_format, decontaminate, jaccard_join, language_id, merkle, mixing, pii, quality_knn, quality_rules, sharding, warc
+from tracewell.llm import bpe, chat_format, decontaminate, hard_negatives, jaccard_join, language_id, merkle, mixing, pii, quality_knn, quality_rules, sharding, warc
 from tracewell.plans.registry import prepare
 from tracewell.session import fresh_dir
 
@@ -262,3 +262,18 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe.decode(encoded, tokenizer)
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
+@register("op13_hard_negatives", """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as (select vec_id as anchor_id, label, v from e where vec_id % 100 = 0),
+s as materialized (select a.anchor_id, e.vec_id, e.label = a.label as same, cast(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: coalesce(a.v[i] * e.v[i], 0))) as bigint) as score from a join e on a.anchor_id <> e.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by anchor_id order by score desc, vec_id) as j from s where same),
+n as (select p.anchor_id, positive_id, positive_score, vec_id as negative_id, score as negative_score, row_number() over (partition by p.anchor_id, j order by score desc, vec_id) as rank
+  from p join s using (anchor_id) where j <= 5 and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 10""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0, "vec_id", "label", "embedding", positives=5, negatives=10, low=30, high=90, scale=256.0)
