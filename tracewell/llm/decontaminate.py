@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -171,7 +172,8 @@ def prepare(docs: DataFrame, items: DataFrame, text: str = "text", window: int =
         # A window with a shingle that no document holds can't occur.
         part = part[[rarity.get(p, 0) > 0 for p in part["prefix"]]]
         if len(part):
-            blocks.append(spark.sparkContext.broadcast(_Block(part.sort_values(["whole", "words"]).reset_index(drop=True), shingle)))
+            # Attributes only: executors may have no copy of the class.
+            blocks.append(spark.sparkContext.broadcast(vars(_Block(part.sort_values(["whole", "words"]).reset_index(drop=True), shingle))))
     return blocks
 
 
@@ -192,7 +194,7 @@ def find_overlap(docs: DataFrame, items: DataFrame, text: str = "text", window:
     column = kept.columns.index(text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, tables = letters_and_digits(), [b.value for b in blocks]
+        reader, tables = letters_and_digits(), [SimpleNamespace(**b.value) for b in blocks]
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             n, hit, spans, ids = [], [], [], []

@@ -104,6 +104,13 @@ class Model:
         self.basis = np.ascontiguousarray(vectors[:, ::-1][:, :DIMENSIONS], np.float32)
         self.vectors = self.project(counts)
 
+    @classmethod
+    def of(cls, state: dict) -> Model:
+        """The model whose attributes were broadcast: executors may have no copy of this class."""
+        model = cls.__new__(cls)
+        model.__dict__.update(state)
+        return model
+
     def project(self, counts: np.ndarray) -> np.ndarray:
         z = (_damped(counts) * self.weight - self.centre) @ self.basis
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
@@ -148,10 +155,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = docs.drop("score")
     column = kept.columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, pairs, m = _reader(), _pair_table(), shared.value
+        reader, pairs, m = _reader(), _pair_table(), Model.of(shared.value)
         for batch in batches:
             scores = [m.score(term_counts(reader, pairs, part)) for part in _batches(batch.column(column))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], names=[*batch.schema.names, "score"])
