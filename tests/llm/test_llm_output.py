@@ -188,3 +188,25 @@ def test_a_changed_archive_is_refused(spark, tmp_path):
         f.write(data)
     with pytest.raises(Exception, match="digest"):
         warc.read_archives(spark, folder).collect()
+
+
+def test_a_file_with_other_bytes_than_the_manifest_says_is_refused(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
+    folder = str(tmp_path / "a")
+    warc.write_archives(pages, folder)
+    name = f"{folder}/{[f for f in os.listdir(folder) if f.endswith('.gz')][0]}"
+    data = gzip.open(name).read()
+    with open(name, "wb") as f:  # the same records, packed in another way
+        f.write(gzip.compress(data, 1, mtime=7))
+    with pytest.raises(Exception, match="manifest"):
+        warc.read_archives(spark, folder).collect()
+
+
+def test_archives_are_read_by_as_many_tasks_as_there_are_files(spark, tmp_path):
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.md5(F.col("id").cast("string").cast("binary")), 40).alias("html"))
+    folder = str(tmp_path / "a")
+    warc.write_archives(pages, folder, file_bytes=4000, range_bytes=40000)
+    n = len([f for f in os.listdir(folder) if f.endswith(".gz")])
+    rows = warc.read_archives(spark, folder)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and n > 5
+    assert rows.rdd.getNumPartitions() == n and rows.count() == 300

@@ -120,6 +120,23 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES,
     ordered.mapInArrow(write, "file string, records long, bytes long, sha256 string").write.json(f"{folder}/manifest")
 
 
+class _Hashed(io.RawIOBase):
+    """A stream that counts and digests the bytes read from it."""
+
+    def __init__(self, stream):
+        self.stream, self.size, self.sha = stream, 0, hashlib.sha256()
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.stream.read(len(buffer))
+        buffer[: len(data)] = data
+        self.size += len(data)
+        self.sha.update(data)
+        return len(data)
+
+
 def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of every record of an archive, read as a stream."""
     with gzip.GzipFile(fileobj=stream) as f:
@@ -139,7 +156,8 @@ def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """A row per record of the archives in the manifest: page_id, url as stored, payload (NULL for revisits), its bytes and hex
-    SHA-1, record_type, and the page that a revisit refers to. Raises if a block, payload or file isn't what its digest says."""
+    SHA-1, record_type, and the page that a revisit refers to. There are as many tasks as files. Raises if a block or payload isn't
+    what its digest says, or a file has other bytes or records than the manifest has it."""
     files = spark.read.schema("file string, records long, bytes long, sha256 string").json(f"{folder}/manifest")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +168,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
             for listed in batch.to_pylist():
                 rows, held, n = [], 0, 0
                 with store.open_input_stream(f"{base}/{listed['file']}", compression=None) as stream:
-                    for headers, block in _records(stream):
+                    hashed = _Hashed(stream)
+                    for headers, block in _records(hashed):
                         http, _, payload = block.partition(b"\r\n\r\n")
                         size = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
                         digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -163,9 +182,10 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                         if held > 8 << 20 or len(rows) >= 5000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                             rows, held = [], 0
-                if n != listed["records"]:
-                    raise ValueError(f"{listed['file']} has {n} records, the manifest says {listed['records']}")
+                if (n, hashed.size, hashed.sha.hexdigest()) != (listed["records"], listed["bytes"], listed["sha256"]):
+                    raise ValueError(f"{listed['file']} isn't what the manifest says: {n} records, {hashed.size} bytes, {hashed.sha.hexdigest()}")
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return files.repartition(F.col("file")).mapInArrow(read, RECORD)
+    # A number of partitions that is given stays, where adaptive execution would merge a shuffle of a few names into one task.
+    return files.repartition(max(1, files.count()), "file").mapInArrow(read, RECORD)
