@@ -123,7 +123,10 @@ def manifest(rows: DataFrame, group: str, order: str, fields: list[str], fanout:
     # A NULL group sorts before and is never equal to a named one.
     tree = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("-"))
     leaves = rows.select(tree.alias("tree"), F.col(order).alias("key"), digest(*[field(F.col(c)) for c in fields]).alias("digest"), *[v.alias(f"x_{k}") for k, v in extra.items()])
-    leaves = checkpointed(numbered(leaves, "tree", ["key", "digest", *[f"x_{k}" for k in extra]]))
+    # Written first: sorting by ranges looks at its input twice, and texts should be read and hashed once.
+    hashed = fresh_dir(rows.sparkSession, "merkle-leaves")
+    leaves.write.parquet(hashed)
+    leaves = checkpointed(numbered(rows.sparkSession.read.schema(leaves.schema).parquet(hashed), "tree", ["key", "digest", *[f"x_{k}" for k in extra]]))
     tiers = levels(leaves.select("tree", "i", "n", "digest"), fanout)
     subroots = tiers[0][1]
     for _, tops in tiers[1:]:
