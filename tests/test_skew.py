@@ -157,7 +157,7 @@ def test_nearest_against_brute_force(tables):
     rows = roles.role_features(tables[0]).withColumn("role", F.lit("one"))
     pdf = rows.toPandas()
     x, ids = pdf[C.ROLE_FEATURES].to_numpy(float), pdf.event_id.to_numpy()
-    got = ml.nearest(rows, C.ROLE_FEATURES, "role", "event_id", 3, reach=4).toPandas()
+    got = ml.nearest(rows, C.ROLE_FEATURES, "role", "event_id", 3, pivots=4).toPandas()
     for i in range(0, len(ids), 7):
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         d[i] = np.inf

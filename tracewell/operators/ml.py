@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -18,9 +16,11 @@ from pyspark.sql import types as T
 
 from tracewell import constants as C
 from tracewell.functions.text import top_abs
+from tracewell.operators import shapley
 from tracewell.operators.history import order_of
+from tracewell.operators.neighbours import nearest
 from tracewell.operators.ordering import null_safe_join, positions
-from tracewell.session import checkpointed
+from tracewell.session import checkpointed, fresh_dir
 
 
 # ---- scaling and splits
@@ -114,41 +114,6 @@ def jitter(access: DataFrame, n: int = 3, label: str = "is_suspicious", seed: in
     return access.withColumn("copy", F.lit(0)).unionByName(moved.select(*access.columns, "copy"))
 
 
-def nearest(rows: DataFrame, cols: list[str], by: str, unique: str, k: int = 5, reach: int = 32) -> DataFrame:
-    """Exact k nearest neighbours inside each group, without comparing all pairs.
-
-    Rows are ordered by their projection on the diagonal, which never exceeds the true distance. Each row is
-    compared with its ``reach`` neighbours in that order; it is settled once its k-th distance is no more than
-    the projected gap to the first row outside. Unsettled rows go on with four times the reach.
-    """
-    proj = sum((F.col(c) for c in cols[1:]), F.col(cols[0])) / float(np.sqrt(len(cols)))
-    base = rows.select(by, F.col(unique).alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), proj.alias("p"))
-    table = positions(base, [by], ["p", "id"], "at")
-    sizes = base.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    table = checkpointed(null_safe_join(table, sizes, [by]))
-    todo, done = table, None
-    while True:
-        hood = table.select(by, F.col("id").alias("other"), F.col("x").alias("ox"), F.col("p").alias("op"), F.col("at").alias("oat"),
-                            F.floor(F.col("at") / reach).alias("cell"))
-        mine = todo.withColumn("cell", F.explode(F.sequence(F.floor((F.col("at") - reach) / reach), F.floor((F.col("at") + reach) / reach))))
-        near = mine.join(hood, [by, "cell"]).where((F.col("other") != F.col("id")) & (F.abs(F.col("oat") - F.col("at")) <= reach))
-        dist = F.sqrt(F.aggregate(F.zip_with("x", "ox", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-        w = Window.partitionBy(by, "id").orderBy("d", "other")
-        best = near.withColumn("d", dist).withColumn("rank", F.row_number().over(w)).withColumns({
-            "_lo": F.min("op").over(Window.partitionBy(by, "id")), "_hi": F.max("op").over(Window.partitionBy(by, "id"))})
-        gap = F.least(F.when(F.col("at") - reach > 1, F.col("p") - F.col("_lo")).otherwise(F.lit(float("inf"))),
-                      F.when(F.col("at") + reach < F.col("n"), F.col("_hi") - F.col("p")).otherwise(F.lit(float("inf"))))
-        kept = best.where(F.col("rank") <= k).withColumn("gap", gap)
-        worst = F.max("d").over(Window.partitionBy(by, "id"))
-        settled = checkpointed(kept.withColumn("ok", worst <= F.col("gap")).select(by, "id", "other", "ox", "d", "rank", "ok"))
-        good = settled.where("ok").drop("ok")
-        done = good if done is None else done.unionByName(good)
-        todo = checkpointed(todo.join(settled.where(~F.col("ok")).select("id").distinct(), "id", "left_semi"))
-        if todo.isEmpty():
-            return done
-        reach *= 4
-
-
 def smote(df: DataFrame, cols: list[str], label: str, by: str, unique: str = "event_id", k: int = 5, share: float = 0.10, seed: int = 42) -> DataFrame:
     """Synthetic positives per group between a positive and one of its k nearest, up to ``share`` of the negatives.
 
@@ -262,54 +227,17 @@ def attribute_linear(df: DataFrame, cols: list[str], weights: list[float], means
     return df.withColumns({f"attr_{c}": p for c, p in zip(cols, parts)}).withColumn("top_features", top_abs(cols, parts, k))
 
 
-def _tree_tables(model) -> list[tuple[float, np.ndarray]]:
-    """Each tree as rows (feature, cut, left, right, value); categorical splits do not occur here."""
-    tables = []
-    for tree, w in zip(model.trees, model.treeWeights):
-        rows: list = []
-        todo = [(tree._call_java("rootNode"), None, 0)]
-        while todo:
-            node, parent, side = todo.pop()
-            at = len(rows)
-            if parent is not None:
-                rows[parent][side] = at
-            inner = node.getClass().getSimpleName() == "InternalNode"
-            split = node.split() if inner else None
-            rows.append([split.featureIndex() if inner else -1, split.threshold() if inner else 0.0, -1, -1, node.prediction()])
-            if inner:
-                todo += [(node.leftChild(), at, 2), (node.rightChild(), at, 3)]
-        tables.append((float(w), np.array(rows, dtype=float)))
-    return tables
-
-
-def attribute_trees(model: PipelineModel, df: DataFrame, cols: list[str] = C.PROFILE_FEATURES, k: int = 3) -> DataFrame:
-    """Path contributions of a boosted-tree score: the change in value at every split goes to its feature.
-
-    ``attributions`` sums with ``base_value`` to the raw score. Trees are bounded by the model's size.
+def attribute_trees(model: PipelineModel, df: DataFrame, cols: list[str] = C.PROFILE_FEATURES, k: int = 3, path: str | None = None) -> DataFrame:
+    """Exact Shapley values of a tree-ensemble score, with the k largest by magnitude.
+
+    ``attributions`` sums with ``base_value`` to the raw score. ``path``: where :func:`save_model` put the model; it is saved to
+    the shared folder if not given, as the trees are read from its node table.
     """
-    shared = df.sparkSession.sparkContext.broadcast(_tree_tables(model.stages[-1]))
-    typed = df.withColumns({c: F.col(c).cast("double") for c in cols})
-    schema = T.StructType([*typed.schema.fields, T.StructField("base_value", T.DoubleType()),
-                           T.StructField("attributions", T.ArrayType(T.DoubleType()))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = batch[cols].to_numpy(dtype=float)
-            parts, base = np.zeros_like(x), 0.0
-            for weight, t in shared.value:
-                base += weight * t[0, 4]
-                at = np.zeros(len(x), dtype=int)
-                live = np.flatnonzero(t[at, 0] >= 0)
-                while len(live):
-                    here = at[live]
-                    dim = t[here, 0].astype(int)
-                    nxt = np.where(x[live, dim] <= t[here, 1], t[here, 2], t[here, 3]).astype(int)
-                    parts[live, dim] += weight * (t[nxt, 4] - t[here, 4])
-                    at[live] = nxt
-                    live = live[t[nxt, 0] >= 0]
-            yield batch.assign(base_value=base, attributions=list(parts))
-
-    out = typed.mapInPandas(run, schema)
+    spark = df.sparkSession
+    if path is None:
+        path = fresh_dir(spark, "ensemble")
+        save_model(model, path, {})
+    out = shapley.attribute(df, shapley.saved_ensemble(spark, model, f"{path}/model"), cols)
     names = F.array(*[F.lit(c) for c in cols])
     entries = F.transform("attributions", lambda v, i: F.struct((-F.abs(v)).alias("m"), i.alias("i"), v.alias("v")))
     top = F.transform(F.slice(F.array_sort(entries), 1, k), lambda e: F.struct(
