@@ -28,8 +28,7 @@ def test_link_stream(spark, tables):
 def test_replayed_alerts(spark, tables, chunks):
     a, t, _ = tables
     run = runs.new_run(spark)
-    runs.replay(a, t, run, detectors.alert_batch(spark, f"{run}/store", f"{run}/alerts", 43200), chunks)
-    out = spark.read.parquet(f"{run}/alerts")
+    out = detectors.stream_alerts(a, t, run, chunks, 43200)
     cols = ["alert_id", "severity", "composite_risk_score"]
     assert ids(out, *cols) == ids(detect.alerts(a, t, burst_window_s=43200), *cols)
     assert out.select("batch").distinct().count() == chunks

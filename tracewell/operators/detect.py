@@ -46,6 +46,19 @@ def _link_columns(df: DataFrame, present: str) -> DataFrame:
     return scored.withColumns({n: F.when(F.col(present), F.col(n)) for n in names})
 
 
+SCORED = ["burst_score", "burst_detected", "aggregate_amount", "burst_evidence", "cluster_count", "profile_score", "profile_anomalous", "profile_reasons"]
+RING = ["ring_score", "ring_path", "ring_quantum"]
+
+
+def with_rings(rows: DataFrame, first: DataFrame, ring_scenario: str | None = None) -> DataFrame:
+    """Ring columns of the transactions that come once their account's first ring is closed."""
+    rows = rows.join(first, "account_id", "left")
+    due = F.col("closed_at") <= F.col("timestamp")
+    if ring_scenario is not None:
+        due = due & (F.col("scenario") == ring_scenario)
+    return rows.withColumns({n: F.when(due, F.col(n)) for n in RING})
+
+
 def transaction_signals(access: DataFrame, txns: DataFrame, rings: DataFrame | None = None,
                         mode: str = "past", burst_window_s: float = C.BURST_WINDOW_SECONDS, ring_scenario: str | None = None) -> DataFrame:
     """Link, burst, profile and ring columns of every transaction, as known when it arrived.
@@ -56,25 +69,32 @@ def transaction_signals(access: DataFrame, txns: DataFrame, rings: DataFrame | N
     w = int(C.LINK_WINDOW_SECONDS * 1e6)
     rows = B.burst_result(txns, window_s=burst_window_s)
     rows = P.profile_reasons(P.profile_score(P.profile_features(rows, mode)))
-    keep = [*txns.columns, "burst_score", "burst_detected", "aggregate_amount", "burst_evidence", "cluster_count",
-            "profile_score", "profile_anomalous", "profile_reasons"]
+    keep = [*txns.columns, *SCORED]
     if rings is not None:
         # Joined while the rows are still partitioned by account.
-        rows = rows.join(first_rings(rings), "account_id", "left")
-        due = F.col("closed_at") <= F.col("timestamp")
-        if ring_scenario is not None:
-            due = due & (F.col("scenario") == ring_scenario)
-        ring = ["ring_score", "ring_path", "ring_quantum"]
-        rows = rows.withColumns({n: F.when(due, F.col(n)) for n in ring})
-        keep += ring
+        rows = with_rings(rows, first_rings(rings), ring_scenario)
+        keep += RING
     acc = L.as_accesses(access)
     rows = L.match_within(L.as_payments(rows.select(*keep)), acc, "account_id", "txn_ts", "access_ts", "access_id", -w, 0, "first", "_m")
     fields = [c for c in acc.columns if c != "account_id"]
-    rows = rows.select("*", *[F.col(f"_m.{c}").alias(c) for c in fields]).withColumn("_linked", F.col("_m").isNotNull())
+    return paired_payments(rows.select("*", *[F.col(f"_m.{c}").alias(c) for c in fields]).withColumn("_linked", F.col("_m").isNotNull()))
+
+
+def paired_payments(rows: DataFrame) -> DataFrame:
+    """Link columns, time and event of transactions that stand beside their access; ``_linked`` tells whether there is one."""
     rows = _link_columns(rows, "_linked")
     return rows.withColumn("timestamp", F.col("txn_ts")).withColumn("raw_event", _raw_txn("txn_ts", "txn_branch"))
 
 
+def paired_accesses(rows: DataFrame) -> DataFrame:
+    """The same for accesses that stand beside a transaction; those that are neither linked nor unusual go."""
+    rows = _link_columns(rows.where(F.col("_linked") | F.col("role_anomalous")), "_linked")
+    raw_access = _raw_event(kind=F.lit("access"), event_id=F.col("access_id"), branch_code=F.col("access_branch"), timestamp=F.col("access_ts"),
+                            **{n: F.col(n) for n in ("employee_id", "role", "account_type", "action_type", "records_accessed")})
+    return (rows.withColumn("timestamp", F.when(F.col("_linked"), F.col("txn_ts")).otherwise(F.col("access_ts")))
+            .withColumn("raw_event", F.when(F.col("_linked"), _raw_txn("txn_ts", "txn_branch")).otherwise(raw_access)))
+
+
 def access_signals(access: DataFrame, txns: DataFrame) -> DataFrame:
     """Accesses that link to an earlier transaction, or that are unusual for their role."""
     w = int(C.LINK_WINDOW_SECONDS * 1e6)
@@ -83,19 +103,17 @@ def access_signals(access: DataFrame, txns: DataFrame) -> DataFrame:
     pay = L.as_payments(txns)
     rows = L.match_within(L.as_accesses(rows.select(*keep)), pay, "account_id", "access_ts", "txn_ts", "transaction_id", -w, -1, "first", "_m")
     fields = [c for c in pay.columns if c != "account_id"]
-    rows = rows.select("*", *[F.col(f"_m.{c}").alias(c) for c in fields]).withColumn("_linked", F.col("_m").isNotNull())
-    rows = _link_columns(rows.where(F.col("_linked") | F.col("role_anomalous")), "_linked")
-    raw_access = _raw_event(kind=F.lit("access"), event_id=F.col("access_id"), branch_code=F.col("access_branch"), timestamp=F.col("access_ts"),
-                            **{n: F.col(n) for n in ("employee_id", "role", "account_type", "action_type", "records_accessed")})
-    return (rows.withColumn("timestamp", F.when(F.col("_linked"), F.col("txn_ts")).otherwise(F.col("access_ts")))
-            .withColumn("raw_event", F.when(F.col("_linked"), _raw_txn("txn_ts", "txn_branch")).otherwise(raw_access)))
+    return paired_accesses(rows.select("*", *[F.col(f"_m.{c}").alias(c) for c in fields]).withColumn("_linked", F.col("_m").isNotNull()))
 
 
 def all_signals(access: DataFrame, txns: DataFrame, rings: DataFrame | None = None, mode: str = "past",
                 burst_window_s: float = C.BURST_WINDOW_SECONDS) -> DataFrame:
     """Both kinds of signal rows in one table, with the event that caused each."""
-    t = K.with_signals(transaction_signals(access, txns, rings, mode, burst_window_s))
-    a = K.with_signals(access_signals(access, txns))
+    return both_kinds(transaction_signals(access, txns, rings, mode, burst_window_s), access_signals(access, txns))
+
+
+def both_kinds(transactions: DataFrame, accesses: DataFrame) -> DataFrame:
+    t, a = K.with_signals(transactions), K.with_signals(accesses)
     cols = ["account_id", "timestamp", "raw_event", *K.SIGNALS]
     left = t.select(F.lit("transaction").alias("source"), F.col("transaction_id").alias("source_id"), *cols)
     right = a.select(F.lit("access").alias("source"), F.col("access_id").cast("string").alias("source_id"), *cols)

@@ -59,6 +59,23 @@ def _past(df: DataFrame) -> DataFrame:
     return H.new_counterparty(out)
 
 
+def from_past(rows: DataFrame) -> DataFrame:
+    """The profile features of rows that have their account's past (the columns of ``_past``)."""
+    kind = _type_col(rows)
+    ob, nb = F.col("oldbalanceorg"), F.col("newbalanceorg")
+    return with_balances(rows).withColumns({
+        "hour_of_day": X.hour_of("timestamp").cast("double"), "current_amount": F.col("amount"),
+        "balance_before": ob, "balance_after": nb, "is_transfer": X.flag(F.col(kind) == "TRANSFER"),
+        **_ratios(), **X.balance_residuals(signed=False),
+        "balance_drop_ratio": X.safe_ratio(ob - nb, ob, -5.0, 5.0),
+        "balance_is_zero_after": X.flag(nb == 0.0),
+        "is_dormant_account": X.flag(F.col("days_since_last_transaction") > C.DORMANT_DAYS),
+        # Alphabetical code of the two scored channels; others keep the fixed table's code.
+        "type_encoded": F.when(F.col(kind) == "CASH_OUT", 0.0).when(F.col(kind) == "TRANSFER", 1.0)
+        .otherwise(X.encode_type(kind, "profile")),
+    })
+
+
 def profile_features(df: DataFrame, mode: str = "past") -> DataFrame:
     """The 21 profile features.
 
@@ -73,15 +90,7 @@ def profile_features(df: DataFrame, mode: str = "past") -> DataFrame:
         "balance_before": ob, "balance_after": nb, "is_transfer": X.flag(F.col(kind) == "TRANSFER"),
     }
     if mode == "past":
-        out = _past(base).withColumns({
-            **common, **_ratios(), **X.balance_residuals(signed=False),
-            "balance_drop_ratio": X.safe_ratio(ob - nb, ob, -5.0, 5.0),
-            "balance_is_zero_after": X.flag(nb == 0.0),
-            "is_dormant_account": X.flag(F.col("days_since_last_transaction") > C.DORMANT_DAYS),
-            # Alphabetical code of the two scored channels; others keep the fixed table's code.
-            "type_encoded": F.when(F.col(kind) == "CASH_OUT", 0.0).when(F.col(kind) == "TRANSFER", 1.0)
-            .otherwise(X.encode_type(kind, "profile")),
-        })
+        out = from_past(_past(df))
     elif mode == "loader":
         stats = group_stats(base, [KEY], "amount")
         joined = null_safe_join(base, stats, [KEY], "left").withColumns({

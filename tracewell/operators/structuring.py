@@ -111,7 +111,11 @@ def burst_rule(df: DataFrame, window_s: float = C.BURST_WINDOW_SECONDS, n: int =
 def burst_result(df: DataFrame, score: str | None = None, threshold: float = C.BURST_SCORE_THRESHOLD,
                  window_s: float = C.BURST_WINDOW_SECONDS, **rule) -> DataFrame:
     """Detector result: rule or model confidence, cluster rows, total and evidence text."""
-    out = burst_rule(df, window_s, **rule)
+    return burst_scores(burst_rule(df, window_s, **rule), score, threshold, window_s)
+
+
+def burst_scores(out: DataFrame, score: str | None = None, threshold: float = C.BURST_SCORE_THRESHOLD, window_s: float = C.BURST_WINDOW_SECONDS) -> DataFrame:
+    """The detector's columns for rows that have cluster_count, aggregate_amount and rule_matched."""
     confidence = F.col(score) if score else F.when(F.col("rule_matched"), 0.90).otherwise(0.10)
     hours = window_s / 3600.0
     evidence = F.concat(

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell import schemas
-from tracewell.plans.graph_plans import EDGES
+from tracewell.plans.graph_plans import ALL, CYCLES, EDGES, RINGS
 from tracewell.plans.history_plans import BURST_S, RULE
 from tracewell.plans.link_plans import PAIRS
 from tracewell.plans.registry import access, query, txns, us
 from tracewell.plans.risk_plans import ALERTS
 from tracewell.sources import readers, views
 from tracewell.streaming import detectors as S
-from tracewell.streaming import runs
+from tracewell.streaming import corrections, retention, runs
 
 
 def _events(spark, d):
@@ -52,6 +52,77 @@ def stream_structuring(spark, d):
     return out.select("transaction_id", "cluster_count", "aggregate_amount", F.col("rule_matched").cast("int").alias("rule_matched"))
 
 
+SLICES = 5
+# Arrival: by slice of time, a quarter of the events one slice late; within a batch by time, accesses first.
+ARRIVED = f"""ev as (select account_id, 'access' as kind, event_id::varchar as id, epoch_us(timestamp) as us from access_events union all select account_id, 'transaction', transaction_id, epoch_us(timestamp) from transactions),
+lim as (select min(us) as lo, max(us) as hi from ev),
+dealt as (select ev.*, least((us - lo) * {SLICES} // (hi - lo + 1), {SLICES - 1}) + case when ('0x' || substr(md5(kind || id), 1, 8))::bigint % 4 = 0 then 1 else 0 end as batch from ev, lim),
+arrived as (select *, row_number() over (order by batch, us, kind, id) as seq from dealt),
+marked as (select *, max(us) filter (where kind = 'access') over w as newest_access, max(us) filter (where kind = 'transaction') over w as newest_transaction
+  from arrived window w as (partition by account_id order by seq rows between unbounded preceding and 1 preceding))"""
+
+
+def _arriving(spark, d, run):
+    """All events as a stream of one file a batch, in the order of ARRIVED."""
+    rows = retention.events_of(access(spark, d), txns(spark, d))
+    span = rows.agg(F.struct(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))).scalar()
+    lo, hi = us(span["lo"], "a"), us(span["hi"], "b")
+    late = F.conv(F.substring(F.md5(F.concat("kind", "id").cast("binary")), 1, 8), 16, 10).cast("long") % 4 == 0
+    part = F.least(F.floor((us("timestamp", "c") - lo) * SLICES / (hi - lo + 1)), F.lit(SLICES - 1)) + late.cast("int")
+    rows = rows.withColumn("_part", part.cast("int"))
+    for i in range(SLICES + 1):
+        rows.where(F.col("_part") == i).drop("_part").coalesce(1).write.parquet(f"{run}/in/p={i}")
+    return readers.read_event_stream(spark, f"{run}/in/p=*", rows.drop("_part").schema, "parquet", max_files=1)
+
+
+@query("stream_retention", f"""select l.account_id, case l.kind when 'transaction' then l.id else f.id end as transaction_id, case l.kind when 'transaction' then f.id else l.id end as access_id, abs(l.us - f.us) / 1e6 as gap_seconds
+  from marked l join marked f on l.account_id = f.account_id and l.kind <> f.kind and f.seq < l.seq and abs(l.us - f.us) <= {4 * 3600 * 1000000}
+  and f.us >= case l.kind when 'transaction' then l.newest_access else l.newest_transaction end - {24 * 3600 * 1000000}""", "at", ARRIVED)
+def stream_retention(spark, d):
+    """Events of a sparse table, so they are paired within four hours; most accounts have events that arrive after they are forgotten."""
+    run = runs.new_run(spark)
+    pairs = retention.remembered_pairs(_arriving(spark, d, run), window_s=4 * 3600.0, delay="400 days", spread=2)
+    return runs.drain(pairs.select("account_id", "transaction_id", "access_id", "gap_seconds"), run)
+
+
+PAID = """paid as (select *, epoch_us(timestamp) as us, ('0x' || substr(md5('transaction' || transaction_id), 1, 8))::bigint % 4 = 0 as slow from transactions),
+lim as (select min(us) as lo, max(us) as hi from paid),
+came as (select paid.*, least((us - lo) * 5 // (hi - lo + 1), 4) + slow::int as batch from paid, lim)"""
+
+
+def _late_payments(spark, d, run):
+    """The payments, a quarter of them a slice late, through the log of burst results."""
+    rows = txns(spark, d)
+    span = rows.agg(F.struct(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))).scalar()
+    lo, hi = us(span["lo"], "a"), us(span["hi"], "b")
+    slow = F.conv(F.substring(F.md5(F.concat(F.lit("transaction"), "transaction_id").cast("binary")), 1, 8), 16, 10).cast("long") % 4 == 0
+    part = (F.least(F.floor((us("timestamp", "c") - lo) * SLICES / (hi - lo + 1)), F.lit(SLICES - 1)) + slow.cast("int")).cast("int")
+    dealt = rows.withColumn("_part", part)
+    for i in range(SLICES + 1):
+        dealt.where(F.col("_part") == i).drop("_part").coalesce(1).write.parquet(f"{run}/in/p={i}")
+    stream = readers.read_event_stream(spark, f"{run}/in/p=*", rows.schema, "parquet", max_files=1)
+    runs.drain_batches(stream, run, corrections.burst_log(spark, f"{run}/store", BURST_S, DELAY_S))
+    return f"{run}/store"
+
+
+DELAY_S = 6 * 3600.0
+
+
+@query("stream_corrections", "select transaction_id, cluster_count::int as cluster_count, aggregate_amount, matched::int as rule_matched from rule", "t", RULE)
+def stream_corrections(spark, d):
+    """Results that hold once the log of all batches is summed up: late payments have changed those around them."""
+    store = _late_payments(spark, d, runs.new_run(spark))
+    log = corrections.current(corrections.stored(spark, f"{store}/log", corrections.LOG))
+    return log.select("transaction_id", "cluster_count", "aggregate_amount", F.col("rule_matched").cast("int").alias("rule_matched"))
+
+
+@query("stream_late_rows", f"""select batch::int as batch, count(*) as n_rows, count(*) filter (where us < high - {int(DELAY_S * 1e6)}) as n_late
+  from (select came.*, (select max(x.us) from came x where x.batch < came.batch) as high from came) group by batch""", "t", PAID)
+def stream_late_rows(spark, d):
+    """How many rows of each batch came behind the watermark."""
+    return corrections.counts(spark, _late_payments(spark, d, runs.new_run(spark)))
+
+
 @query("stream_counters", """select 'access_events' as topic, count(*) as n_events, epoch_us(max(timestamp)) as last_us from access_events union all
   select 'transactions', count(*), epoch_us(max(timestamp)) from transactions""", "at")
 def stream_counters(spark, d):
@@ -78,6 +149,13 @@ def stream_unique(spark, d):
 
 @query("stream_alerts", "select alert_id, account_id, score as composite_risk_score, severity from alerts", "at", ALERTS)
 def stream_alerts(spark, d):
+    rows = S.stream_alerts(access(spark, d), txns(spark, d), runs.new_run(spark), BATCHES, BURST_S)
+    return rows.select("alert_id", "account_id", "composite_risk_score", "severity")
+
+
+@query("stream_rings", "select cycle_path, n::int as cycle_length, epoch_us(closed_at) as closed_us, ring_score from rings", "at", f"{ALL}, {CYCLES}, {RINGS}")
+def stream_rings(spark, d):
+    """Every ring, found when its last edge came."""
     run = runs.new_run(spark)
-    runs.replay(access(spark, d), txns(spark, d), run, S.alert_batch(spark, f"{run}/store", f"{run}/alerts", BURST_S), chunks=2)
-    return spark.read.parquet(f"{run}/alerts").select("alert_id", "account_id", "composite_risk_score", "severity")
+    S.stream_alerts(access(spark, d), txns(spark, d), run, BATCHES, BURST_S)
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{run}/store/rings").select("cycle_path", "cycle_length", us("closed_at", "closed_us"), "ring_score")

@@ -14,10 +14,12 @@ from tracewell import constants as C
 from tracewell import schemas
 from tracewell.functions import columns as X
 from tracewell.operators import detect as D
-from tracewell.operators import graph as G
 from tracewell.operators import links as L
+from tracewell.operators import profile as P
 from tracewell.operators import risk as K
-from tracewell.streaming import runs
+from tracewell.operators import roles as R
+from tracewell.operators import structuring as B
+from tracewell.streaming import accounts, rings, runs
 
 
 def stream_link(access: DataFrame, txns: DataFrame, window_s: float = C.LINK_WINDOW_SECONDS, delay: str = "24 hours") -> DataFrame:
@@ -130,35 +132,61 @@ def unique_transfers(txns: DataFrame, delay: str = "24 hours") -> DataFrame:
 
 def alert_batch(spark: SparkSession, store: str, out: str, burst_window_s: float = C.BURST_WINDOW_SECONDS,
                 use_label_flag: bool = True) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: stores a batch's events, scores them against what is stored, writes their alerts.
+    """foreachBatch function for :func:`accounts.account_stream`: rings that a batch closes, then the alerts of its events.
 
-    The stored tables are the state: events, and per batch the transfers summed by pair, from which the current
-    digraph is merged without reading old transfers. Only accounts in the batch are read back, and rings are sought
-    only through accounts that just made a transfer. A batch that runs again overwrites its own folders.
+    What an account's past says comes with each event, so no stored event is read. Rings are found from the batch's new edges.
+    A batch that runs again overwrites its own folders.
     """
-    def stored(name: str, batch_id: int) -> DataFrame:
-        return spark.read.parquet(f"{store}/{name}").where(F.col("batch") <= batch_id).drop("batch")
+    kept = rings.Store(spark, store)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        access, txns = runs.split_topics(batch)
-        for name, df in (("access", access), ("txns", txns)):
-            df.write.mode("overwrite").parquet(f"{store}/{name}/batch={batch_id}")
-        new_access = spark.read.parquet(f"{store}/access/batch={batch_id}")
-        new_txns = spark.read.parquet(f"{store}/txns/batch={batch_id}")
-        touched = new_access.select("account_id").union(new_txns.select("account_id")).distinct()
-        (G.transfer_digraph(G.build_edges(new_access, new_txns))
-         .write.mode("overwrite").parquet(f"{store}/pairs/batch={batch_id}"))
-        near_access = stored("access", batch_id).join(touched, "account_id", "left_semi")
-        near_txns = stored("txns", batch_id).join(touched, "account_id", "left_semi")
-        digraph = (stored("pairs", batch_id).groupBy("src", "dst")
-                   .agg(F.sum("amount").alias("amount"), F.sum("txn_count").alias("txn_count"), F.min("first_ts").alias("first_ts")))
-        movers = new_txns.select(F.col("account_id").alias("s")).distinct()
-        rings = G.ring_summary(G.find_cycles(digraph, target=movers), digraph)
-        signals = D.all_signals(near_access, near_txns, rings, burst_window_s=burst_window_s)
-        new_ids = (new_access.select(F.lit("access").alias("source"), F.col("event_id").cast("string").alias("source_id"))
-                   .union(new_txns.select(F.lit("transaction"), F.col("transaction_id"))))
-        fresh = signals.join(new_ids, ["source", "source_id"], "left_semi")
-        alerts = K.build_alerts(fresh, ["source", "source_id"], use_label_flag)
+        kept.begin(batch_id)
+        rows = kept.write("events", batch, batch_id)
+        payments, seen = rows.where("kind = 'transaction'"), rows.where("kind = 'access'")
+        closed = rings.update(kept, payments.select(
+            F.col("account_id").alias("src"), F.col("t_counterparty_id").alias("dst"), F.col("pair_amount").alias("amount"),
+            F.timestamp_micros("pair_first_us").alias("first_ts"), F.col("at").alias("seen"), F.struct("at", "t_transaction_id").alias("turn")), batch_id)
+        first = rings.first_by_account(kept, closed, payments, batch_id)
+        signals = D.both_kinds(_payment_signals(payments, first, burst_window_s), _access_signals(seen))
+        alerts = K.build_alerts(signals, ["source", "source_id"], use_label_flag)
         alerts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        kept.end(batch_id)
 
     return each
+
+
+def _unpacked(prefix: str, columns: dict[str, str], names: dict[str, str]) -> list:
+    """The columns of one kind without their prefix, times as times, under the names that pairs have them by."""
+    shown = {c: c.removeprefix(prefix) for c in columns if c != f"{prefix}account_id"}
+    typed = lambda c: F.timestamp_micros(c) if c.endswith("timestamp") else F.col(c).cast("long") if c == "a_event_id" else F.col(c)
+    return [typed(c).alias(names.get(n, n)) for c, n in shown.items()]
+
+
+_AS_ACCESS = {"event_id": "access_id", "timestamp": "access_ts", "branch_code": "access_branch"}
+_AS_PAYMENT = {"timestamp": "txn_ts", "branch_code": "txn_branch"}
+
+
+def _payment_signals(payments: DataFrame, first: DataFrame, burst_window_s: float) -> DataFrame:
+    rows = payments.select("account_id", *_unpacked("t_", accounts.PAYMENT, {}), *accounts.PAST, *[c for c in accounts.ACCESS])
+    rows = rows.withColumn("rule_matched", (F.col("cluster_count") >= C.BURST_MIN_ROWS) & (F.col("aggregate_amount") >= C.REPORTING_LIMIT * C.BURST_FACTOR))
+    rows = B.burst_scores(rows.withColumn("aggregate_amount", F.round("aggregate_amount", 2)), window_s=burst_window_s)
+    rows = D.with_rings(P.profile_reasons(P.profile_score(P.from_past(rows))), first)
+    pay = [f.name for f in schemas.TRANSACTIONS.fields]
+    rows = rows.select(*[F.col(c).alias(_AS_PAYMENT.get(c, c)) for c in pay], *D.SCORED, *D.RING, *_unpacked("a_", accounts.ACCESS, _AS_ACCESS))
+    return D.paired_payments(rows.withColumn("_linked", F.col("access_id").isNotNull()))
+
+
+def _access_signals(seen: DataFrame) -> DataFrame:
+    rows = seen.select("account_id", *_unpacked("a_", accounts.ACCESS, {}), *[c for c in accounts.PAYMENT])
+    rows = R.unusual_features(R.role_score(R.serving_features(rows)))
+    own = ["event_id", *[f.name for f in schemas.ACCESS.fields]]
+    rows = rows.select(*[F.col(c).alias(_AS_ACCESS.get(c, c)) for c in own], "role_component", "role_anomalous", "role_drivers", "role_error", *_unpacked("t_", accounts.PAYMENT, _AS_PAYMENT))
+    return D.paired_accesses(rows.withColumn("_linked", F.col("transaction_id").isNotNull()))
+
+
+def stream_alerts(access: DataFrame, txns: DataFrame, run: str, chunks: int = 4, burst_window_s: float = C.BURST_WINDOW_SECONDS, use_label_flag: bool = True) -> DataFrame:
+    """Replays both tables in ``chunks`` batches through the account state and reads their alerts back."""
+    spark = access.sparkSession
+    runs.replay(access, txns, run, alert_batch(spark, f"{run}/store", f"{run}/alerts", burst_window_s, use_label_flag), chunks,
+                through=lambda events: accounts.account_stream(accounts.events(*runs.split_topics(events)), burst_window_s))
+    return spark.read.parquet(f"{run}/alerts")

@@ -70,8 +70,9 @@ def read_replay(spark: SparkSession, path: str, max_files: int | None = None) ->
     return readers.read_event_stream(spark, f"{path}/slice=*", schemas.EVENT_LINES, "json", max_files)
 
 
-def replay(access: DataFrame, txns: DataFrame, run: str, each: Callable[[DataFrame, int], None], chunks: int = 4) -> None:
-    """Feeds the tables through a foreachBatch function slice by slice, in time order.
+def replay(access: DataFrame, txns: DataFrame, run: str, each: Callable[[DataFrame, int], None], chunks: int = 4,
+           through: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Feeds the tables through a foreachBatch function slice by slice, in time order; ``through`` is applied to the stream before.
 
     A slice may be many files; each is written and then processed as one batch of the same query, so a batch
     never sees events older than the batches before it.
@@ -79,7 +80,8 @@ def replay(access: DataFrame, txns: DataFrame, run: str, each: Callable[[DataFra
     spark = access.sparkSession
     for i, rows in enumerate(_slices(access, txns, chunks)):
         rows.write.option("timestampFormat", JSON_TIME).json(f"{run}/events/slice={i:04d}")
-        drain_batches(read_replay(spark, f"{run}/events"), run, each)
+        stream = read_replay(spark, f"{run}/events")
+        drain_batches(through(stream) if through else stream, run, each)
 
 
 def split_topics(events: DataFrame) -> tuple[DataFrame, DataFrame]:
