@@ -1,7 +1,7 @@
 """Late payments: kept beside the stream, counted, and the results they change taken back and replaced.
 
-A batch's rows that are more than ``delay_s`` behind the newest time of earlier batches are late. They are stored like all rows, and
-the burst results of payments they belong to the window of are worked out again. Results go to a log: ``+1`` for a result that
+A batch's rows that are more than ``delay_s`` behind the newest time of earlier batches are late, and counted. They are stored like
+all rows, and the burst results of payments whose windows hold a row that came after them are worked out again. Results go to a log: ``+1`` for a result that
 holds from this batch on, ``-1`` for one that no longer does. Summed over any number of batches, the log is the batch answer over
 the rows that have come by then.
 
@@ -53,15 +53,16 @@ def burst_log(spark: SparkSession, store: str, window_s: float = C.BURST_WINDOW_
         limit = F.lit(None).cast("timestamp") if high is None else F.lit(high) - F.expr(f"interval {int(delay_s)} seconds")
         late = F.coalesce(F.col("timestamp") < limit, F.lit(False))
         new.agg(F.count("*").alias("n_rows"), F.count_if(late).alias("n_late"), F.greatest(F.max("timestamp"), F.lit(high)).alias("high")).write.mode("overwrite").parquet(f"{store}/marks/batch={batch_id}")
-        # Windows of new rows reach back; those of rows that a late one changes begin with it and reach back from there.
-        touched = new.select(F.explode(F.sequence(F.to_date(F.col("timestamp") - window), F.to_date(F.when(late, F.col("timestamp") + window).otherwise(F.col("timestamp"))))).alias("day"))
+        # Windows of new rows reach back. A row that is older than one before it, late or not, changes those whose windows hold it.
+        behind = F.coalesce(F.col("timestamp") <= F.lit(high).cast("timestamp"), F.lit(False))
+        touched = new.select(F.explode(F.sequence(F.to_date(F.col("timestamp") - window), F.to_date(F.when(behind, F.col("timestamp") + window).otherwise(F.col("timestamp"))))).alias("day"))
         days = [r[0] for r in touched.distinct().collect()]
         accounts = new.select("account_id").distinct()
         near = every.where(F.col("day").isin(days)).join(accounts, "account_id", "left_semi")
-        flagged = near.withColumns({"_new": F.col("batch") == batch_id, "_late": (F.col("batch") == batch_id) & late, "_us": X.micros("timestamp")})
+        flagged = near.withColumns({"_new": F.col("batch") == batch_id, "_us": X.micros("timestamp")})
         back = Window.partitionBy("account_id").orderBy("_us").rangeBetween(-int(window_s * 1e6), 0)
-        asked = flagged.withColumn("_changed", F.max(F.col("_late").cast("int")).over(back) == 1).drop("_us", "_late")
-        result = B.burst_rule(asked, window_s).where(F.col("_new") | F.col("_changed")).select(*RESULT, "day")
+        asked = flagged.withColumn("_asked", F.max(F.col("_new").cast("int")).over(back) == 1).drop("_us", "_new")
+        result = B.burst_rule(asked, window_s).where("_asked").select(*RESULT, "day")
         log = stored(spark, f"{store}/log", LOG).where((F.col("batch") < batch_id) & F.col("day").isin(days))
         before = current(log).select(F.col("transaction_id").alias("_id"), F.struct(*RESULT).alias("_before"))
         both = result.withColumn("_after", F.struct(*RESULT)).join(before, F.col("transaction_id") == F.col("_id"), "left")
