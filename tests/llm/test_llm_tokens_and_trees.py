@@ -27,7 +27,7 @@ def loaded():
 # --- BPE
 
 PARTS = ["a", "b", "e", "x", "aaa", "the", "ing", "ton", " ", "'s", "'ll", "'D", "!", "!!", " ", "\t", "\n", "é", "é", "Σ", "İ", "ß", "中", "文字", "😀", "\x1c",
-         "ֈ", "٣", "½", "<|endoftext|>", "<|startoftext|>", "<|", "A", "Z", "9", "12", "_", "-", "‍", "ﷺ", "K", "ſ", "ǅ", "</w>"]
+         "ֈ", "٣", "½", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " <|EndOfText|> ", "<|", "\x1f", "\x85", "\u2028", "\u3000", "A", "Z", "9", "12", "_", "-", "‍", "ﷺ", "K", "ſ", "ǅ", "</w>"]
 
 
 def _hard(n=4000):
@@ -42,7 +42,7 @@ def test_ids_are_those_of_the_library(library, loaded):
     ids, at = encoder.encode(texts)
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:])] == want
-    assert 0 < encoder.failed < len(encoder.known)
+    assert 0 < encoder.failed < len(encoder.words.index)
 
 
 def test_only_words_that_need_it_are_merged_exactly(loaded):
@@ -83,7 +83,7 @@ def test_a_task_forgets_words_and_goes_on(library, loaded, monkeypatch):
     encoder = bpe.Encoder(loaded)
     for text in ("one two three " * 3, " ".join(f"w{k}" for k in range(50)), "<|endoftext|> one w3"):
         assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
-    assert len(encoder.known) < 30
+    assert len(encoder.words.index) < 30
 
 
 def test_other_tokenizer_files_are_refused():

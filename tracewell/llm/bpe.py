@@ -18,6 +18,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,10 @@ from pyspark.sql import DataFrame
 
 from tracewell.llm.words import mix
 
-CHUNK = 1 << 21  # characters of text that are encoded at a time
-KNOWN_WORDS = 400_000  # words that a task remembers; it forgets all of them beyond
+CHUNK = 1 << 20  # characters of text that are encoded at a time
+KNOWN_WORDS = 300_000  # words, and pieces between white space, that a task remembers; it forgets all of them beyond
+SPECIAL = " "  # before a special token's name: no piece begins so
+SHORT = 48  # words of up to so many bytes are merged together, longer ones each for itself
 NEVER = np.int32(2**31 - 1)
 NONE = int(NEVER)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -44,15 +47,19 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def _members(of: str) -> str:
-    """Characters that the tokenizers library counts to a class such as ``\\s``, as ranges for a bracket expression."""
+def _ranges_of(found: set[int]) -> str:
+    """Code points as ranges for a bracket expression."""
+    starts, ends = sorted(c for c in found if c - 1 not in found), sorted(c for c in found if c + 1 not in found)
+    return "".join(rf"\U{a:08x}-\U{z:08x}" for a, z in zip(starts, ends, strict=True))
+
+
+def _members(of: str) -> set[int]:
+    """Code points that the tokenizers library counts to a class such as ``\\s``."""
     from tokenizers import Regex, pre_tokenizers
 
     split = pre_tokenizers.Split(Regex(of), "removed", invert=True)
     codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    found = {ord(x) for k in range(0, len(codes), 4096) for x, _ in split.pre_tokenize_str("".join(map(chr, codes[k : k + 4096])))}
-    starts, ends = sorted(c for c in found if c - 1 not in found), sorted(c for c in found if c + 1 not in found)
-    return "".join(rf"\U{a:08x}-\U{z:08x}" for a, z in zip(starts, ends, strict=True))
+    return {ord(x) for k in range(0, len(codes), 4096) for x, _ in split.pre_tokenize_str("".join(map(chr, codes[k : k + 4096])))}
 
 
 def _edges(size: int, left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> dict[str, np.ndarray]:
@@ -149,11 +156,15 @@ def load(path: str) -> dict:
         strings[t["id"]] = t["content"]
     pattern = split["pattern"]["Regex"]
     for of in set(re.findall(r"\\p\{\w+\}|\\s", pattern)):
-        pattern = pattern.replace(of, _members(of))
+        pattern = pattern.replace(of, _ranges_of(_members(of)))
+    blank = _members(r"\s")
+    odd = blank ^ {c for c in range(0x110000) if chr(c).isspace()}  # what Python's split sees otherwise
+    if any(re.search(pattern, chr(c)) for c in blank):
+        raise ValueError("words with white space inside are not supported")
     at = np.concatenate([[0], np.cumsum([len(x) for x in spelt])])
     usable = np.flatnonzero(own & (at[1:] > at[:-1]))
     return {"strings": strings, "bytes": np.frombuffer(b"".join(spelt), np.uint8), "at": at, "final": final, "usable": usable, "start": start,
-            "merge_keys": ranks.keys, "merge_ranks": ranks.ranks, "made": made, "edges": edges, "pattern": pattern,
+            "merge_keys": ranks.keys, "merge_ranks": ranks.ranks, "made": made, "edges": edges, "pattern": pattern, "blank": _ranges_of(blank), "odd": _ranges_of(odd),
             "normalizer": json.dumps(spec["normalizer"]), "special": {t["content"]: t["id"] for t in spec["added_tokens"]}}
 
 
@@ -181,6 +192,28 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length - start, length)
 
 
+class Lookup:
+    """Strings and their ids."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.flat, self.from_, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: list[str], flat: np.ndarray, count: np.ndarray) -> None:
+        self.index.update(zip(keys, range(len(self.index), len(self.index) + len(keys)), strict=True))
+        self.from_ = np.concatenate([self.from_, len(self.flat) + np.cumsum(count) - count])
+        self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
+
+    def missing(self, keys: list[str]) -> list[str]:
+        found = list(map(self.index.get, keys))
+        return list(dict.fromkeys(k for k, i in zip(keys, found, strict=True) if i is None)) if None in found else []
+
+    def get(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all keys, where each key's ids begin and the end of the last)."""
+        which = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        return self.flat[_ranges(self.from_[which], self.count[which])], np.concatenate([[0], np.cumsum(self.count[which])])
+
+
 class Encoder:
     """Encodes texts with a loaded tokenizer; remembers the words it has met."""
 
@@ -189,12 +222,13 @@ class Encoder:
 
         self.spec, self.edges = spec, spec["edges"]
         self.ranks = Ranks(spec["merge_keys"], spec["merge_ranks"])
-        self.pairs, self.made = dict(zip(spec["merge_keys"].tolist(), spec["merge_ranks"].tolist(), strict=True)), spec["made"].tolist()
+        self.pairs: dict[int, int] = {}
         steps = [getattr(normalizers, s["type"])() if s["type"] in ("NFC", "Lowercase") else None for s in json.loads(spec["normalizer"])["normalizers"]]
         # Replaced white space is dropped by the split, whatever it is replaced with.
         self.steps = [s for s in steps if s is not None]
         self.lower = any(s["type"] == "Lowercase" for s in json.loads(spec["normalizer"])["normalizers"])
-        self.words = re.compile(spec["pattern"]).findall
+        self.cut = re.compile(spec["pattern"]).findall
+        self.blank, self.odd = re.compile(f"[{spec['blank']}]+").split, re.compile(f"[{spec['odd']}]" if spec["odd"] else "(?!)").search
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(spec["special"], key=len, reverse=True))) + ")") if spec["special"] else None
         size = spec["at"][1:] - spec["at"][:-1]
         self.size = size
@@ -210,31 +244,25 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.from_, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for content, t in (self.spec["special"] or {}).items():
-            self._learn([content], np.array([t], np.int32), np.array([1]))
-
-    def _learn(self, words: list[str], flat: np.ndarray, count: np.ndarray) -> None:
-        for w in words:
-            self.known[w] = len(self.known)
-        self.from_ = np.concatenate([self.from_, len(self.flat) + np.cumsum(count) - count])
-        self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
+        self.words, self.pieces = Lookup(), Lookup()
+        for content, t in self.spec["special"].items():
+            self.pieces.add([SPECIAL + content], np.array([t], np.int32), np.array([1]))
 
     def split(self, text: str) -> list[str]:
-        """The words of a text; special tokens stand as words of their own."""
+        """The pieces of a text between white space; special tokens stand as pieces of their own."""
         parts = self.special.split(text) if self.special and "<" in text else [text]
         out = []
         for k, part in enumerate(parts):
             if k % 2:
-                out.append(part)
+                out.append(SPECIAL + part)
                 continue
             if part.isascii():
                 part = part.lower() if self.lower else part
             else:
                 for s in self.steps:
                     part = s.normalize_str(part)
-            out += self.words(part)
+            # No word has white space inside, so pieces can be cut into words each for itself.
+            out += filter(None, self.blank(part)) if self.odd(part) else part.split()
         return out
 
     def propose(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,13 +317,55 @@ class Encoder:
         ok[word[k[~fits[inverse]]]] = False
         return ok
 
+    def merge_short(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, their number by word) of many short words: each step merges the best pair of every word that has one."""
+        count = end - start
+        inner, final = self.spec["start"]
+        flat = inner[data[_ranges(start, count)]]
+        ends = np.cumsum(count)
+        flat[ends - 1] = final[data[end - 1]]
+        out, first = flat.copy(), ends - count  # symbols of a word stay at the front of its place
+        rank = np.full(len(flat), NEVER)
+        pair = np.ones(len(flat), bool)
+        pair[ends - 1] = False
+        at = np.flatnonzero(pair)
+        rank[at] = self.ranks.find(out[at], out[at + 1])
+        todo = np.arange(len(start))
+        left = count.copy()
+        while len(todo):
+            places = _ranges(first[todo], left[todo])
+            begins = np.cumsum(left[todo]) - left[todo]
+            lowest = np.minimum.reduceat(rank[places], begins)
+            todo, begins, lowest, n = todo[lowest < NEVER], begins[lowest < NEVER], lowest[lowest < NEVER], left[todo][lowest < NEVER]
+            if not len(todo):
+                break
+            # The first place of a word with its lowest rank.
+            word = np.repeat(np.arange(len(todo)), n)
+            places = _ranges(first[todo], n)
+            hit = np.flatnonzero(rank[places] == lowest[word])
+            hit = hit[np.unique(word[hit], return_index=True)[1]]
+            here = places[hit]
+            out[here] = self.spec["made"][lowest]
+            # What stands right of the merged pair moves one place to the left.
+            stop = first[todo] + n
+            moved = _ranges(here + 1, stop - here - 2)
+            out[moved], rank[moved] = out[moved + 1], rank[moved + 1]
+            left[todo] -= 1
+            rank[stop - 2] = NEVER
+            for k in (here, here - 1):
+                ok = (k >= first[todo]) & (k < stop - 2)
+                rank[k[ok]] = self.ranks.find(out[k[ok]], out[k[ok] + 1])
+        return out[_ranges(first, left)], left
+
     def merge(self, word: bytes) -> list[int]:
-        """Merges rank by rank, the leftmost pair of equal rank first."""
+        """Merges rank by rank, the leftmost pair of equal rank first; for words of any length."""
         inner, last = self.spec["start"]
         ids = [int(inner[b]) for b in word[:-1]] + [int(last[word[-1]])]
         n = len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        rank_of, made = self.pairs.get, self.made
+        if not self.pairs:
+            self.pairs = dict(zip(self.ranks.keys.tolist(), self.ranks.ranks.tolist(), strict=True))
+        rank_of, made = self.pairs.get, self.spec["made"].tolist()
         now = [rank_of((a << 32) | b, NONE) for a, b in zip(ids, ids[1:], strict=False)] + [NONE]
         heap = [(p, i) for i, p in enumerate(now) if p != NONE]
         heapq.heapify(heap)
@@ -324,26 +394,41 @@ class Encoder:
         bad = np.flatnonzero(~self.verified(data, start, end, flat, count))
         self.failed += len(bad)
         if len(bad):
-            merged = [self.merge(raw[k]) for k in bad.tolist()]
-            parts = np.split(flat, np.cumsum(count)[:-1])
-            for k, ids in zip(bad.tolist(), merged, strict=True):
-                parts[k], count[k] = np.array(ids, np.int32), len(ids)
-            flat = np.concatenate(parts)
-        self._learn(words, flat, count)
+            is_long = (end - start)[bad] > SHORT
+            short, long_ = bad[~is_long], bad[is_long]
+            merged = [np.array(self.merge(raw[k]), np.int32) for k in long_.tolist()]
+            tokens, n = self.merge_short(data, start[short], end[short])
+            good = np.setdiff1d(np.arange(len(words)), bad)
+            order = np.concatenate([good, short, long_])
+            words = [words[k] for k in order.tolist()]
+            flat = np.concatenate([flat[_ranges((np.cumsum(count) - count)[good], count[good])], tokens, *merged])
+            count = np.concatenate([count[good], n, np.array([len(m) for m in merged], np.int64)])
+        self.words.add(words, flat, count)
+
+    def learn_pieces(self, pieces: list[str]) -> None:
+        """Encodes new pieces by their words."""
+        words = [self.cut(p) for p in pieces]
+        n = np.array([len(w) for w in words], np.int64)
+        flat = list(chain.from_iterable(words))
+        new = self.words.missing(flat)
+        if new:
+            self.learn(new)
+        ids, at = self.words.get(flat)
+        ends = at[np.cumsum(n)]
+        self.pieces.add(pieces, ids, np.diff(ends, prepend=0))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids begin and the end of the last)."""
-        if len(self.known) > KNOWN_WORDS:
+        if max(len(self.words.index), len(self.pieces.index)) > KNOWN_WORDS:
             self.forget()
-        words = [self.split(t) for t in texts]
-        new = list(dict.fromkeys(w for t in words for w in t if w not in self.known))
+        pieces = [self.split(t) for t in texts]
+        n = np.array([len(p) for p in pieces], np.int64)
+        flat = list(chain.from_iterable(pieces))
+        new = self.pieces.missing(flat)
         if new:
-            self.learn(new)
-        n = np.array([len(t) for t in words], np.int64)
-        which = np.fromiter((self.known[w] for t in words for w in t), np.int64, int(n.sum()))
-        ids = self.flat[_ranges(self.from_[which], self.count[which])]
-        by_word = np.concatenate([[0], np.cumsum(self.count[which])])
-        return ids, by_word[np.concatenate([[0], np.cumsum(n)])]
+            self.learn_pieces(new)
+        ids, at = self.pieces.get(flat)
+        return ids, at[np.concatenate([[0], np.cumsum(n)])]
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
