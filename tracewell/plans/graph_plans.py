@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tracewell.operators import detect as D
 from tracewell.operators import embedding as E
 from tracewell.operators import graph as G
+from tracewell.operators import neighbours as NB
+from tracewell.operators import skipgram as SG
 from tracewell.plans.registry import access, query, r, txns, us
 
 NODES = """seen as (
@@ -183,3 +185,18 @@ def similar_accounts(spark, d):
 @query("cohesive_rings")
 def cohesive_rings(spark, d):
     return D.find_rings(access(spark, d), txns(spark, d), E.embed(_walks(spark, d), dim=16)).select("cycle_path", "cohesion", "ring_score", "severity")
+
+
+@query("skipgram", """select distinct node, 16::bigint as dimensions, true as finite from (select account_id as node from transactions where account_id <> counterparty_id union all select counterparty_id from transactions where account_id <> counterparty_id)""", "t")
+def skipgram(spark, d):
+    """Skip-gram vectors, trained in rotating blocks: one for every node that has a neighbour."""
+    vecs = SG.embed(_walks(spark, d), dim=16, epochs=1)
+    whole = F.forall("vec", lambda v: ~F.isnan(v) & (F.abs(v) < 1e6))
+    return vecs.select(F.col("id").alias("node"), F.size("vec").cast("long").alias("dimensions"), whole.alias("finite"))
+
+
+@query("similar_accounts")
+def similar_accounts(spark, d):
+    """The five nodes most like each node, by the hyperplane index over all vectors (recall is measured in the tests)."""
+    vecs = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return NB.similar_all(vecs, 5, min_sim=0.0)

@@ -12,13 +12,14 @@ from tracewell import constants as C
 from tracewell.operators import evaluate as V
 from tracewell.operators import links as L
 from tracewell.operators import ml as M
+from tracewell.operators import nets as N
 from tracewell.operators import profile as P
 from tracewell.operators import roles as R
 from tracewell.operators import structuring as B
 from tracewell.operators.forest import IsolationForest
 from tracewell.operators.risk import top_scores
 from tracewell.operators.stats import keep_active
-from tracewell.plans.history_plans import BURST_S
+from tracewell.plans.history_plans import BURST_S, LABEL, W
 from tracewell.plans.link_plans import PAIRS
 from tracewell.plans.registry import access, ledger, query, r, txns
 from tracewell.session import checkpointed, fresh_dir
@@ -229,6 +230,57 @@ def sequence_clf(spark, d):
     return scored.select("transaction_id", "split", "is_structuring", "burst_probability")
 
 
+SEQUENCE = 20
+SPLIT_ROWS = f"""{LABEL}, emitted as (select * from (select *, row_number() over ({W}) - 1 as i, count(*) over (partition by account_id) as n from labelled) where is_structuring = 1 or i % 2 = 0 or i = n - 1),
+strata as (select account_id, row_number() over (partition by s order by md5('42:' || account_id), account_id) as k, count(*) over (partition by s) as m from (select account_id, max(is_structuring) as s from emitted group by account_id)),
+labelled_split as (select emitted.*, case when k <= floor(0.7 * m) then 'train' when k <= floor(0.7 * m) + floor(0.15 * m) then 'val' else 'test' end as split from emitted join strata using (account_id))"""
+
+
+@query("sequence_net", """select split, count(*) as n_rows, sum(is_structuring)::bigint as n_positive, true as scored from labelled_split group by split""", "t", SPLIT_ROWS)
+def sequence_net(spark, d):
+    """Recurrent model with attention, fitted on the training accounts: what it scored, by split."""
+    scored = _sequence_net(spark, d)
+    good = F.col("burst_probability").between(0, 1) & (F.abs(F.aggregate("attention", F.lit(0.0), lambda a, v: a + v) - 1) < 1e-9)
+    return scored.groupBy("split").agg(F.count("*").alias("n_rows"), F.sum("is_structuring").alias("n_positive"), F.bool_and(good).alias("scored"))
+
+
+@query("sequence_net_scores")
+def sequence_net_scores(spark, d):
+    return _sequence_net(spark, d).select("transaction_id", "split", "is_structuring", "burst_probability")
+
+
+def _sequence_net(spark, d):
+    rows = checkpointed(M.account_split(_sequences(spark, d), "is_structuring").select("transaction_id", "split", "is_structuring", "sequence"))
+    weights, _ = N.fit_sequences(rows.where(F.col("split") == "train"), "sequence", "is_structuring", SEQUENCE, len(C.BURST_FEATURES), steps=30)
+    return N.score_sequences(rows, weights, "sequence", SEQUENCE, "burst_probability")
+
+
+@query("role_net", """select role, count(*) as n_rows, sum(is_suspicious)::bigint as n_positive, true as adds_up, true as has_errors
+  from (select *, row_number() over (order by timestamp, event_id) as place, count(*) over () as n from access_events) where place > floor(0.8::double * n) group by role""", "a")
+def role_net(spark, d):
+    """Bottleneck networks of the roles, fitted on earlier normal rows, their thresholds too; the later rows' confusion by role."""
+    rows = _role_net(spark, d)
+    later = rows.where(F.col("split") == "test").withColumn("flagged", F.col("role_anomalous").cast("int"))
+    table = V.confusion(later, "is_suspicious", "flagged", ["role"])
+    errors = later.groupBy("role").agg(F.bool_and((F.col("fitted_error") >= 0) & (F.abs(F.col("fitted_error") - sum(F.col(f"err_{c}") for c in C.ROLE_FEATURES) / len(C.ROLE_FEATURES)) < 1e-9)).alias("has_errors"))
+    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    return table.join(errors, "role").select("role", n.alias("n_rows"), (F.col("tp") + F.col("fn")).alias("n_positive"), (n > 0).alias("adds_up"), "has_errors")
+
+
+@query("role_net_scores")
+def role_net_scores(spark, d):
+    return _role_net(spark, d).select("event_id", "role", "split", "role_error", "role_threshold", "role_anomalous")
+
+
+def _role_net(spark, d):
+    rows = checkpointed(M.time_split(R.role_features(access(spark, d)).na.fill(0.0)))
+    early = rows.where(F.col("split") == "train")
+    model = N.fit_groups(early.where(F.col("is_suspicious") == 0), C.ROLE_FEATURES, "role", steps=40)
+    errors = checkpointed(N.group_errors(rows, model, "role"))
+    limits = V.search_deviation(errors.where(F.col("split") == "train"), "is_suspicious", "fitted_error", "role").select("role", F.col("threshold").alias("role_threshold"))
+    return R.role_score(errors, limits, "fitted_error")
+
+
 def _profiles(spark, d):
     rows = keep_active(scored_types(ledger(spark, d)), "account_id", 2)
     return P.profile_features(rows)
