@@ -140,3 +140,14 @@ def route_topic(topic: Column | str) -> Column:
     return (F.when(topic.isin("access_events", "access_logs"), "access_events")
             .when(topic.isin("alerts", "alert_events"), "alerts")
             .otherwise("transactions"))
+
+
+def hashed_number(*keys: Column | str) -> Column:
+    """60 bits of the MD5 of the keys, joined by ``|``: the same in every engine."""
+    text = F.concat_ws("|", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def hashed_unit(*keys: Column | str) -> Column:
+    """A number in (0, 1) fixed by its keys."""
+    return (hashed_number(*keys).cast("double") + 0.5) / float(1 << 60)

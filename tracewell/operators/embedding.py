@@ -6,6 +6,7 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.columns import hashed_number
 from tracewell.operators.ordering import positions
 from tracewell.session import checkpointed
 
@@ -36,7 +37,7 @@ def random_walks(edges: DataFrame, n: int = 10, length: int = 15, seed: int = 42
     walks = starts.select("start", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("walk"), F.col("start").alias("node"),
                           "deg", F.array("start").alias("path"))
     for i in range(1, length):
-        pick = F.pmod(F.xxhash64(F.lit(seed), F.col("start"), F.col("walk"), F.lit(i)), F.col("deg")) + 1
+        pick = hashed_number(F.lit(seed), "start", "walk", F.lit(i)) % F.col("deg") + 1
         moved = walks.withColumn("slot", pick).join(table, ["node", "slot"])
         walks = moved.select("start", "walk", F.col("next").alias("node"), F.col("next_deg").alias("deg"),
                              F.array_append("path", F.col("next")).alias("path"))

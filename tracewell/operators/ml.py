@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell import constants as C
+from tracewell.functions import columns as X
 from tracewell.functions.text import top_abs
 from tracewell.operators import shapley
 from tracewell.operators.history import order_of
@@ -73,14 +74,9 @@ def account_split(df: DataFrame, label: str, key: str = "account_id", shares: tu
 
 # ---- resampling
 
-def unit_hash(*keys: Column | str) -> Column:
-    """Uniform number in (0, 1) fixed by its keys."""
-    return (F.pmod(F.xxhash64(*keys), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-
-
 def normal_hash(*keys: Column | str) -> Column:
     """Standard normal number fixed by its keys."""
-    u, v = unit_hash(F.lit("u"), *keys), unit_hash(F.lit("v"), *keys)
+    u, v = X.hashed_unit(F.lit("u"), *keys), X.hashed_unit(F.lit("v"), *keys)
     return F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2.0 * np.pi) * v)
 
 
@@ -126,8 +122,8 @@ def smote(df: DataFrame, cols: list[str], label: str, by: str, unique: str = "ev
         F.array_sort(F.collect_list(F.struct("rank", "ox"))).alias("near"))
     seeds = _copies(pos, [by], [unique], F.col("_need")).join(partners, F.col(unique) == F.col("id"))
     key = [F.lit(seed), F.col(unique), F.col("copy")]
-    pick = F.floor(unit_hash(F.lit("partner"), *key) * F.size("near")).cast("int") + 1
-    u = unit_hash(F.lit("step"), *key)
+    pick = F.floor(X.hashed_unit(F.lit("partner"), *key) * F.size("near")).cast("int") + 1
+    u = X.hashed_unit(F.lit("step"), *key)
     other = F.element_at("near", pick)["ox"]
     new = [(F.col(c) + u * (F.element_at(other, i + 1) - F.col(c))).alias(c) for i, c in enumerate(cols)]
     return seeds.select(by, F.col(unique).alias("seed_id"), "copy", *new, F.lit(1).alias(label))

@@ -167,9 +167,17 @@ def walk_neighbours(spark, d):
     return table.groupBy("node").agg(F.max("slot").alias("degree"))
 
 
-@query("random_walks")
+NEIGHBOURS = """nb as (select node, other, row_number() over (partition by node order by other) as slot, count(*) over (partition by node) as deg from
+  (select account_id as node, counterparty_id as other from transactions union select counterparty_id, account_id from transactions)),
+  steps(start, walk, i, node, deg, path) as (select node, walk, 0, node, any_value(deg), node from nb, unnest(range(1, 11)) as w(walk) group by node, walk
+    union all select s.start, s.walk, s.i + 1, n.other, m.deg, s.path || '>' || n.other from steps s
+      join nb n on n.node = s.node and n.slot = ('0x' || substr(md5('42|' || s.start || '|' || s.walk || '|' || (s.i + 1)), 1, 15))::bigint % s.deg + 1
+      join (select distinct node, deg from nb) m on m.node = n.other where s.i < 14)"""
+
+
+@query("random_walks", "select start, walk::int as walk, path from steps where i = 14", "t", NEIGHBOURS)
 def random_walks(spark, d):
-    return _walks(spark, d)
+    return _walks(spark, d).select("start", F.col("walk").cast("int").alias("walk"), F.array_join("path", ">").alias("path"))
 
 
 @query("embeddings")

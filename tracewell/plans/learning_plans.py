@@ -21,7 +21,7 @@ from tracewell.operators.risk import top_scores
 from tracewell.operators.stats import keep_active
 from tracewell.plans.history_plans import BURST_S, LABEL, W
 from tracewell.plans.link_plans import PAIRS
-from tracewell.plans.registry import access, ledger, query, r, txns
+from tracewell.plans.registry import access, ledger, query, r, txns, us
 from tracewell.session import checkpointed, fresh_dir
 from tracewell.sources.readers import scored_types
 
@@ -174,9 +174,16 @@ def top_amounts(spark, d):
     return top_scores(txns(spark, d), "amount", 10, "transaction_id").select("transaction_id", "amount")
 
 
-@query("jitter")
+def _normal_sql(name: str) -> str:
+    unit = lambda k: f"((('0x' || substr(md5('{k}|{name}|42|' || event_id || '|' || copy), 1, 15))::bigint)::double + 0.5) / 1152921504606846976.0::double"
+    return f"sqrt(-2 * ln({unit('u')})) * cos(2 * pi() * {unit('v')})"
+
+
+@query("jitter", f"""select event_id, 0 as copy, records_accessed::int as records_accessed, epoch_us(timestamp) as moved_us from access_events union all
+  select event_id, copy::int, trunc(greatest(1, records_accessed + 2 * {_normal_sql('records')}))::int, epoch_us(timestamp) + trunc(3e8 * {_normal_sql('time')})::bigint
+  from access_events, unnest(range(1, 4)) as c(copy) where is_suspicious = 1""", "a")
 def jitter(spark, d):
-    return M.jitter(access(spark, d)).select("event_id", "copy", "records_accessed", "timestamp")
+    return M.jitter(access(spark, d)).select("event_id", "copy", "records_accessed", us("timestamp", "moved_us"))
 
 
 @query("smote")

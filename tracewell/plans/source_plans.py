@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewell import schemas
 from tracewell.functions import columns as X
+from tracewell.operators.ordering import positions
 from tracewell.plans.registry import access, ledger, query, r, txns, us
-from tracewell.sources import readers, slicing, writers
+from tracewell.session import checkpointed, fresh_dir
+from tracewell.sources import committed, readers, slicing, writers
 from tracewell.sources.cleaning import drop_incomplete, with_defaults
 
 SLICE = """chosen as (select * from transactions where lower(scenario) = 'temporal_link'),
@@ -102,9 +105,54 @@ def defaults(spark, d):
     return with_defaults(drop_incomplete(holes, ["employee_id"]), "access").select("event_id", "role", "branch_code", "records_accessed")
 
 
-@query("row_sample")
+@query("row_sample", "select txn_key, amount from ledger where ('0x' || substr(md5('42|' || txn_key), 1, 15))::bigint::double + 0.5 < 0.1::double * 1152921504606846976", "l")
 def row_sample(spark, d):
-    return readers.sample_rows(ledger(spark, d), 0.1).select("txn_key", "amount")
+    return readers.sample_rows(ledger(spark, d), 0.1, key="txn_key").select("txn_key", "amount")
+
+
+@query("csv_round_trip", "select transaction_id, account_id, amount, counterparty_id, epoch_us(timestamp) as ts_us, scenario, row_number() over (order by timestamp, transaction_id) as place from transactions", "t")
+def csv_round_trip(spark, d):
+    """Payments written as sorted CSV and read back, with their place in the files."""
+    folder = fresh_dir(spark, "csv")
+    writers.write_csv(txns(spark, d), folder, ["timestamp", "transaction_id"])
+    rows = readers.read_transactions(spark, folder, "csv")
+    # Rows in the order in which they stand: by file, and within a file by line.
+    lined = checkpointed(rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")))
+    return positions(lined, [], ["_file", "_block", "_line"], "place").select("transaction_id", "account_id", "amount", "counterparty_id", us("timestamp", "ts_us"), "scenario", "place")
+
+
+@query("csv_access", "select employee_id, role, account_id, branch_code, action_type, epoch_us(timestamp) as ts_us, records_accessed::int as records_accessed from access_events", "a")
+def csv_access(spark, d):
+    """The access log written as CSV and read with its schema; rows whose time can't be read go to :func:`readers.unreadable`."""
+    folder = fresh_dir(spark, "csv")
+    writers.write_csv(access(spark, d).select(*schemas.ACCESS.names), folder, ["timestamp", "employee_id", "account_id"])
+    rows = readers.read_access(spark, folder, "csv")
+    good = rows.join(readers.unreadable(rows).select("event_id"), "event_id", "left_anti")
+    return good.select("employee_id", "role", "account_id", "branch_code", "action_type", us("timestamp", "ts_us"), "records_accessed")
+
+
+@query("ledger_head", "select account_id, amount, type from (select * from ledger order by txn_key limit 2000) where type in ('TRANSFER', 'CASH_OUT')", "l")
+def ledger_head(spark, d):
+    """The first rows of a ledger file: the limit comes before the type filter."""
+    folder = fresh_dir(spark, "csv")
+    rows = ledger(spark, d)
+    zero = lambda n: F.lit(0).cast("int").alias(n)
+    raw = rows.select(zero("step"), "type", "amount", F.col("account_id").alias("nameOrig"), F.col("oldbalanceorg").alias("oldbalanceOrg"), F.col("newbalanceorg").alias("newbalanceOrig"), F.col("counterparty_id").alias("nameDest"),
+                      F.col("oldbalancedest").alias("oldbalanceDest"), F.col("newbalancedest").alias("newbalanceDest"), F.col("isfraud").alias("isFraud"), zero("isFlaggedFraud"), "txn_key")
+    raw.orderBy("txn_key").drop("txn_key").write.option("header", True).csv(folder)
+    return readers.read_ledger(spark, folder, types=["TRANSFER", "CASH_OUT"], limit=2000).select("account_id", "amount", "type")
+
+
+@query("committed_sink", "select transaction_id, amount, epoch_us(timestamp) as ts_us from transactions", "t")
+def committed_sink(spark, d):
+    """Payments through the sink with a commit list, half of them as a batch and half as a stream, read back."""
+    folder, rows = fresh_dir(spark, "committed"), txns(spark, d).select("transaction_id", "amount", "timestamp")
+    half = F.pmod(F.crc32("transaction_id"), F.lit(2)) == 0
+    committed.write(rows.where(half), f"{folder}/out")
+    rows.where(~half).write.parquet(f"{folder}/in")
+    query_ = committed.write_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint")
+    query_.awaitTermination()
+    return committed.read(spark, f"{folder}/out", rows.schema).select("transaction_id", "amount", us("timestamp", "ts_us"))
 
 
 @query("stacked_tables", """select 'ledger' as source, count(*) as n_rows, round(sum(amount), 2) as total from ledger union all select 'transactions', count(*), round(sum(amount), 2) from transactions""", "tl")

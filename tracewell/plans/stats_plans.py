@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tracewell import constants as C
 from tracewell.operators import quality as Q
+from tracewell.operators import sketches as SK
 from tracewell.operators import stats as S
 from tracewell.plans.registry import access, ledger, query, r, txns, us
+from tracewell.session import checkpointed
 from tracewell.sources.readers import scored_types
 
 
@@ -265,3 +267,30 @@ def prior_access_check(spark, d):
 @query("early_txns", "select transaction_id from transactions where timestamp < (select min(timestamp) from access_events where is_suspicious = 1)", "at")
 def early_txns(spark, d):
     return Q.early_rows(txns(spark, d), access(spark, d).where(F.col("is_suspicious") == 1)).select("transaction_id")
+
+
+_DAYS = ("2024-01-05", "2024-01-20")
+_RANGE = f"cast(timestamp as date) between date '{_DAYS[0]}' and date '{_DAYS[1]}'"
+
+
+@query("sketch_quantiles", f"""select scenario, share, quantile_disc(amount, 0.5) filter (where share = 0.5) as q50, quantile_disc(amount, 0.95) filter (where share = 0.95) as q95, true as within_bound
+  from transactions, (values (0.5), (0.95)) s(share) where {_RANGE} group by scenario, share""", "t")
+def sketch_quantiles(spark, d):
+    """Quantiles of a range of days, merged from the stored sketches of its days; beside them the exact ones."""
+    rows = txns(spark, d)
+    found = SK.quantiles(checkpointed(SK.daily_values(rows, ["scenario"], "amount")), ["scenario"], [0.5, 0.95], *_DAYS)
+    days = rows.where(F.to_date("timestamp").between(F.lit(_DAYS[0]).cast("date"), F.lit(_DAYS[1]).cast("date")))
+    exact = days.groupBy("scenario").agg(*[F.expr(f"percentile_disc({q}) within group (order by amount)").alias(f"e{k}") for k, q in enumerate((0.5, 0.95))])
+    true = F.when(F.col("share") == 0.5, F.col("e0")).otherwise(F.col("e1"))
+    return found.join(exact, "scenario").select("scenario", "share", F.when(F.col("share") == 0.5, F.col("e0")).alias("q50"), F.when(F.col("share") == 0.95, F.col("e1")).alias("q95"),
+                                                (F.abs(F.col("value") - true) <= SK.ALPHA * F.abs(true) * (1 + 1e-9)).alias("within_bound"))
+
+
+@query("sketch_distinct", f"select scenario, count(distinct account_id) as n_accounts, true as within_bound from transactions where {_RANGE} group by scenario", "t")
+def sketch_distinct(spark, d):
+    """Distinct accounts of a range of days, merged from the stored sketches of its days; beside them the exact count."""
+    rows = txns(spark, d)
+    found = SK.distinct(checkpointed(SK.daily_distinct(rows, ["scenario"], "account_id")), ["scenario"], *_DAYS)
+    days = rows.where(F.to_date("timestamp").between(F.lit(_DAYS[0]).cast("date"), F.lit(_DAYS[1]).cast("date")))
+    exact = days.groupBy("scenario").agg(F.countDistinct("account_id").alias("n_accounts"))
+    return found.join(exact, "scenario").select("scenario", "n_accounts", (F.abs(F.col("n_distinct") - F.col("n_accounts")) <= SK.DISTINCT_ERROR * F.col("n_accounts") + 1).alias("within_bound"))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tracewell import constants as C
 from tracewell import schemas
-from tracewell.functions.columns import step_time
+from tracewell.functions.columns import hashed_unit, step_time
 from tracewell.session import use_utc
 
 
@@ -35,10 +35,11 @@ def unreadable(df: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 def read_ledger(spark: SparkSession, path: str, types: list[str] | None = None, limit: int | None = None,
                 fraction: float | None = None, seed: int = 42, fmt: str = "csv") -> DataFrame:
-    """Typed ledger. ``limit`` cuts before the type filter, as a row limit on load does."""
+    """Typed ledger. ``limit`` keeps the first rows in the order of the files, before the type filter, as a row limit on load does."""
     df = _read(spark, path, fmt, schemas.LEDGER_RAW)
     if limit is not None:
-        df = df.limit(limit)
+        placed = df.withColumns({"_f": F.col("_metadata.file_path"), "_b": F.col("_metadata.file_block_start"), "_r": F.monotonically_increasing_id()})
+        df = placed.orderBy("_f", "_b", "_r").limit(limit).drop("_f", "_b", "_r")
     if types:
         df = df.where(F.col("type").isin(types))
     if fraction is not None and 0.0 < fraction < 1.0:
@@ -62,9 +63,11 @@ def scored_types(df: DataFrame, col: str = "type", types: list[str] | None = Non
     return df.where(F.col(col).isin(types or C.SCORED_TYPES))
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """Seeded Bernoulli sample; the sampling operator itself."""
-    return df.sample(fraction=fraction, seed=seed)
+def sample_rows(df: DataFrame, fraction: float, seed: int = 42, key: str | None = None) -> DataFrame:
+    """Seeded Bernoulli sample; the sampling operator itself. With a ``key`` the same rows are drawn however the table is laid out."""
+    if key is None:
+        return df.sample(fraction=fraction, seed=seed)
+    return df.where(hashed_unit(F.lit(seed), F.col(key)) < fraction)
 
 
 def read_event_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json",

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.ordering import positions
 
+CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"  # the default keeps milliseconds only
+
 
 def write_alerts(alerts: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
     alerts.write.mode(mode).format(fmt).save(path)
@@ -22,8 +24,8 @@ def alert_sink(path: str, fmt: str = "parquet") -> Callable[[DataFrame, int], No
 
 
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """Sorted CSV; part files follow the order, so their concatenation is sorted."""
-    df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
+    """Sorted CSV; part files follow the order, so their concatenation is sorted. Times keep their microseconds."""
+    df.orderBy(*order).write.mode("overwrite").option("header", True).option("timestampFormat", CSV_TIME).csv(path)
 
 
 def with_dense_id(df: DataFrame, prefix: str = "TXN_", order: list[str | Column] = ("timestamp",), width: int = 6,
