@@ -46,7 +46,8 @@ def _link_columns(df: DataFrame, present: str) -> DataFrame:
     return scored.withColumns({n: F.when(F.col(present), F.col(n)) for n in names})
 
 
-SCORED = ["burst_score", "burst_detected", "aggregate_amount", "burst_evidence", "cluster_count", "profile_score", "profile_anomalous", "profile_reasons"]
+SCORED = ["aggregate_amount", "cluster_count", "rule_matched", "profile_score", "profile_anomalous", "is_dormant_account", "amount_vs_historical_mean_ratio", "balance_is_zero_after"]
+PARTNER = ["account_id", "access_id", "access_ts", "role", "account_type", "is_suspicious"]
 RING = ["ring_score", "ring_path", "ring_quantum"]
 
 
@@ -67,27 +68,30 @@ def transaction_signals(access: DataFrame, txns: DataFrame, rings: DataFrame | N
     that label.
     """
     w = int(C.LINK_WINDOW_SECONDS * 1e6)
-    rows = B.burst_result(txns, window_s=burst_window_s)
-    rows = P.profile_reasons(P.profile_score(P.profile_features(rows, mode)))
+    rows = B.burst_rule(txns, burst_window_s)
+    rows = P.profile_score(P.profile_features(rows, mode))
     keep = [*txns.columns, *SCORED]
     if rings is not None:
         # Joined while the rows are still partitioned by account.
         rows = with_rings(rows, first_rings(rings), ring_scenario)
         keep += RING
-    acc = L.as_accesses(access)
+    # Numbers only go through the merge, and of the accesses what scores a pair.
+    acc = L.as_accesses(access).select(*PARTNER)
     rows = L.match_within(L.as_payments(rows.select(*keep)), acc, "account_id", "txn_ts", "access_ts", "access_id", -w, 0, "first", "_m")
     fields = [c for c in acc.columns if c != "account_id"]
-    return paired_payments(rows.select("*", *[F.col(f"_m.{c}").alias(c) for c in fields]).withColumn("_linked", F.col("_m").isNotNull()))
+    return paired_payments(rows.select("*", *[F.col(f"_m.{c}").alias(c) for c in fields]).withColumn("_linked", F.col("_m").isNotNull()), burst_window_s)
 
 
-def paired_payments(rows: DataFrame) -> DataFrame:
-    """Link columns, time and event of transactions that stand beside their access; ``_linked`` tells whether there is one."""
-    rows = _link_columns(rows, "_linked")
+def paired_payments(rows: DataFrame, burst_window_s: float = C.BURST_WINDOW_SECONDS) -> DataFrame:
+    """Scores, texts, time and event of transactions that stand beside their access; ``_linked`` tells whether there is one."""
+    rows = P.profile_reasons(B.burst_scores(_link_columns(rows, "_linked"), window_s=burst_window_s))
     return rows.withColumn("timestamp", F.col("txn_ts")).withColumn("raw_event", _raw_txn("txn_ts", "txn_branch"))
 
 
 def paired_accesses(rows: DataFrame) -> DataFrame:
     """The same for accesses that stand beside a transaction; those that are neither linked nor unusual go."""
+    scored = R.role_score(R.serving_features(rows.withColumn("timestamp", F.col("access_ts"))))
+    rows = R.unusual_features(scored)
     rows = _link_columns(rows.where(F.col("_linked") | F.col("role_anomalous")), "_linked")
     raw_access = _raw_event(kind=F.lit("access"), event_id=F.col("access_id"), branch_code=F.col("access_branch"), timestamp=F.col("access_ts"),
                             **{n: F.col(n) for n in ("employee_id", "role", "account_type", "action_type", "records_accessed")})
@@ -98,10 +102,8 @@ def paired_accesses(rows: DataFrame) -> DataFrame:
 def access_signals(access: DataFrame, txns: DataFrame) -> DataFrame:
     """Accesses that link to an earlier transaction, or that are unusual for their role."""
     w = int(C.LINK_WINDOW_SECONDS * 1e6)
-    rows = R.unusual_features(R.role_score(R.serving_features(access)))
-    keep = [*access.columns, "role_component", "role_anomalous", "role_drivers", "role_error"]
     pay = L.as_payments(txns)
-    rows = L.match_within(L.as_accesses(rows.select(*keep)), pay, "account_id", "access_ts", "txn_ts", "transaction_id", -w, -1, "first", "_m")
+    rows = L.match_within(L.as_accesses(access), pay, "account_id", "access_ts", "txn_ts", "transaction_id", -w, -1, "first", "_m")
     fields = [c for c in pay.columns if c != "account_id"]
     return paired_accesses(rows.select("*", *[F.col(f"_m.{c}").alias(c) for c in fields]).withColumn("_linked", F.col("_m").isNotNull()))
 

@@ -56,12 +56,12 @@ def neighbourhood_sizes(alerts: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def telemetry(access: DataFrame, txns: DataFrame, pairs: DataFrame, rings: DataFrame, signals: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Event, pattern and alert counts of a run in one row."""
+    """Event, pattern and alert counts of a run in one row; ``pairs`` is the one row of :func:`links.count_pairs`."""
     n = F.count(F.lit(1))
     flags = signals.agg(F.count_if(F.col("burst_detected")).alias("b"), F.count_if(F.col("profile_anomalous")).alias("p"))
     row = access.agg(n.alias("total_access_events")).select(
         "total_access_events", txns.agg(n).scalar().alias("total_transactions"), alerts.agg(n).scalar().alias("total_alerts"),
-        pairs.agg(n).scalar().alias("temporal_correlations_detected"), rings.agg(n).scalar().alias("circular_rings_detected"),
+        pairs.select("n").scalar().alias("temporal_correlations_detected"), rings.agg(n).scalar().alias("circular_rings_detected"),
         flags.select(F.struct("b", "p")).scalar().alias("_f"))
     return row.select(
         "total_access_events", "total_transactions", "total_alerts", "temporal_correlations_detected", "circular_rings_detected",

@@ -9,6 +9,7 @@ from tracewell import constants as C
 from tracewell.functions import columns as X
 from tracewell.functions import text
 from tracewell.operators.evaluate import pair_label
+from tracewell.operators.ordering import running
 from tracewell.operators.stats import group_stats
 
 _ACCESS_NAMES = {"event_id": "access_id", "timestamp": "access_ts", "branch_code": "access_branch"}
@@ -55,6 +56,19 @@ def temporal_link(access: DataFrame, txns: DataFrame, window_s: float = C.LINK_W
     return with_gap(pairs)
 
 
+def count_pairs(access: DataFrame, txns: DataFrame, window_s: float = C.LINK_WINDOW_SECONDS) -> DataFrame:
+    """The number of rows of :func:`temporal_link` in one row ``n``, without forming a pair.
+
+    Accesses are counted in time order; a payment takes the count at the end of its window less that before its start.
+    """
+    w, none = int(window_s * 1e6), F.lit(0).cast("long")
+    at = lambda df, us, step, c, sign: df.where("account_id is not null and timestamp is not null").select("account_id", us.alias("_at"), F.lit(step).alias("_step"), c.alias("_c"), F.lit(sign).alias("_sign"))
+    ts = X.micros("timestamp")
+    rows = at(access, ts, 1, F.lit(1).cast("long"), 0).unionByName(at(txns, ts + w, 2, none, 1)).unionByName(at(txns, ts - w, 0, none, -1))
+    total = running(rows, ["account_id"], ["_at", "_step"], {"_n": ("sum", F.col("_c"))})
+    return total.agg(F.coalesce(F.sum(F.col("_n") * F.col("_sign")), none).alias("n"))
+
+
 def with_gap(pairs: DataFrame) -> DataFrame:
     gap = F.abs(X.gap_seconds("access_ts", "txn_ts"))
     return (pairs.withColumn("gap_seconds", gap)

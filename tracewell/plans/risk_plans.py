@@ -15,7 +15,7 @@ from tracewell.plans.graph_plans import TARGET
 from tracewell.plans.history_plans import BURST_S, ROLE_ERROR, ROLE_LIMIT, RULE
 from tracewell.plans.link_plans import ASOF, DRIVERS, FEATURES, PAIRS, SCORED
 from tracewell.plans.registry import access, query, r, txns, us
-from tracewell.session import checkpointed
+from tracewell.session import checkpointed, fresh_dir
 from tracewell.sources import writers
 
 W = "partition by account_id order by timestamp, transaction_id"
@@ -71,8 +71,17 @@ def signals(spark, d):
     return D.all_signals(a, t, D.find_rings(a, t), burst_window_s=BURST_S)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def alerts(spark, d):
-    return D.alerts(access(spark, d), txns(spark, d), burst_window_s=BURST_S)
+    """The alert table, worked out and stored once for a session and table folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        folder = fresh_dir(spark, "alerts")
+        D.alerts(access(spark, d), txns(spark, d), burst_window_s=BURST_S).write.parquet(folder)
+        _STORED[key] = folder
+    return spark.read.parquet(_STORED[key])
 
 
 @query("link_alerts", f"""select transaction_id, access_id, account_id, round(score, 4) as link_score, cast(format('{{:.1f}}', round(score, 4) * 0.35::double / 0.35::double * 100) as double) as composite_risk_score,
@@ -202,4 +211,4 @@ def telemetry(spark, d):
     a, t = access(spark, d), txns(spark, d)
     rings = D.find_rings(a, t)
     rows = checkpointed(D.all_signals(a, t, rings, burst_window_s=BURST_S))  # counted and turned into alerts
-    return O.telemetry(a, t, L.temporal_link(a, t), rings, rows, K.build_alerts(rows, ["source", "source_id"]))
+    return O.telemetry(a, t, L.count_pairs(a, t), rings, rows, K.build_alerts(rows, ["source", "source_id"]))

@@ -17,8 +17,6 @@ from tracewell.operators import detect as D
 from tracewell.operators import links as L
 from tracewell.operators import profile as P
 from tracewell.operators import risk as K
-from tracewell.operators import roles as R
-from tracewell.operators import structuring as B
 from tracewell.streaming import accounts, rings, runs
 
 
@@ -169,18 +167,14 @@ _AS_PAYMENT = {"timestamp": "txn_ts", "branch_code": "txn_branch"}
 def _payment_signals(payments: DataFrame, first: DataFrame, burst_window_s: float) -> DataFrame:
     rows = payments.select("account_id", *_unpacked("t_", accounts.PAYMENT, {}), *accounts.PAST, *[c for c in accounts.ACCESS])
     rows = rows.withColumn("rule_matched", (F.col("cluster_count") >= C.BURST_MIN_ROWS) & (F.col("aggregate_amount") >= C.REPORTING_LIMIT * C.BURST_FACTOR))
-    rows = B.burst_scores(rows.withColumn("aggregate_amount", F.round("aggregate_amount", 2)), window_s=burst_window_s)
-    rows = D.with_rings(P.profile_reasons(P.profile_score(P.from_past(rows))), first)
+    rows = D.with_rings(P.profile_score(P.from_past(rows.withColumn("aggregate_amount", F.round("aggregate_amount", 2)))), first)
     pay = [f.name for f in schemas.TRANSACTIONS.fields]
     rows = rows.select(*[F.col(c).alias(_AS_PAYMENT.get(c, c)) for c in pay], *D.SCORED, *D.RING, *_unpacked("a_", accounts.ACCESS, _AS_ACCESS))
-    return D.paired_payments(rows.withColumn("_linked", F.col("access_id").isNotNull()))
+    return D.paired_payments(rows.withColumn("_linked", F.col("access_id").isNotNull()), burst_window_s)
 
 
 def _access_signals(seen: DataFrame) -> DataFrame:
-    rows = seen.select("account_id", *_unpacked("a_", accounts.ACCESS, {}), *[c for c in accounts.PAYMENT])
-    rows = R.unusual_features(R.role_score(R.serving_features(rows)))
-    own = ["event_id", *[f.name for f in schemas.ACCESS.fields]]
-    rows = rows.select(*[F.col(c).alias(_AS_ACCESS.get(c, c)) for c in own], "role_component", "role_anomalous", "role_drivers", "role_error", *_unpacked("t_", accounts.PAYMENT, _AS_PAYMENT))
+    rows = seen.select("account_id", *_unpacked("a_", accounts.ACCESS, _AS_ACCESS), *_unpacked("t_", accounts.PAYMENT, _AS_PAYMENT))
     return D.paired_accesses(rows.withColumn("_linked", F.col("transaction_id").isNotNull()))
 
 
