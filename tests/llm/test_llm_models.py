@@ -28,15 +28,69 @@ def longest_match_phrases(train, text):
     return n
 
 
-def test_automaton_parses_as_the_longest_matches_do():
+@pytest.mark.parametrize("dense", [64, 3, 1])
+def test_automaton_parses_as_the_longest_matches_do(monkeypatch, dense):
+    """With few columns in the table, most symbols are looked up one by one."""
+    monkeypatch.setattr(language_id, "DENSE", dense)
     rng = np.random.default_rng(3)
     for _ in range(30):
-        train = rng.integers(0, 4, rng.integers(1, 60)).astype(np.uint8)
-        text = rng.integers(0, 5, rng.integers(1, 80)).astype(np.uint8)
-        table = language_id._table(train)
-        assert len(table) <= 2 * len(train) + 1
+        train = rng.integers(0, 6, rng.integers(1, 60)).astype(np.int32)
+        text = rng.integers(0, 7, rng.integers(1, 80)).astype(np.int32)
+        automaton = {**language_id._automaton(train), "symbols": 7}
+        assert automaton["states"] <= 2 * len(train) + 1
         as_text = lambda x: "".join(chr(97 + c) for c in x)
-        assert language_id._phrases(table, text[None, :])[0] == longest_match_phrases(as_text(train), as_text(text))
+        assert language_id._phrases(*language_id._table(automaton), text[None, :])[0] == longest_match_phrases(as_text(train), as_text(text))
+
+
+def test_texts_are_parsed_as_the_longest_matches_do():
+    """Whole texts, alphabets that differ, letters that a language or all lack."""
+    rows = pd.DataFrame([("aa", 1, "kalo mira toren"), ("bb", 2, "шкаф мир кот"), ("cc", 3, "漢字仮名 交じり文")], columns=["lang", "id", "text"])
+    parser = language_id.Parser(language_id.learn(rows))
+    texts = ["Kalo, mira!", "КОТ мир x", "漢字 kalo", "q", "", "12", "文字 ω"]
+    phrases, sizes, letters = parser.phrases(texts)
+    assert letters.tolist() == [True, True, True, True, False, False, True]
+    for k, lang in enumerate(parser.langs):
+        own = "".join(c if c.isalpha() else " " for c in rows["text"][k].lower())
+        for t, got in zip(texts, phrases[:, k]):
+            shown = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t.lower()))
+            # Letters that the language lacks end every phrase, whichever they are.
+            assert got == longest_match_phrases(own, shown), (lang, t)
+
+
+def test_twenty_scripts_keep_their_own_alphabets(spark):
+    """Each language writes with some 90 letters of its own: more than any joint alphabet of 62, all told 1 800."""
+    rng = random.Random(6)
+    letters = [chr(c) for c in range(0x3400, 0x3400 + 1800)]
+    rows = []
+    for k in range(20):
+        own = letters[90 * k : 90 * k + 90]
+        words = ["".join(rng.choices(own, k=rng.randrange(1, 4))) for _ in range(80)]
+        rows += [(100 * k + n, " ".join(rng.choices(words, k=30)), f"l{k:02d}") for n in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.labelled(df, "doc_id", "text", "lang")
+    got = language_id.predict(df, sample).where(language_id.held_out(F.col("doc_id"))).collect()
+    assert len(got) > 30 and all(r.lang_pred == r.lang for r in got)
+    model = language_id.learn(sample)
+    assert min(a["symbols"] for a in model["automata"]) > 62
+
+
+def test_whole_texts_are_learned_from(spark):
+    """The language shows only in the second half of long texts."""
+    rng = random.Random(8)
+    same = " ".join(rng.choice(["kos", "mul"]) for _ in range(30_000))
+    rows = [(k, f"{same} {' '.join(_texts(rng, lang, 60))}", lang) for lang in LANGS for k in range(4 * (lang == "bb"), 4 + 4 * (lang == "bb"))]
+    rows += [(100 + k, t, None) for k, t in enumerate(_texts(rng, "aa", 5) + _texts(rng, "bb", 5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.labelled(df, "doc_id", "text", "lang")
+    assert sample["text"].str.len().max() < 4 * language_id.TRAIN_CHARS + 100
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(df, sample).collect()}
+    assert [got[100 + k] for k in range(10)] == ["aa"] * 5 + ["bb"] * 5
+
+
+def test_ties_go_to_the_first_language(spark):
+    df = spark.createDataFrame([(k, "kalo mira toren sul venta " * 40, lang) for k, lang in enumerate(["bb", "aa"] * 8)], "doc_id long, text string, lang string")
+    got = language_id.predict(df, language_id.labelled(df, "doc_id", "text", "lang")).collect()
+    assert {r.lang_pred for r in got} == {"aa"} and all(abs(r.score - 0.5) < 1e-9 for r in got)
 
 
 def test_languages_on_held_out_texts_and_odd_ones(spark):
@@ -107,9 +161,20 @@ def test_vote_equals_plain_cosines():
         assert got == pytest.approx(want, rel=1e-4)
 
 
+def test_a_score_does_not_depend_on_the_block_and_ties_go_by_place():
+    rng = np.random.default_rng(2)
+    counts = rng.poisson(1.0, (300, quality_knn.PAIRS + quality_knn.WORDS + 1)).astype(np.float32)
+    counts[100:200] = counts[100]  # many equal neighbours
+    model = quality_knn.Model(counts, rng.integers(0, 2, 300))
+    query = np.concatenate([counts[95:130], counts[:40] + 1])
+    whole = model.score(query)
+    assert (whole == np.concatenate([model.score(query[k:k + 1]) for k in range(len(query))])).all()
+    assert (quality_knn.Model.of(vars(model)).score(query) == whole).all()
+
+
 def test_nothing_learned(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in quality_knn.score(df, quality_knn.fit(df, none)).collect()] == [0.5]
     assert quality_knn.score(df.limit(0), quality_knn.fit(df, none)).count() == 0
-    assert isinstance(language_id.Parser(pd.DataFrame({"lang": [], "id": [], "text": []})).langs, list) and re.match("u", "und")
+    assert isinstance(language_id.learn(pd.DataFrame({"lang": [], "id": [], "text": []}))["langs"], list) and re.match("u", "und")

@@ -88,3 +88,19 @@ def test_rules_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [(r.ratio, r.kept) for r in quality_rules.judge(df, none).collect()] == [(0.0, True)]
     assert quality_rules.judge(df.limit(0), none).count() == 0
+
+
+def test_the_threshold_is_a_quantile_of_trusted_texts_outside_the_model(spark):
+    rng = random.Random(12)
+    words = ["kalo", "mira", "toren", "sul", "venta", "oki", "pram", "dola"]
+    rows = [(k, " ".join(rng.choices(words, k=60)), 1) for k in range(600)] + [(1000 + k, " ".join(rng.choices(["zz", "qq", "xx", "ww"], k=60)) + " " + " ".join(rng.sample([f"n{j}" for j in range(900)], 30)), 0) for k in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    out = {r.doc_id: r for r in quality_rules.judge(docs, labels).collect()}
+    held = {r.doc_id for r in docs.where((F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(quality_rules.HELD_SHARE)) == 0) & (F.col("doc_id") < 600)).collect()}
+    scores = sorted(out[i].ratio for i in held if not out[i].base_failed)
+    limit = scores[max(0, -(-len(scores) * 1 // 1000) - 1)]
+    assert 80 < len(scores) < 160
+    assert all(r.kept == (not r.base_failed and r.ratio >= limit) for r in out.values())
+    assert sum(out[i].kept for i, _, y in rows if y == 1 and not out[i].base_failed) >= 590
+    assert not any(out[i].kept for i, _, y in rows if y == 0)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.words import Words
 
 SAMPLE = 2_000  # labelled documents at most, chosen by a hash of the id
-PAIRS, WORDS = 512, 256  # hashed terms of each kind
+PAIRS, WORDS = 1024, 512  # hashed terms of each kind
 DIMENSIONS, NEIGHBOURS = 48, 25
 POWER = 8.0  # a neighbour's weight is its cosine to this power
 PRIOR = 0.5  # weight of the labelled texts' mean label in every vote
@@ -116,13 +116,20 @@ class Model:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
+        """Votes of blocks of always the same shape, filled up with empty rows: last digits depend on the shape of a product."""
+        blocks = [counts[k : k + BLOCK_DOCS] for k in range(0, len(counts), BLOCK_DOCS)]
+        full = lambda b: b if len(b) == BLOCK_DOCS else np.concatenate([b, np.zeros((BLOCK_DOCS - len(b), b.shape[1]), b.dtype)])
+        return np.concatenate([self._vote(full(b))[: len(b)] for b in blocks]) if blocks else np.zeros(0)
+
+    def _vote(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(counts), self.prior)
-        near = self.project(counts) @ self.vectors.T
-        k = min(NEIGHBOURS, near.shape[1])
-        # By cosine, equal ones by place, so that the vote doesn't depend on the block.
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, best, 1), 0).astype(np.float64) ** POWER
+        # Cosines to five places; equal ones go by place.
+        near = np.rint((self.project(counts) @ self.vectors.T).astype(np.float64) * 1e5).astype(np.int64)
+        k, n = min(NEIGHBOURS, near.shape[1]), near.shape[1]
+        best = np.argpartition(np.arange(n) - near * n, k - 1, axis=1)[:, :k]
+        best.sort(axis=1)
+        weight = np.maximum(np.take_along_axis(near, best, 1) / 1e5, 0) ** POWER
         return (PRIOR * self.prior + (weight * self.labels[best]).sum(1)) / (PRIOR + weight.sum(1))
 
 
