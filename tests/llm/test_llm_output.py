@@ -51,6 +51,43 @@ def test_digests_of_conversations(spark):
     assert chat_format.read_back(chat_format.format_turns(df.limit(0))).count() == 0
 
 
+def test_borders_are_found_wherever_the_pieces_end():
+    rng = random.Random(7)
+    texts = _hard_texts(rng)
+    for k in range(0, 400, 8):
+        turns = [(rng.choice(["user", "assistant", "tool"]), t) for t in texts[k:k + 8]]
+        whole = "".join(chat_format.fit(*t)[0] for t in turns)
+        reader, got, at = chat_format.Reader(), [], 0
+        while at < len(whole):
+            n = rng.randrange(1, 40)
+            got += reader.feed(whole[at:at + n])
+            at += n
+        reader.end()
+        assert got == turns == chat_format.parse(whole)
+    broken = chat_format.Reader()
+    broken.feed("<s>[INST] x")
+    with pytest.raises(ValueError):
+        broken.end()
+    with pytest.raises(ValueError):
+        chat_format.Reader().feed("<s>[INST] a [/OUT]</s>")
+
+
+@pytest.mark.parametrize("change,error", [({"start": "start + 1"}, "start"), ({"loss_start": "loss_start + 100"}, "mask"), ({"rendered": "concat(rendered, 'x')"}, "start")])
+def test_wrong_offsets_and_texts_are_refused(spark, change, error):
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "[/OUT] ho"), (1, 2, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    formatted = chat_format.format_turns(df)
+    assert chat_format.read_back(formatted).head().loss_chars == 10
+    with pytest.raises(Exception, match=error):
+        chat_format.read_back(formatted.withColumns({c: F.expr(e) for c, e in change.items()})).collect()
+
+
+def test_a_mask_that_is_off_by_one_shows_in_the_digest(spark):
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "hello")], "conv_id long, turn long, role string, text string")
+    formatted = chat_format.format_turns(df)
+    moved = formatted.withColumns({"loss_start": F.col("loss_start") - 1, "loss_end": F.col("loss_end") - 1})
+    assert chat_format.read_back(formatted).head().loss_sha256 == hashlib.sha256(b"hello").hexdigest() != chat_format.read_back(moved).head().loss_sha256
+
+
 # --- sharding
 
 @pytest.mark.parametrize("rows,parts,shards,block", [(1000, 7, 24, 10), (5, 3, 24, 65536), (0, 2, 3, 4), (333, 5, 1, 50)])

@@ -60,6 +60,30 @@ def parse(rendered: str) -> list[tuple[str, str]] | None:
     return out
 
 
+class Reader:
+    """Parses a conversation that comes piece by piece; where pieces end plays no part."""
+
+    def __init__(self):
+        self.rest = ""
+
+    def feed(self, piece: str) -> list[tuple[str, str]]:
+        """The turns that are complete by now. A turn ends at the first closing mark, so more text can't change it."""
+        self.rest += piece
+        out, at = [], 0
+        while m := _TURN.match(self.rest, at):
+            found = parse(m[0])
+            if found is None:
+                raise ValueError("a turn breaks the grammar")
+            out += found
+            at = m.end()
+        self.rest = self.rest[at:]
+        return out
+
+    def end(self) -> None:
+        if self.rest:
+            raise ValueError("a conversation does not end with a turn")
+
+
 def fit(role: str, text: str) -> tuple[str, int, int, int]:
     """(rendered turn, start and end of its text, number of escapings): escaped until the parser gives the source back."""
     tried, n = text, 0
@@ -105,7 +129,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, from the rendered text and the loss mask alone: number of turns, digest of the turns that the parser
     finds, characters and digest of the unescaped text under the mask, and rendered characters.
 
-    The rows of a conversation must stand together and in order, as ``format_turns`` returns them.
+    A conversation is read as one text: the parser finds the turns' borders itself, and the mask is cut by its places in the whole
+    conversation. Text that breaks the grammar, a wrong start of a row or a mask outside its row raises an error. The rows of a
+    conversation must stand together and in order, as ``format_turns`` returns them.
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
@@ -113,8 +139,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
         now, open_, done = None, False, []
         n = chars = loss_chars = 0
         turns = loss = hashlib.sha256()
+        reader = Reader()
 
         def close():
+            reader.end()
             done.append((now, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
 
         def batch_of(rows):
@@ -127,12 +155,16 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     if open_:
                         close()
                     now, open_, n, chars, loss_chars = r["conv_id"], True, 0, 0, 0
-                    turns, loss = hashlib.sha256(), hashlib.sha256()
-                for role, text in parse(r["rendered"]):
+                    turns, loss, reader = hashlib.sha256(), hashlib.sha256(), Reader()
+                if r["start"] != chars:
+                    raise ValueError(f"a row is said to start at {r['start']}, the conversation has {chars} characters before it")
+                for role, text in reader.feed(r["rendered"]):
                     turns.update(f"{role}\n{text}\n".encode())
                     n += 1
                 if r["loss_start"] is not None:
-                    text = unescape(r["rendered"][r["loss_start"] - r["start"] : r["loss_end"] - r["start"]])
+                    if not chars <= r["loss_start"] <= r["loss_end"] <= chars + len(r["rendered"]):
+                        raise ValueError("a mask lies outside its row")
+                    text = unescape(r["rendered"][r["loss_start"] - chars : r["loss_end"] - chars])
                     loss.update(text.encode())
                     loss_chars += len(text)
                 chars += len(r["rendered"])
