@@ -247,3 +247,9 @@ def test_archives_are_read_by_as_many_tasks_as_there_are_files(spark, tmp_path):
     rows = warc.read_archives(spark, folder)
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and n > 5
     assert rows.rdd.getNumPartitions() == n and rows.count() == 300
+
+
+def test_unnamed_values_weigh_as_the_rest(spark):
+    df = spark.createDataFrame([(k, "w " * 100, s) for k, s in enumerate(["a"] * 5 + ["b"] * 5 + [None] * 5)], "doc_id long, text string, source string")
+    take = lambda w: {r.source: r.n for r in mixing.mix(df, {"source": F.col("source")}, {"source": w}, 600, epochs=1).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert take({"a": 2.0, mixing.REST: 1.0}) == {"a": 3, "b": 1, None: 1} and take({"a": 1.0}) == {"a": 5}

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tracewell.session import checkpointed, fresh_dir
 
 EPOCHS, SEED = 4, 11
+REST = "*"  # in a level's weights: the weight of every value that is not named, NULL too
 PIECE_DOCS = 2_000  # documents of a leaf that are sorted together, about
 BROADCAST_LEAVES = 50_000  # with more leaves than this, budgets are joined by shuffling
 
@@ -62,13 +63,13 @@ def _weight(level: str, weights: dict[str, dict[str, float]]) -> Column:
     given = weights.get(level)
     if given is None:
         return F.lit(1.0)
-    table = F.create_map(*[F.lit(x) for k, v in given.items() for x in (f"={k}", float(v))])
-    return F.coalesce(table[F.col("child")], F.lit(0.0))
+    table = F.create_map(*[F.lit(x) for k, v in given.items() if k != REST for x in (f"={k}", float(v))], F.lit(REST), F.lit(0.0))
+    return F.coalesce(table[F.col("child")], F.lit(float(given.get(REST, 0.0))))
 
 
 def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, float]], budget: int, epochs: int) -> DataFrame:
     """(one column per level, given): whole tokens for each leaf. ``leaves`` has the levels and tokens. A level that ``weights``
-    names gives its other values nothing; levels that it doesn't name weigh their values alike."""
+    names gives its other values the weight of ``REST``, or nothing; levels that it doesn't name weigh their values alike."""
     for level in weights:
         # What no weight reaches can't be given; its tokens must not count above.
         leaves = leaves.withColumn("child", F.col(level)).where(_weight(level, weights) > 0).drop("child")

@@ -128,7 +128,8 @@ def domain_of(source):
     return F.concat(F.lit("d"), F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.coalesce(source, F.lit("")).cast("binary")), 1, 1)) % 4)
 
 
-MIX_WEIGHTS = {"lang": {"en": 0.5, "de": 0.25, "fr": 0.125, "es": 0.125}}
+# Spanish of the first domain can't fill its part, even with all epochs: its siblings take the rest.
+MIX_WEIGHTS = {"domain": {"d0": 3.0, "d1": 2.0, "d2": 2.0, "d3": 1.0}, "lang": {"en": 0.3, "de": 0.2, "fr": 0.2, "es": 0.3}, "source": {"src0": 3.0, mixing.REST: 1.0}}
 
 
 def mix_levels():
@@ -152,7 +153,8 @@ with d as (select doc_id, coalesce('=' || lang, 'null') as lang, coalesce('=' ||
   cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as tokens, md5(coalesce(cast(doc_id as varchar), 'null') || '|' || coalesce(text, '')) as key from documents),
 total as (select cast(sum(tokens) as double) as budget from d),
 leaves as (select domain, lang, source, sum(tokens) as tokens from d where lang in ('=en', '=de', '=fr', '=es') group by all),
-""" + _share_sql("l1", "", "", "domain", "1.0::double") + "," + _share_sql("l2", "domain", "l1", "lang", "(case lang when '=en' then 0.5 when '=de' then 0.25 else 0.125 end)::double") + "," + _share_sql("l3", "domain, lang", "l2", "source", "1.0::double") + """,
+""" + _share_sql("l1", "", "", "domain", "(case domain when '=d0' then 3 when '=d3' then 1 else 2 end)::double") + "," + _share_sql("l2", "domain", "l1", "lang", "(case when lang in ('=en', '=es') then 0.3 else 0.2 end)::double")
++ "," + _share_sql("l3", "domain, lang", "l2", "source", "(case source when '=src0' then 3 else 1 end)::double") + """,
 plan as (select domain, lang, source, cast(floor(budget + 1e-6) as bigint) as given, cast(tokens as bigint) as held from l3 join leaves using (domain, lang, source) where tokens > 0),
 p as (select d.*, given // held as whole, given % held as rest, cast('0x' || substr(md5('11|' || (given // held) || '|' || key), 1, 15) as bigint) as place from d join plan using (domain, lang, source) where given > 0),
 c as (select *, sum(tokens) over (partition by domain, lang, source order by place) as until from p),
