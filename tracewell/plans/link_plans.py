@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell import constants as C
-from tracewell.functions.columns import role_allows
+from tracewell.functions.columns import role_allows, squash
 from tracewell.operators import links as L
 from tracewell.operators.skew import ordered_blocks
 from tracewell.operators.stats import group_mode
@@ -150,3 +150,12 @@ def typed_bursts(spark, d):
     w = b.over.rowsBetween(-19, 0)
     return b.finish(b.df.withColumn("n_below", F.count_if(F.col("amount") < C.REPORTING_LIMIT).over(w))
                     .withColumn("n_above", F.count_if(F.col("amount") >= C.REPORTING_LIMIT).over(w))).select("transaction_id", "n_below", "n_above")
+
+
+@query("squashed_scores", """select transaction_id, access_id, round(1 / (1 + exp(-5 * (amount - 10000) / 150000)), 6) as squashed,
+  (1 / (1 + exp(-5 * (amount - 10000) / 150000)) > 0.5 or gap_seconds <= 240)::int as suspicious from pairs""", "at", PAIRS)
+def squashed_scores(spark, d):
+    """A fitted detector's raw score, here the amount's distance from the baseline, squashed into (0, 1) and judged."""
+    rows = L.link_features(L.temporal_link(access(spark, d), txns(spark, d))).withColumn("raw", (F.col("amount") - 10000.0) / 150000.0)
+    scored = L.link_score(rows.withColumn("squashed", squash("raw")), "raw")
+    return scored.select("transaction_id", "access_id", r("squashed", 6), F.col("link_suspicious").cast("int").alias("suspicious"))

@@ -212,3 +212,19 @@ def telemetry(spark, d):
     rings = D.find_rings(a, t)
     rows = checkpointed(D.all_signals(a, t, rings, burst_window_s=BURST_S))  # counted and turned into alerts
     return O.telemetry(a, t, L.count_pairs(a, t), rings, rows, K.build_alerts(rows, ["source", "source_id"]))
+
+
+COHESIVE = GP.RINGS.replace("ring_sums as (", f"""vecs as (select 'ACC_' || lpad(vec_id::varchar, 5, '0') as id, embedding from embeddings),
+  members as (select path, h, src, v.embedding as vec from hops left join vecs v on v.id = src),
+  cohesion as (select a.path, avg(case when a.vec is null or b.vec is null then 0 else greatest(-1, least(1, {GP.COS.format(a='a.vec', b='b.vec')})) end) as c from members a join members b on a.path = b.path and a.h < b.h group by a.path),
+  ring_sums as (""").replace("0.05 * n + 0)", "0.05 * n + 0.15 * greatest(0, c))").replace("from ring_sums)", "from ring_sums join cohesion using (path))")
+
+
+@query("alerts_cohesive", "select alert_id, score as composite_risk_score, severity, round(ring_score, 3) as ring_score from alerts where ring_score is not null", "at", ALERTS.replace(GP.RINGS, COHESIVE))
+def alerts_cohesive(spark, d):
+    """Alerts whose rings are scored with the cohesion of their members' vectors."""
+    a, t = access(spark, d), txns(spark, d)
+    vecs = spark.read.parquet(f"{d}/embeddings.parquet").select(F.concat(F.lit("ACC_"), F.lpad(F.col("vec_id").cast("string"), 5, "0")).alias("id"), F.col("embedding").alias("vec"))
+    rows = D.alerts(a, t, D.find_rings(a, t, vecs), burst_window_s=BURST_S)
+    ring = F.col("module_scores")["circular_transfer"]
+    return rows.where(ring.isNotNull()).select("alert_id", "composite_risk_score", "severity", ring.alias("ring_score"))

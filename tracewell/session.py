@@ -62,6 +62,14 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Removes a folder that :func:`fresh_dir` named and nothing reads any more."""
+    if not path.startswith(shared_dir(spark).rstrip("/")):
+        raise ValueError(f"{path} is not in the shared folder")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives the loss of an executor."""
     spark = df.sparkSession
