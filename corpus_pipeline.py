@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewell.llm import decontaminate as decontamination
 from tracewell.llm import jaccard_join, mixing, quality_rules, sharding
 from tracewell.llm.queries import MIX_WEIGHTS, mix_levels
-from tracewell.session import fresh_dir
+from tracewell.session import fresh_dir, remove_dir
 
 ORACLE_SQL = None  # the rules' model and the shuffle's draws can't be said in SQL
 SHARDS = 24
@@ -43,10 +43,14 @@ STAGES = [("quality rules", keep_good), ("n-gram Jaccard join", keep_one_of_each
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages; each one's documents are written to the shared folder and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages; each one's documents are written to the shared folder and read again for the next, and go once that is
+    written: a stage works on what is stored, never on what the stage before was made of."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         folder = fresh_dir(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            remove_dir(spark, before)
+        before = folder
     return docs
