@@ -34,3 +34,25 @@ def test_stages_on_no_documents(spark):
 @pytest.mark.parametrize("n", range(1, 14))
 def test_each_operator_has_one_query(n):
     assert len([k for k in QUERIES if k.startswith(f"op{n}_")]) == 1
+
+
+def test_folders_of_earlier_stages_are_removed(spark):
+    import glob
+
+    from tracewell.session import shared_dir
+
+    made = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/pipeline-*"))
+    old = made()
+    out = corpus_pipeline.run(spark, SF)
+    assert len(made() - old) == 1 and out.count() > 0
+
+
+def test_stages_with_repeated_rows_and_missing_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.where("doc_id % 3 = 0")
+    odd = docs.unionByName(some).unionByName(some.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.limit(5).withColumn("text", F.lit(None).cast("string")))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        odd = spark.createDataFrame(out.toArrow())
+        assert odd.count() > 0, name
+    assert odd.agg(F.count("shard")).head()[0] == odd.count()
