@@ -114,6 +114,47 @@ def test_matrix_rows_add_up_and_follow_the_hypergeometric_mean():
     assert np.allclose(mean, 35 * columns / 100, atol=0.2)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 64, 65, 1000, 4097])
+def test_the_second_permutation_is_one(size):
+    assert sorted(sharding.permuted(np.arange(size), size, 5).tolist()) == list(range(size))
+    parts = np.concatenate([sharding.permuted(np.arange(a, min(a + 7, size)), size, 5) for a in range(0, size, 7)])
+    assert (parts == sharding.permuted(np.arange(size), size, 5)).all()  # number by number
+
+
+def _chi_square(table):
+    expected = table.sum(0) * table.sum(1)[:, None] / table.sum()
+    return float(((table - expected) ** 2 / expected).sum()), (table.shape[0] - 1) * (table.shape[1] - 1)
+
+
+def test_places_tell_nothing_of_where_a_row_comes_from(spark):
+    """Chi-square of source against place: within five standard deviations of its degrees of freedom."""
+    table = np.zeros((10, 10))
+    for key in range(300):
+        np.add.at(table, (np.arange(100) // 10, sharding.permuted(np.arange(100), 100, key) // 10), 1)
+    value, free = _chi_square(table)
+    assert abs(value - free) < 5 * np.sqrt(2 * free)
+    df = spark.range(0, 24000, 1, 6).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string").cast("binary")).alias("text"))
+    rows = sharding.shuffle_into_shards(df, 24, block_rows=100).collect()
+    # Each row keeps its own text.
+    assert all(r.text == hashlib.md5(str(r.doc_id).encode()).hexdigest() for r in rows) and len({r.doc_id for r in rows}) == 24000
+    for place in (lambda r: r.shard, lambda r: r.slot // 100, lambda r: (r.shard * 7 + r.slot) % 11):
+        table = np.zeros((24, 1 + max(place(r) for r in rows)))
+        np.add.at(table, ([r.doc_id // 1000 for r in rows], [place(r) for r in rows]), 1)
+        value, free = _chi_square(table)
+        # Fixed shard sizes make the first of these a little smaller than a free draw.
+        assert abs(value - free) < 5 * np.sqrt(2 * free), (value, free)
+
+
+def test_draws_for_a_part_do_not_grow_with_blocks(monkeypatch):
+    """A million parts, ten billion rows: as many draws as the tree is deep, of one number for each shard."""
+    drawn = []
+    split = sharding._split
+    monkeypatch.setattr(sharding, "_split", lambda rng, columns, n: drawn.append(len(columns)) or split(rng, columns, n))
+    counts = np.full(1_000_000, 10_000)
+    row, sent = sharding.matrix_row(counts, sharding.shard_sizes(10**10, 24), 777_777, 7)
+    assert len(drawn) <= 20 and set(drawn) == {24} and row.sum() == 10_000 and sent.sum() == 777_777 * 10_000
+
+
 def test_any_row_may_go_anywhere_and_large_draws_are_right():
     rng = sharding._rng(1)
     big = [sharding._hypergeometric(rng, 2_000_000_000, 1_000_000_000, 9_000) for _ in range(300)]

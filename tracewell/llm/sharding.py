@@ -1,11 +1,14 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-The rows of each source part are counted. How many of them go to each block of each shard is drawn from the multivariate
-hypergeometric law with the exact block sizes as column sums, so every way of dealing the rows is as likely as any other. A row
-is then permuted within its part, which tells its block and its place in it (exchange), and permuted again within the block.
-
-The matrix is never built. A binary tree over the parts splits the block sizes between left and right parts, each split with a
-seed of its own, so that a task walks down to its part and gets the part's row of the matrix and the sum of the rows before it.
+The rows of each source part are counted. How many of them go to each shard is drawn from the multivariate hypergeometric law with
+the exact shard sizes as column sums, so every way of dealing the rows is as likely as any other. A row is then permuted within
+its part, which tells its shard and its number among the shard's rows, and permuted again within the shard, which tells its slot.
+The rows move once, to the block of slots they belong to.
+
+The matrix is never built. A binary tree over the parts splits the shard sizes between left and right parts, each split with a
+seed of its own, so that a task walks down to its part and gets the part's row of the matrix and the sum of the rows before it:
+as many draws as the tree is deep, times the shards. The second permutation is computed number by number (a Feistel network on
+just enough bits, walked until it falls inside the shard), so no task holds a shard.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.words import mix
 from tracewell.session import fresh_dir
 
-BLOCK_ROWS = 65_536  # a block of a shard, the unit of the second permutation, has this many rows at most
+BLOCK_ROWS = 65_536  # slots of a shard that are laid out together
+ROUNDS = 8  # of the second permutation
 
 
 def _rng(*key: int) -> np.random.Generator:
@@ -72,6 +77,24 @@ def matrix_row(counts: np.ndarray, columns: np.ndarray, part: int, seed: int) ->
     return mine, sent
 
 
+def permuted(at: np.ndarray, size: int, key: int) -> np.ndarray:
+    """Where a permutation of range(size), chosen by ``key``, sends the numbers ``at``."""
+    half = max(1, -(-max(size - 1, 1).bit_length() // 2))
+    low = np.uint64((1 << half) - 1)
+    keys = np.random.SeedSequence([key, size]).generate_state(ROUNDS, np.uint64)
+    out = at.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        x = out[todo]
+        left, right = x >> np.uint64(half), x & low
+        for k in keys:
+            left, right = right, left ^ (mix(right + k) & low)
+        out[todo] = (left << np.uint64(half)) | right
+        # At most four times as many numbers have these bits; those outside go on until they fall inside.
+        todo = todo[out[todo] >= np.uint64(size)]
+    return out.astype(np.int64)
+
+
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
     """Sizes at most one apart, larger ones first."""
     return np.array([rows // shards + (k < rows % shards) for k in range(shards)], np.int64)
@@ -96,15 +119,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 7, block_rows:
     sizes = placed.groupBy("part").count().orderBy("part").collect()  # one row for each file
     counts = np.array([r["count"] for r in sizes], np.int64)
     limits = shard_sizes(int(counts.sum()), shards)
-    shard_of, columns = [], []
-    for k, size in enumerate(limits.tolist()):
-        blocks = max(1, -(-size // block_rows))
-        columns += shard_sizes(size, blocks).tolist()
-        shard_of += [k] * blocks
-    shard_of, columns = np.array(shard_of, np.int32), np.array(columns, np.int64)
-    first = np.concatenate([[0], np.cumsum(columns)])[:-1]
-    first -= first[np.searchsorted(shard_of, shard_of)]  # slot at which a block begins in its shard
-    plan = spark.sparkContext.broadcast(({r["part"]: i for i, r in enumerate(sizes)}, counts, columns))
+    plan = spark.sparkContext.broadcast(({r["part"]: i for i, r in enumerate(sizes)}, counts, limits))
     tail = len(names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,34 +132,22 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 7, block_rows:
             return _rng(seed, 2, k).permutation(int(rows[k])), np.cumsum(row), row, sent
 
         for batch in batches:
-            block, at = np.empty(len(batch), np.int32), np.empty(len(batch), np.int64)
+            shard, slot = np.empty(len(batch), np.int32), np.empty(len(batch), np.int64)
             parts = batch.column(tail).dictionary_encode()
             which, place = parts.indices.to_numpy(), batch.column(tail + 1).to_numpy()
             for k, name in enumerate(parts.dictionary.to_pylist()):
                 mine = np.flatnonzero(which == k)
                 order, ends, row, sent = part_plan(name)
                 drawn = order[place[mine]]
-                block[mine] = np.searchsorted(ends, drawn, "right")
-                at[mine] = sent[block[mine]] + drawn - (ends - row)[block[mine]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:tail], pa.array(block), pa.array(at)], names=[*batch.schema.names[:tail], "block", "at"])
-
-    def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = plan.value[2]
-
-        @lru_cache(maxsize=4)
-        def order(k: int) -> np.ndarray:
-            return _rng(seed, 3, k).permutation(int(wanted[k]))
-
-        for batch in batches:
-            block, at = batch.column(tail).to_numpy(), batch.column(tail + 1).to_numpy()
-            slot = np.empty(len(batch), np.int64)
-            for k in np.unique(block):
-                mine = np.flatnonzero(block == k)
-                slot[mine] = first[k] + order(int(k))[at[mine]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:tail], pa.array(shard_of[block]), pa.array(slot)], names=[*batch.schema.names[:tail], "shard", "slot"])
+                shard[mine] = np.searchsorted(ends, drawn, "right")
+                slot[mine] = sent[shard[mine]] + drawn - (ends - row)[shard[mine]]
+            for k in np.unique(shard):
+                mine = np.flatnonzero(shard == k)
+                slot[mine] = permuted(slot[mine], int(wanted[k]), seed * 1_000_003 + int(k))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:tail], pa.array(shard), pa.array(slot)], names=[*batch.schema.names[:tail], "shard", "slot"])
 
     own = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kept.schema.fields))
-    dealt = placed.mapInArrow(deal, f"{own}, block int, at long")
-    moved = dealt.repartition("block").sortWithinPartitions("block", "at")
-    out = moved.mapInArrow(permute, f"{own}, shard int, slot long").sortWithinPartitions("shard", "slot")
+    dealt = placed.mapInArrow(deal, f"{own}, shard int, slot long")
+    # Blocks are the unit of the exchange: a shard of any size spreads over tasks.
+    out = dealt.repartition("shard", F.floor(F.col("slot") / block_rows)).sortWithinPartitions("shard", "slot")
     return out.withColumnsRenamed({v: k for k, v in names.items()})
