@@ -5,7 +5,7 @@ import random
 import pytest
 from build import access, txns
 
-from tracewell.operators import links
+from tracewell.operators import links, structuring
 
 
 @pytest.mark.parametrize("limit", [None, 0])
@@ -19,3 +19,19 @@ def test_pairs_are_counted_without_being_formed(spark, tuned, limit):
     want = links.temporal_link(a, t, 240).count()
     assert links.count_pairs(a, t, 240).head().n == want > 100
     assert links.count_pairs(a.limit(0), t, 240).head().n == 0
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_bursts_longer_than_the_buffer_are_counted_whole(spark, tuned, limit):
+    rng = random.Random(6)
+    rows = [{"account_id": rng.choice(["busy"] * 4 + ["b"]), "transaction_id": f"T{k:03d}", "timestamp": f"2026-01-01 {rng.randrange(4):02d}:{rng.randrange(0, 60, 3):02d}:00", "amount": rng.choice([20000.5, 49999.99, 50000.0, None])} for k in range(150)]
+    t = txns(spark, *rows, {"transaction_id": "N", "account_id": None, "timestamp": "2026-01-01 00:00:00"})
+    if limit is not None:
+        tuned(singleTaskBytes=limit)
+    got = {r.transaction_id: r for r in structuring.burst_totals(t, 7200).collect()}
+    at = lambda r: int(r["timestamp"][11:13]) * 60 + int(r["timestamp"][14:16])
+    assert len(got) == 150 and max(r.n_below for r in got.values()) > 20
+    for r in rows:
+        near = [x["amount"] for x in rows if x["account_id"] == r["account_id"] and 0 <= at(r) - at(x) <= 120 and x["amount"] is not None and x["amount"] < 50000]
+        assert (got[r["transaction_id"]].n_below, round(got[r["transaction_id"]].sum_below, 2)) == (len(near), round(sum(near), 2))
+        assert got[r["transaction_id"]].matched == (len(near) >= 3 and sum(near) >= 75000)

@@ -9,7 +9,7 @@ from tracewell import constants as C
 from tracewell.functions import columns as X
 from tracewell.functions import text
 from tracewell.operators import history as H
-from tracewell.operators.ordering import null_safe_join, spread_running
+from tracewell.operators.ordering import null_safe_join, running, spread_running
 from tracewell.operators.skew import Blocks, numbered, ordered_blocks, split_by_heat
 from tracewell.operators.stats import group_stats
 from tracewell.session import checkpointed
@@ -108,6 +108,26 @@ def burst_rule(df: DataFrame, window_s: float = C.BURST_WINDOW_SECONDS, n: int =
         "rule_matched": (F.col("_tally.n") >= min_n) & (F.col("_tally.s") >= limit * factor)}).drop("_buffer", "_tally"))
 
 
+def burst_totals(df: DataFrame, window_s: float = C.BURST_WINDOW_SECONDS, limit: float = C.REPORTING_LIMIT, min_n: int = C.BURST_MIN_ROWS,
+                 factor: float = C.BURST_FACTOR) -> DataFrame:
+    """(id, n_below, sum_below, matched): the burst rule over all rows of the window, however many; rows of the same instant count.
+
+    Running totals in time order, so a busy account spreads over tasks: what has come by a row's time less what had by its
+    window's start. Sums are decimals, so that differences are exact. Rows without account or time have no totals.
+    """
+    unique, w = H.order_of(df)[1], int(window_s * 1e6)
+    us, below = X.micros("timestamp"), F.col("amount") < limit
+    money, zero = F.when(below, F.col("amount").cast("decimal(38,6)")), F.lit(0).cast("decimal(38,6)")
+    rows = df.where(F.col(KEY).isNotNull() & F.col("timestamp").isNotNull())
+    part = lambda at, step, c, m, sign: rows.select(KEY, at.alias("_at"), F.lit(step).alias("_step"), F.col(unique).alias("_id"), c.alias("_c"), m.alias("_m"), F.lit(sign).alias("_sign"))
+    none = F.lit(0).cast("long")
+    came = part(us, 1, F.when(below, 1).otherwise(0).cast("long"), F.coalesce(money, zero), 0)
+    every = came.unionByName(part(us, 2, none, zero, 1)).unionByName(part(us - w, 0, none, zero, -1))
+    totals = running(every, [KEY], ["_at", "_step", "_id"], {"_n": ("sum", F.col("_c")), "_sum": ("sum", F.col("_m"))}).where(F.col("_sign") != 0)
+    out = totals.groupBy(F.col("_id").alias(unique)).agg(F.sum(F.col("_n") * F.col("_sign")).alias("n_below"), F.sum(F.col("_sum") * F.col("_sign")).cast("double").alias("sum_below"))
+    return out.withColumn("matched", (F.col("n_below") >= min_n) & (F.col("sum_below") >= limit * factor))
+
+
 def burst_result(df: DataFrame, score: str | None = None, threshold: float = C.BURST_SCORE_THRESHOLD,
                  window_s: float = C.BURST_WINDOW_SECONDS, **rule) -> DataFrame:
     """Detector result: rule or model confidence, cluster rows, total and evidence text."""

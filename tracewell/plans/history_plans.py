@@ -310,3 +310,12 @@ def role_drivers(spark, d):
 @query("label_codes", f"select distinct account_type, {_rank('account_type')} from access_events", "a")
 def label_codes(spark, d):
     return R.label_codes(access(spark, d), "account_type")
+
+
+@query("structuring_totals", f"""select transaction_id, count(*) filter (where amount < 50000) over b as n_below, coalesce(round(sum(amount) filter (where amount < 50000) over b, 2), 0) as sum_below,
+  (count(*) filter (where amount < 50000) over b >= 3 and coalesce(sum(amount) filter (where amount < 50000) over b, 0) >= 75000)::int as rule_matched from transactions
+  window b as (partition by account_id order by timestamp range between interval {BURST_HOURS} hours preceding and current row)""", "t")
+def structuring_totals(spark, d):
+    """The burst rule over whole windows: no limit on the rows it looks back to."""
+    rows = B.burst_totals(txns(spark, d), BURST_S)
+    return rows.select("transaction_id", "n_below", r("sum_below", 2), F.col("matched").cast("int").alias("rule_matched"))

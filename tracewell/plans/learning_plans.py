@@ -14,13 +14,14 @@ from tracewell.operators import links as L
 from tracewell.operators import ml as M
 from tracewell.operators import nets as N
 from tracewell.operators import profile as P
+from tracewell.operators import risk as K
 from tracewell.operators import roles as R
 from tracewell.operators import structuring as B
 from tracewell.operators.forest import IsolationForest
 from tracewell.operators.risk import top_scores
 from tracewell.operators.stats import keep_active
 from tracewell.plans.history_plans import BURST_S, LABEL, W
-from tracewell.plans.link_plans import PAIRS
+from tracewell.plans.link_plans import ASOF, PAIRS
 from tracewell.plans.registry import access, ledger, query, r, txns, us
 from tracewell.session import checkpointed, fresh_dir
 from tracewell.sources.readers import scored_types
@@ -237,6 +238,28 @@ def sequence_clf(spark, d):
     return scored.select("transaction_id", "split", "is_structuring", "burst_probability")
 
 
+def _fitted_ensemble(spark, d):
+    """Pairs with the isolation forest's link score and the role networks' error, both fitted on earlier time, joined and weighed."""
+    rows = checkpointed(M.time_split(_link_rows(spark, d).withColumn("timestamp", F.col("txn_ts"))))
+    clean = (F.col("is_fraud_pair") == 0) & (F.col("split") == "train")
+    scaled = checkpointed(M.scale(rows, C.LINK_FEATURES, fit=rows.where(clean)))
+    forest = IsolationForest([f"{c}_scaled" for c in C.LINK_FEATURES]).fit(scaled.where(clean), ["transaction_id", "access_id"])
+    links = L.link_score(forest.score(scaled), "forest_score").select("transaction_id", "access_id", "role", "split", "is_fraud_pair", "link_score")
+    roles = _role_net(spark, d).select(F.col("event_id").alias("access_id"), "role_error")
+    return K.joint_ensemble(links.join(roles, "access_id"))
+
+
+@query("fitted_ensemble", f"""select split, count(*) as n_pairs, sum(fraud)::bigint as n_positive, true as in_range from (
+  select greatest(is_suspicious, is_fraud) as fraud, case when row_number() over (order by txn_ts, transaction_id) <= floor(0.8::double * count(*) over ()) then 'train' else 'test' end as split from asof_pairs) group by split""", "at", ASOF)
+def fitted_ensemble(spark, d):
+    """The ensemble over fitted scores, by split: every pair has a score in [0, 1], and the confusion adds up to the pairs."""
+    rows = checkpointed(_fitted_ensemble(spark, d))
+    table = V.confusion(rows, "is_fraud_pair", "predicted_fraud", ["split"])
+    good = rows.groupBy("split").agg(F.bool_and(F.col("ensemble_score").between(0, 1)).alias("in_range"))
+    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    return table.join(good, "split").select("split", n.alias("n_pairs"), (F.col("tp") + F.col("fn")).alias("n_positive"), "in_range")
+
+
 SEQUENCE = 20
 SPLIT_ROWS = f"""{LABEL}, emitted as (select * from (select *, row_number() over ({W}) - 1 as i, count(*) over (partition by account_id) as n from labelled) where is_structuring = 1 or i % 2 = 0 or i = n - 1),
 strata as (select account_id, row_number() over (partition by s order by md5('42:' || account_id), account_id) as k, count(*) over (partition by s) as m from (select account_id, max(is_structuring) as s from emitted group by account_id)),
