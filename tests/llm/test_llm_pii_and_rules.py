@@ -104,3 +104,88 @@ def test_the_threshold_is_a_quantile_of_trusted_texts_outside_the_model(spark):
     assert all(r.kept == (not r.base_failed and r.ratio >= limit) for r in out.values())
     assert sum(out[i].kept for i, _, y in rows if y == 1 and not out[i].base_failed) >= 590
     assert not any(out[i].kept for i, _, y in rows if y == 0)
+
+
+def _plain_em(patterns, rounds):
+    """The label model in plain Python: patterns are (kind, votes, n)."""
+    from math import log, exp
+
+    share = {k: {n: {y: {v: 0.6 if v == (1 if y else -1) else 0.3 if v == 0 else 0.1 for v in pii.VOTES} for y in (0, 1)} for n in pii.LABELERS} for k in pii.KINDS}
+    prior = {k: 0.7 for k in pii.KINDS}
+
+    def real(k, votes):
+        odds = log(prior[k] / (1 - prior[k])) + sum(log(share[k][n][1][v] / share[k][n][0][v]) for n, v in zip(pii.LABELERS, votes))
+        return 1 / (1 + exp(-odds))
+
+    for _ in range(rounds):
+        q = [real(k, votes) for k, votes, _ in patterns]
+        count = {(k, n, v, y): 0.0 for k in pii.KINDS for n in pii.LABELERS for v in pii.VOTES for y in (0, 1)}
+        size = {(k, y): 0.0 for k in pii.KINDS for y in (0, 1)}
+        for (k, votes, n_rows), p in zip(patterns, q):
+            for y, w in ((1, p * n_rows), (0, (1 - p) * n_rows)):
+                size[k, y] += w
+                for n, v in zip(pii.LABELERS, votes):
+                    count[k, n, v, y] += w
+        for n in pii.LABELERS:
+            for y in (0, 1):
+                pooled = {v: sum(count[k, n, v, y] for k in pii.KINDS) + (3.0 if v == (1 if y else -1) else 1.0) for v in pii.VOTES}
+                total = sum(pooled.values())
+                for k in pii.KINDS:
+                    own = {v: count[k, n, v, y] + pii.POOLED * pooled[v] / total for v in pii.VOTES}
+                    share[k][n][y] = {v: x / sum(own.values()) for v, x in own.items()}
+        prior = {k: min(max((size[k, 1] + 2) / (size[k, 1] + size[k, 0] + 3), 0.01), 0.99) for k in pii.KINDS}
+    return {(k, votes): real(k, votes) for k, votes, _ in patterns}, prior
+
+
+def test_label_model_equals_plain_em_and_tells_kinds_apart(spark):
+    """For cards the first labeler is right nine times of ten, for keys it is a coin; the others are right eight times of ten."""
+    rng = random.Random(21)
+    rows = {}
+    for kind, right in (("card", 0.9), ("secret", 0.5)):
+        for _ in range(4000):
+            y = rng.random() < 0.5
+            votes = tuple((1 if (rng.random() < (right if k == 0 else 0.8)) == y else -1) if rng.random() < 0.9 else 0 for k in range(5))
+            rows[kind, votes] = rows.get((kind, votes), 0) + 1
+    rows["iban", (1, 0, 1, -1, 0)] = 2
+    patterns = [(k, v, n) for (k, v), n in rows.items()]
+    df = spark.createDataFrame([(k, *v, n) for k, v, n in patterns], "kind string, " + ", ".join(f"{n} int" for n in pii.LABELERS) + ", n long")
+    judged, model = pii.estimate(df, 6)
+    want, prior = _plain_em(patterns, 6)
+    got = {(r.kind, tuple(r[n] for n in pii.LABELERS)): r.real for r in judged.collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 1e-9
+    assert all(abs(model["prior"][k] - prior[k]) < 1e-9 for k in pii.KINDS)
+    first = pii.LABELERS[0]
+    lift = lambda k: model["shares"][k][first][1][1] / model["shares"][k][first][0][1]
+    assert lift("card") > 4 > 1.5 > lift("secret") > 0.6
+
+
+def test_planted_data_is_found_and_look_alikes_are_left_alone(spark):
+    """Recall and precision of what the method adds, by kind: planted with a word before it, beside numbers that only look alike."""
+    rng = random.Random(22)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows, planted = [], []
+    for k in range(240):
+        kind, text = [("phone", f"call me: ({digits(3)}) 555-{digits(4)}"), ("ssn", f"her ssn is 123-45-{digits(4)}"), ("secret", f'token = "{hexes(40)}"'), (None, f"commit {hexes(40)}"), (None, f"version {digits(1)}.{digits(2)}, order {digits(8)}"), (None, f"page {digits(3)}, figure {digits(2)}")][k % 6]
+        rows.append((k, f"some words before {text} and some after"))
+        planted.append(kind)
+    out = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = {k: [s for s in r.spans if s not in r.base] for k, r in out.items()}
+    for kind in ("phone", "ssn", "secret"):
+        mine = [k for k in range(240) if planted[k] == kind]
+        assert sum(any(s.kind == kind for s in added[k]) for k in mine) >= 0.95 * len(mine), kind
+    assert sum(bool(added[k]) for k in range(240) if planted[k] is None) <= 2
+
+
+def test_added_spans_that_overlap_or_repeat(spark):
+    """Added spans never overlap base ones; two added spans of different kinds may overlap each other, and none stands twice."""
+    text = 'token = "password=hunter2hunter2hunter2" call (415) 555-2671 or +1 (415) 555-2671, mail jo (at) example (dot) com and jo@example.com'
+    rows = [(k, f"{text} {k}") for k in range(40)] + [(1, f"{text} 1"), (None, text)]
+    out = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 42
+    for r in out:
+        new = [s for s in r.spans if s not in r.base]
+        assert all(s.end <= b.start or b.end <= s.start for s in new for b in r.base)
+        assert len({(s.kind, s.start, s.end) for s in r.spans}) == len(r.spans)
+    same = [[(s.kind, s.start, s.end) for s in r.spans] for r in out if r.doc_id == 1]
+    assert len(same) == 2 and same[0] == same[1]

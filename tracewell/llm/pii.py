@@ -30,6 +30,7 @@ REPORTED = {"local_phone": "phone", "spelt_email": "email"}
 ORDER = ["email", "ip", "card", "phone", "ssn", "iban", "secret"]
 ROUNDS, THRESHOLD = 12, 0.5
 LABELERS = ["shape", "words", "known", "edges", "plain"]
+VOTES, POOLED = (-1, 0, 1), 20.0
 _RUN = 512  # matches whose places are summed together
 
 # Leftmost matches of the base rules. Look-behinds and possessive groups change no match; they keep long runs of letters or digits
@@ -166,41 +167,55 @@ def candidates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
-    """EM over (kind, votes, n): ``patterns`` with the probability ``real``, and the labelers' vote shares given real and not.
+    """EM over (kind, votes, n): ``patterns`` with the probability ``real``, and by kind the prior and each labeler's vote shares
+    given real and not.
 
-    A labeler's votes depend only on whether the candidate is real. Each round is one aggregate of the pattern table.
+    A labeler's votes depend on the kind and on whether the candidate is real: a checksum says much of a card, a digit among
+    letters little of a key. A kind's shares lean on those of all kinds together with the weight of ``POOLED`` candidates, so rare
+    kinds have reliabilities too. Each round is one aggregate of the pattern table, a row for each kind.
     """
     # Start: a labeler mostly votes for what is real, and against what isn't.
-    shares = {n: {y: {v: (0.6 if v == (1 if y else -1) else 0.3 if v == 0 else 0.1) for v in (-1, 0, 1)} for y in (0, 1)} for n in LABELERS}
+    begin = {y: {v: (0.6 if v == (1 if y else -1) else 0.3 if v == 0 else 0.1) for v in VOTES} for y in (0, 1)}
+    shares = {k: {n: begin for n in LABELERS} for k in KINDS}
     prior = dict.fromkeys(KINDS, 0.7)
 
     def real() -> Column:
-        odds = F.lit(0.0)
-        for k, p in prior.items():
-            odds = odds + F.when(F.col("kind") == k, log(p / (1 - p))).otherwise(0.0)
-        for n in LABELERS:
-            for v in (-1, 0, 1):
-                odds = odds + F.when(F.col(n) == v, log(shares[n][1][v] / shares[n][0][v])).otherwise(0.0)
+        odds = F.lit(None).cast("double")
+        for k in reversed(KINDS):
+            mine = F.lit(log(prior[k] / (1 - prior[k])))
+            for n in LABELERS:
+                said = F.lit(0.0)
+                for v in VOTES:
+                    said = F.when(F.col(n) == v, log(shares[k][n][1][v] / shares[k][n][0][v])).otherwise(said)
+                mine = mine + said
+            odds = F.when(F.col("kind") == k, mine).otherwise(odds)
         return 1 / (1 + F.exp(-odds))
 
+    def normal(counts: dict) -> dict:
+        return {v: x / sum(counts.values()) for v, x in counts.items()}
+
     for _ in range(rounds):
         q, n_ = F.col("real"), F.col("n")
-        sums = [F.sum(F.when(F.col(n) == v, n_ * (q if y else 1 - q))).alias(f"{n}_{v + 1}_{y}") for n in LABELERS for v in (-1, 0, 1) for y in (0, 1)]
-        sums += [F.sum(F.when(F.col("kind") == k, n_ * (q if y else 1 - q))).alias(f"{k}_{y}") for k in KINDS for y in (0, 1)]
-        row = patterns.withColumn("real", real()).agg(*sums).first()
+        sums = [F.sum(F.when(F.col(n) == v, n_ * (q if y else 1 - q)).otherwise(0.0)).alias(f"{n}_{v + 1}_{y}") for n in LABELERS for v in VOTES for y in (0, 1)]
+        rows = {r["kind"]: r for r in patterns.withColumn("real", real()).groupBy("kind").agg(F.sum(n_ * q).alias("yes"), F.sum(n_ * (1 - q)).alias("no"), *sums).collect()}
+        held = lambda k, n, v, y: rows[k][f"{n}_{v + 1}_{y}"] if k in rows else 0.0
+        shares = {k: {} for k in KINDS}
         for n in LABELERS:
-            for y in (0, 1):
-                each = {v: (row[f"{n}_{v + 1}_{y}"] or 0.0) + (3.0 if v == (1 if y else -1) else 1.0) for v in (-1, 0, 1)}
-                shares[n][y] = {v: x / sum(each.values()) for v, x in each.items()}
+            pooled = {y: normal({v: sum(held(k, n, v, y) for k in KINDS) + (3.0 if v == (1 if y else -1) else 1.0) for v in VOTES}) for y in (0, 1)}
+            for k in KINDS:
+                shares[k][n] = {y: normal({v: held(k, n, v, y) + POOLED * pooled[y][v] for v in VOTES}) for y in (0, 1)}
         for k in KINDS:
-            a, b = (row[f"{k}_1"] or 0.0) + 2, (row[f"{k}_0"] or 0.0) + 1
+            a, b = (rows[k]["yes"] if k in rows else 0.0) + 2, (rows[k]["no"] if k in rows else 0.0) + 1
             prior[k] = min(max(a / (a + b), 0.01), 0.99)
     return patterns.withColumn("real", real()), {"prior": prior, "shares": shares}
 
 
 def _features() -> dict[str, Column]:
+    """Kind, votes, votes by kind and a class of length."""
+    votes = [(n, v, x) for n in LABELERS for v, x in (("for", 1), ("against", -1))]
     out = {f"is_{k}": (F.col("kind") == k).cast("double") for k in KINDS}
-    out |= {f"{n}_{v}": (F.col(n) == x).cast("double") for n in LABELERS for v, x in (("for", 1), ("against", -1))}
+    out |= {f"{n}_{v}": (F.col(n) == x).cast("double") for n, v, x in votes}
+    out |= {f"{k}_{n}_{v}": ((F.col("kind") == k) & (F.col(n) == x)).cast("double") for k in KINDS for n, v, x in votes}
     return out | {f"size_{s}": (F.col("size") == s).cast("double") for s in range(3)}
 
 
@@ -216,13 +231,15 @@ def train(judged: DataFrame) -> dict[str, float]:
 
 def _probability(c: Column, weights: dict[str, float]) -> Column:
     total = F.lit(weights[""])
-    for k in KINDS:
-        total = total + F.when(c["kind"] == k, weights[f"is_{k}"]).otherwise(0.0)
-    for n in LABELERS:
-        total = total + F.when(c[n] == 1, weights[f"{n}_for"]).when(c[n] == -1, weights[f"{n}_against"]).otherwise(0.0)
     for s in range(3):
         total = total + F.when(c["size"] == s, weights[f"size_{s}"]).otherwise(0.0)
-    return 1 / (1 + F.exp(-total))
+    by_kind = F.lit(0.0)
+    for k in reversed(KINDS):
+        mine = F.lit(weights[f"is_{k}"])
+        for n in LABELERS:
+            mine = mine + F.when(c[n] == 1, weights[f"{n}_for"] + weights[f"{k}_{n}_for"]).when(c[n] == -1, weights[f"{n}_against"] + weights[f"{k}_{n}_against"]).otherwise(0.0)
+        by_kind = F.when(c["kind"] == k, mine).otherwise(by_kind)
+    return 1 / (1 + F.exp(-(total + by_kind)))
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
