@@ -274,11 +274,6 @@ def sequence_net(spark, d):
     return scored.groupBy("split").agg(F.count("*").alias("n_rows"), F.sum("is_structuring").alias("n_positive"), F.bool_and(good).alias("scored"))
 
 
-@query("sequence_net_scores")
-def sequence_net_scores(spark, d):
-    return _sequence_net(spark, d).select("transaction_id", "split", "is_structuring", "burst_probability")
-
-
 def _sequence_net(spark, d):
     rows = checkpointed(M.account_split(_sequences(spark, d), "is_structuring").select("transaction_id", "split", "is_structuring", "sequence"))
     weights, _ = N.fit_sequences(rows.where(F.col("split") == "train"), "sequence", "is_structuring", SEQUENCE, len(C.BURST_FEATURES), steps=30)
@@ -297,11 +292,6 @@ def role_net(spark, d):
     return table.join(errors, "role").select("role", n.alias("n_rows"), (F.col("tp") + F.col("fn")).alias("n_positive"), (n > 0).alias("adds_up"), "has_errors")
 
 
-@query("role_net_scores")
-def role_net_scores(spark, d):
-    return _role_net(spark, d).select("event_id", "role", "split", "role_error", "role_threshold", "role_anomalous")
-
-
 def _role_net(spark, d):
     rows = checkpointed(M.time_split(R.role_features(access(spark, d)).na.fill(0.0)))
     early = rows.where(F.col("split") == "train")
