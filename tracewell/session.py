@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -70,6 +71,12 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what finished steps have left: their shuffle files stay on the executors' disks until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives the loss of an executor."""
     spark = df.sparkSession
