@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.words import Words, runs, space_separated
-from tracewell.session import checkpointed, fresh_dir
+from tracewell.session import checkpointed, fresh_dir, release
 
 SHINGLE, PERCENT = 5, 80
 CHUNK_TOKENS, RANGE_TOKENS = 1 << 19, 1 << 20  # tokens of a chunk and of a token range, about
@@ -293,7 +293,9 @@ def assigned(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int
     found = candidates(docs, text, total, shingle, percent, chunk_tokens, range_tokens)
     found.write.parquet(folder)
     found = spark.read.schema(found.schema).parquet(folder)
+    release(spark)  # the tokens' shuffles are the largest of all
     _, known = links_between_sets(found, percent, orders)
+    release(spark)
     return signed.join(known, "node", "left").select("doc_id", "node", "n", F.coalesce("root", "node").alias("root"))
 
 
