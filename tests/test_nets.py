@@ -106,3 +106,27 @@ def test_group_networks_learn_their_own_groups(spark):
 def test_missing_numbers_count_as_zero():
     batch = pa.RecordBatch.from_pydict({"s": pa.array([[[1.0, None], [2.0, 3.0]]], pa.list_(pa.list_(pa.float64())))})
     assert nets._sequences(batch, "s", 2).tolist() == [[[1.0, 0.0], [2.0, 3.0]]]
+
+
+def test_a_step_goes_over_the_rows_once(spark):
+    df = _order_dependent(spark, 60)
+    w = nets.sequence_weights(2, 4, 3)
+    seen = spark.sparkContext.accumulator(0)
+
+    def loss(v, batch):
+        seen.add(len(batch))
+        return nets.sequence_gradient(v, nets._sequences(batch, "sequence", 8), nets._column(batch, "label"), np.ones(len(batch)))
+
+    assert nets.gradient(df.repartition(5, "id"), w, loss)[1] == 60
+    assert seen.value == 60
+
+
+def test_long_batches_are_cut_and_summed():
+    rng = np.random.default_rng(0)
+    w = nets.sequence_weights(3, hidden=5, attention=4, seed=1)
+    n = 2 * nets.ROWS + 3
+    x, y, rw = rng.normal(size=(n, 6, 3)), (rng.random(n) < 0.5).astype(float), rng.uniform(0.5, 2, n)
+    value, weight, grads = nets.sequence_gradient(w, x, y, rw)
+    parts = [nets.sequence_gradient(w, x[k : k + 50], y[k : k + 50], rw[k : k + 50]) for k in range(0, n, 50)]
+    assert np.isclose(value, sum(p[0] for p in parts)) and np.isclose(weight, rw.sum())
+    assert all(np.allclose(grads[k], sum(p[2][k] for p in parts)) for k in w)

@@ -23,6 +23,7 @@ Loss = Callable[[Weights, pa.RecordBatch], tuple[float, float, Weights]]  # sum
 
 PARTIAL = "part int, loss double, n double, gradient binary"
 FLAT = 64  # partial sums that go to the driver as they are; more are added up on the way
+ROWS = 512  # sequences gone over at a time
 
 
 def packed(weights: Weights) -> np.ndarray:
@@ -69,7 +70,8 @@ def gradient(rows: DataFrame, weights: Weights, loss: Loss) -> tuple[float, floa
     if tasks > FLAT:
         groups = int(np.sqrt(tasks))
         parts = parts.repartition(groups, F.pmod("part", F.lit(groups))).sortWithinPartitions("part").mapInArrow(merge, PARTIAL)
-    value, n, total = _added(iter(parts.orderBy("part").toArrow().to_batches()))
+    # Put in order here: an ORDER BY would work out the gradients twice, once to find its ranges.
+    value, n, total = _added(iter(parts.toArrow().sort_by("part").to_batches()))
     shared.unpersist()
     return value, n, unpacked(total if total is not None else np.zeros(packed(weights).size), weights)
 
@@ -112,52 +114,73 @@ def sequence_weights(features: int, hidden: int = 16, attention: int = 8, seed:
 
 def sequence_forward(w: Weights, x: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Score of each sequence of ``x`` (row, step, feature): states of all steps, weighted by what attention makes of them."""
-    n, steps, _ = x.shape
+    n, steps, features = x.shape
     size = len(w["out"])
-    h, c, seen = np.zeros((n, size)), np.zeros((n, size)), []
+    # What the inputs add to the gates is one product for all steps; rows of a step lie together.
+    given = np.ascontiguousarray(x.transpose(1, 0, 2))
+    z = (given.reshape(-1, features) @ w["gates"][:features] + w["gates"][-1]).reshape(steps, n, 4 * size)
+    h, c = np.zeros((steps + 1, n, size)), np.zeros((steps + 1, n, size))
+    gates, squashed = np.empty((steps, n, 4 * size)), np.empty((steps, n, size))
     for t in range(steps):
-        full = np.concatenate([x[:, t], h, np.ones((n, 1))], 1)
-        z = full @ w["gates"]
-        i, f, o, g = _sigmoid(z[:, :size]), _sigmoid(z[:, size : 2 * size]), _sigmoid(z[:, 2 * size : 3 * size]), np.tanh(z[:, 3 * size :])
-        before, c = c, f * c + i * g
-        h = o * np.tanh(c)
-        seen.append((full, i, f, o, g, before, c, h))
-    states = np.stack([s[-1] for s in seen], 1)
+        now = z[t] + h[t] @ w["gates"][features:-1]
+        now[:, : 3 * size] *= 0.5
+        np.tanh(now, out=gates[t])
+        gates[t, :, : 3 * size] += 1
+        gates[t, :, : 3 * size] *= 0.5  # a sigmoid
+        i, f, o, g = (gates[t, :, k * size : (k + 1) * size] for k in range(4))
+        np.add(f * c[t], i * g, out=c[t + 1])
+        np.tanh(c[t + 1], out=squashed[t])
+        np.multiply(o, squashed[t], out=h[t + 1])
+    states = np.ascontiguousarray(h[1:].transpose(1, 0, 2))
     looked = np.tanh(states @ w["look"])
     e = looked @ w["ask"]
     alpha = np.exp(e - e.max(1, keepdims=True))
     alpha /= alpha.sum(1, keepdims=True)
     pooled = (alpha[:, :, None] * states).sum(1)
-    return pooled @ w["out"] + w["bias"][0], (seen, states, looked, alpha, pooled)
+    return pooled @ w["out"] + w["bias"][0], ((given, gates, squashed, h, c), states, looked, alpha, pooled)
 
 
 def sequence_gradient(w: Weights, x: np.ndarray, y: np.ndarray, row_weight: np.ndarray) -> tuple[float, float, Weights]:
-    """Weighted log loss and its gradients, back through attention and time."""
-    score, (seen, states, looked, alpha, pooled) = sequence_forward(w, x)
+    """Weighted log loss and its gradients, back through attention and time; ``ROWS`` sequences at a time, so that they stay in the cache."""
+    value, total = 0.0, {k: np.zeros_like(v) for k, v in w.items()}
+    for at in range(0, len(x), ROWS):
+        some = slice(at, at + ROWS)
+        one, grads = _sequence_gradient(w, x[some], y[some], row_weight[some])
+        value += one
+        for k, v in grads.items():
+            total[k] += v
+    return value, float(row_weight.sum()), total
+
+
+def _sequence_gradient(w: Weights, x: np.ndarray, y: np.ndarray, row_weight: np.ndarray) -> tuple[float, Weights]:
+    score, ((given, gates, squashed, h, c), states, looked, alpha, pooled) = sequence_forward(w, x)
     value = float((row_weight * (np.logaddexp(0, score) - y * score)).sum())
     d = row_weight * (_sigmoid(score) - y)
-    size, steps = len(w["out"]), x.shape[1]
+    (n, steps, features), size = x.shape, len(w["out"])
     out = {"out": pooled.T @ d, "bias": np.array([d.sum()])}
     d_pooled = d[:, None] * w["out"]
-    d_alpha = (states * d_pooled[:, None, :]).sum(2)
+    d_alpha = (states @ d_pooled[:, :, None])[:, :, 0]
     d_e = alpha * (d_alpha - (alpha * d_alpha).sum(1, keepdims=True))
     d_looked = d_e[:, :, None] * w["ask"] * (1 - looked * looked)
-    out["ask"] = (looked * d_e[:, :, None]).sum((0, 1))
-    out["look"] = np.einsum("nth,nta->ha", states, d_looked)
-    d_states = alpha[:, :, None] * d_pooled[:, None, :] + d_looked @ w["look"].T
-    gates, dh_next, dc_next = np.zeros_like(w["gates"]), 0.0, 0.0
-    features = x.shape[2]
+    out["ask"] = looked.reshape(-1, looked.shape[2]).T @ d_e.ravel()
+    out["look"] = states.reshape(-1, size).T @ d_looked.reshape(-1, looked.shape[2])
+    d_states = np.ascontiguousarray((alpha[:, :, None] * d_pooled[:, None, :] + d_looked @ w["look"].T).transpose(1, 0, 2))
+    dz, dh_next, dc_next = np.empty_like(gates), 0.0, 0.0
+    back = np.ascontiguousarray(w["gates"][features:-1].T)
     for t in range(steps - 1, -1, -1):
-        full, i, f, o, g, before, c, _ = seen[t]
-        dh = d_states[:, t] + dh_next
-        th = np.tanh(c)
+        i, f, o, g = (gates[t, :, k * size : (k + 1) * size] for k in range(4))
+        di, df, do, dg = (dz[t, :, k * size : (k + 1) * size] for k in range(4))
+        dh = d_states[t] + dh_next
+        th = squashed[t]
         dc = dh * o * (1 - th * th) + dc_next
-        dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - g * g)], 1)
-        gates += full.T @ dz
-        back = dz @ w["gates"].T
-        dh_next, dc_next = back[:, features : features + size], dc * f
-    out["gates"] = gates
-    return value, float(row_weight.sum()), out
+        np.multiply(dc * g, i * (1 - i), out=di)
+        np.multiply(dc * c[t], f * (1 - f), out=df)
+        np.multiply(dh * th, o * (1 - o), out=do)
+        np.multiply(dc * i, 1 - g * g, out=dg)
+        dh_next, dc_next = dz[t] @ back, dc * f
+    flat = dz.reshape(-1, 4 * size)
+    out["gates"] = np.concatenate([given.reshape(-1, features).T @ flat, h[:-1].reshape(-1, size).T @ flat, flat.sum(0)[None]])
+    return value, out
 
 
 def _sequences(batch: pa.RecordBatch, name: str, length: int) -> np.ndarray:
