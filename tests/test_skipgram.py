@@ -1,6 +1,7 @@
 """Skip-gram vectors: gradients, rotation over blocks, repeatability, planted communities."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,30 @@ def test_no_task_holds_more_than_two_blocks(spark, monkeypatch):
     sizes = [r["count"] for r in vecs.groupBy(F.pmod(F.xxhash64(F.lit(42), "id"), F.lit(blocks))).count().collect()]
     assert sum(sizes) == 12 and max(sizes) < 12
     assert S.embed(walks.limit(0), dim=4).count() == 0
+
+
+def test_steps_do_not_depend_on_how_rows_come(monkeypatch):
+    """Pairs reach a task as columns, cut anywhere and behind other tasks' rows: the steps are the same."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(S, "BATCH_PAIRS", 7)
+    vec = lambda: rng.normal(size=3).tolist()
+    rows = []
+    for task in (0, 1, 4):
+        rows += [{"task": task, "kind": k, "id": f"n{i}", "other": None, "count": 1.0 + i, "vec": vec(), "history": 0.0} for k in (0, 1) for i in range(6)]
+        rows += [{"task": task, "kind": 2, "id": f"n{rng.integers(6)}", "other": f"n{rng.integers(6)}", "count": float(rng.random()), "vec": None, "history": None} for _ in range(40)]
+    schema = pa.schema([("task", pa.int32()), ("kind", pa.int32()), ("id", pa.string()), ("other", pa.string()), ("count", pa.float64()), ("vec", pa.list_(pa.float64())), ("history", pa.float64())])
+
+    def run(size):
+        batches = pa.Table.from_pylist(rows, schema=schema).to_batches(max_chunksize=size)
+        return {(task, k): (b.ids.to_pylist(), b.vec, b.history) for task, parts in S._by_task(iter(batches)) for k, b in S._trained(parts, (1, task), 2, 0.1)}
+
+    whole, cut = run(1000), run(5)
+    assert list(whole) == list(cut) == [(t, k) for t in (0, 1, 4) for k in (0, 1)]
+    for key, (ids, v, h) in whole.items():
+        assert ids == cut[key][0] and np.array_equal(v, cut[key][1]) and np.array_equal(h, cut[key][2])
+
+
+def test_rows_go_by_task_kind_and_turn(spark):
+    rows = [(task, kind, turn) for task in (0, 1, 900_000) for kind in (0, 1, 2) for turn in ((0,) if kind < 2 else (-(2**63), -5, -1, 0, 3, 2**40, 2**63 - 1))]
+    df = spark.createDataFrame(rows[::-1], "task int, kind int, turn long").coalesce(1)
+    assert [tuple(r) for r in df.sortWithinPartitions(S._place(), "turn").collect()] == sorted(rows)
