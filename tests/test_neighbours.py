@@ -112,3 +112,26 @@ def test_buckets_grow_until_enough_is_found(spark):
             got.setdefault(r.id, []).append(r.similarity)
         recalls.append(_recall(got, x, range(0, 600, 5), floor=0.0))
     assert recalls[0] < 0.7 and recalls[1] >= 0.88, recalls
+
+
+def test_buckets_are_gone_over_in_tiles_and_asked_rows_only(spark, monkeypatch):
+    """Small tiles and blocks give what whole buckets give; pairs that go on are a few of each bucket, not all of its pairs."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 12))
+    x[250:] = x[:50]
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, vec array<double>").repartition(3)
+    get = lambda **o: {(r.id, r.rank): (r.other, round(r.similarity, 9)) for r in N.similar_all(df, 5, min_sim=0.0, limit=512, **o).collect()}
+    whole = get()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 300, 20):
+        sims = unit @ unit[i]
+        sims[i] = -2
+        best = sorted(range(300), key=lambda w: (-round(sims[w], 9), w))[:5]
+        assert [whole[i, k][0] for k in range(1, 6)] == best
+    monkeypatch.setattr(N, "TILE", 20)
+    monkeypatch.setattr(N, "BLOCK", 7)
+    assert get() == whole
+    assert get(asked="id % 20 = 0") == {key: v for key, v in whole.items() if key[0] % 20 == 0}
+    points = spark.createDataFrame([(k, r.tolist(), [k]) for k, r in enumerate(unit)], "v long, u array<double>, ids array<long>")
+    placed = points.select("v", F.lit(0).alias("table"), F.lit("").alias("bucket"))
+    assert N._judged(placed, points, points, 2, -1.0).groupBy("v").count().agg(F.max("count")).head()[0] < 300
