@@ -1,5 +1,7 @@
 import random
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import brute
@@ -106,6 +108,21 @@ def test_the_threshold_is_a_quantile_of_trusted_texts_outside_the_model(spark):
     assert not any(out[i].kept for i, _, y in rows if y == 0)
 
 
+def test_every_trusted_document_counts(spark, monkeypatch):
+    """However many there are: the model's counts are of all of them, the threshold is an exact quantile of all that are held."""
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d e f g h i j "), F.concat_ws(" ", F.array_repeat(F.lit("z"), (F.col("id") % 5).cast("int")))).alias("text"))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") < 24_000, 1).otherwise(0).alias("quality"))
+    monkeypatch.setattr(quality_rules, "IDS", 9_000)
+    parts = quality_rules.trusted(docs, labels, "doc_id")
+    good = reduce(DataFrame.unionByName, parts)
+    assert len(parts) == 3 and good.count() == good.distinct().count() == 24_000
+    ratios = quality_rules.log_ratios(docs, good, "text", 64)
+    scores = sorted(r[0] for r in quality_rules.hashed(good, "text").select(quality_rules.ratio(ratios)).collect())
+    for q in (0.00001, 0.001, 0.3):
+        found = quality_rules.threshold_of(good, ratios, "text", q)
+        assert found == scores[max(0, -int(-q * 24_000 // 1) - 1)]
+
+
 def _plain_em(patterns, rounds):
     """The label model in plain Python: patterns are (kind, votes, n)."""
     from math import log, exp
