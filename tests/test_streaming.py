@@ -91,3 +91,27 @@ def test_rows_behind_the_watermark_are_dropped_and_counted(spark):
     query = counts.writeStream.format("noop").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{run}/c").start()
     query.awaitTermination()
     assert runs.late_rows(query) == 1 and astream.isStreaming
+
+
+def test_accounts_of_one_key_do_not_see_each_other(spark, monkeypatch):
+    """All accounts in one key, three batches, a NULL account and NULL amounts: each row sees its own account's window only; the key is
+    called once for a batch, not once for each account."""
+    monkeypatch.setattr(detectors, "PARTS", 1)
+    rows = [{"account_id": None if a == 3 else f"A{a}", "timestamp": f"2026-01-01 00:{m:02d}:{a:02d}", "transaction_id": f"T{a:02d}{m:02d}", "amount": None if (a + m) % 5 == 0 else 20000.0 + a + 0.01 * m}
+            for a in range(12) for m in range(0, 50, 3)]
+    t = txns(spark, *rows)
+    run = runs.new_run(spark)
+    for i in range(3):
+        t.where(f"minute(timestamp) % 3 = 0 and floor(minute(timestamp) / 17) = {i}").coalesce(1).write.parquet(f"{run}/in/p={i}")
+    stream = readers.read_event_stream(spark, f"{run}/in/p=*", t.schema, "parquet", max_files=1)
+    out = runs.drain(detectors.stream_bursts(stream, window_s=900, keep=4), run)
+    cols = ["transaction_id", "cluster_count", "aggregate_amount", "rule_matched"]
+    assert ids(out, *cols) == ids(structuring.burst_rule(t, 900, n=4), *cols)
+    assert out.select("transaction_id").count() == len(rows)
+
+
+def test_sums_of_stretches_stand_alone():
+    import numpy as np
+
+    values = np.array([1e16, 1.0, 2.0, 3.0])
+    assert detectors._sums(values, np.array([1, 1, 3, 0]), np.array([2, 4, 4, 1])).tolist() == [1.0, 6.0, 3.0, 1e16]

@@ -24,8 +24,8 @@ EVENTS = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
 ])
 
-# Rows kept per key by the burst buffer, and what it emits.
-BURST_BUFFER = _s(transaction_id="s", timestamp="t", amount="d")
+# Rows kept by the burst buffer, many in one entry, and what it emits.
+BURST_BUFFER = "account_id array<string>, transaction_id array<string>, at array<long>, amount array<double>"
 BURST_OUT = _s(account_id="s", slice="l", transaction_id="s", timestamp="t", amount="d",
                cluster_count="i", aggregate_amount="d").add("rule_matched", T.BooleanType())
 

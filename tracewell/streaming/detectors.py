@@ -31,11 +31,25 @@ def stream_link(access: DataFrame, txns: DataFrame, window_s: float = C.LINK_WIN
     return L.with_gap(pairs)
 
 
+PARTS = 512  # keys that the accounts of a time slice are dealt to
+CHUNK = 10_000  # rows of one entry of a state list
+
+
+def _sums(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Sums of ``values[lo:hi]``, each of its own values only: a running total over many accounts would lose digits."""
+    cut = np.empty(2 * len(lo), np.int64)
+    cut[0::2], cut[1::2] = lo, hi
+    return np.add.reduceat(np.append(values, 0.0), cut)[0::2] if len(lo) else np.zeros(0)
+
+
 class BurstBuffer(StatefulProcessor):
-    """Keeps a key's last rows and applies the burst rule to every row that arrives."""
+    """Keeps the last rows of a part of the accounts and applies the burst rule to every row that arrives.
+
+    A part's accounts are gone over together, in arrays, so that a batch costs what its rows cost and not a call for each account.
+    """
 
     def __init__(self, window_s: float, keep: int, limit: float, min_n: int, floor: float, slice_s: float):
-        self.window = pd.Timedelta(seconds=window_s)
+        self.window = int(window_s * 1e6)
         self.keep, self.limit, self.min_n, self.floor = keep, limit, min_n, floor
         self.slice_s = slice_s
 
@@ -44,28 +58,30 @@ class BurstBuffer(StatefulProcessor):
         self.rows = handle.getListState("rows", schemas.BURST_BUFFER)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = ["transaction_id", "timestamp", "amount"]
-        fresh = pd.concat(list(rows))[[*names, "repeat"]].assign(new=True)
+        names = ["account_id", "transaction_id", "at", "amount"]
+        fresh = pd.concat(list(rows))
+        fresh = fresh.assign(at=fresh["timestamp"].to_numpy("datetime64[us]").astype(np.int64), new=~fresh["repeat"].astype(bool))[[*names, "new"]]
         if self.rows.exists():
-            seen = pd.DataFrame(list(self.rows.get()), columns=names).assign(repeat=True, new=False)
-            fresh = pd.concat([seen, fresh]) if len(seen) else fresh
-        every = fresh.sort_values(["timestamp", "transaction_id"], kind="stable").reset_index(drop=True)
-        ts = every["timestamp"].to_numpy("datetime64[ns]")
+            seen = [pd.DataFrame(dict(zip(names, chunk, strict=True))).assign(new=False) for chunk in self.rows.get()]
+            fresh = pd.concat([*seen, fresh])
+        every = fresh.assign(who=pd.factorize(fresh["account_id"], use_na_sentinel=False)[0]).sort_values(["who", "at", "transaction_id"], kind="stable").reset_index(drop=True)
+        at, who = every["at"].to_numpy(np.int64), every["who"].to_numpy(np.int64)
         small = every["amount"].to_numpy(float)
         below = small < self.limit  # false where there is no amount
         count = np.concatenate([[0], np.cumsum(below)])
-        total = np.concatenate([[0.0], np.cumsum(np.where(below, small, 0.0))])
-        # A row sees its window, as far back as its last ``keep`` rows, whenever it arrives.
-        ask = np.flatnonzero((every["new"] & ~every["repeat"].astype(bool)).to_numpy())
-        lo = np.maximum(np.searchsorted(ts, ts[ask] - self.window.to_timedelta64(), "left"), ask + 1 - self.keep)
-        n, amount = count[ask + 1] - count[lo], np.round(total[ask + 1] - total[lo], 2)
+        ask = np.flatnonzero(every["new"].to_numpy(bool))
+        # A row sees its window, as far back as its account's last ``keep`` rows, whenever it arrives. Times lie near the slice, so
+        # account and time make one number.
+        low = at.min() - self.window
+        place = who * (at.max() - low + 1) + (at - low)
+        lo = np.maximum(np.searchsorted(place, place[ask] - self.window, "left"), np.maximum(ask + 1 - self.keep, np.searchsorted(who, who[ask], "left")))
+        n, amount = count[ask + 1] - count[lo], np.round(_sums(np.where(below, small, 0.0), lo, ask + 1), 2)
         mine = every.iloc[ask]
-        out = pd.DataFrame({"a": key[0], "s": int(key[1]), "t": mine["transaction_id"], "ts": mine["timestamp"], "m": mine["amount"], "n": n, "sum": amount,
+        out = pd.DataFrame({"a": mine["account_id"], "s": int(key[1]), "t": mine["transaction_id"], "ts": pd.to_datetime(at[ask], unit="us"), "m": mine["amount"], "n": n, "sum": amount,
                             "hit": (n >= self.min_n) & (amount >= self.floor)})
         # Rows that a later one may still look back to: it can't be older than the watermark.
-        oldest = pd.Timestamp(max(timerValues.getCurrentWatermarkInMs(), 0), unit="ms") - self.window
-        kept = every[every["timestamp"] >= oldest]
-        self.rows.put([(i, pd.Timestamp(t).to_pydatetime(), float(a)) for i, t, a in kept[names].itertuples(index=False)])
+        kept = every[at >= max(timerValues.getCurrentWatermarkInMs(), 0) * 1000 - self.window]
+        self.rows.put([tuple(chunk[c].tolist() for c in names) for chunk in (kept.iloc[k : k + CHUNK] for k in range(0, len(kept), CHUNK))])
         # The slice's state goes once the watermark is a slice past its end.
         self.handle.registerTimer(int((key[1] + 2) * self.slice_s * 1000))
         out.columns = schemas.BURST_OUT.names
@@ -83,17 +99,17 @@ def stream_bursts(txns: DataFrame, window_s: float = C.BURST_WINDOW_SECONDS, kee
                   min_n: int = C.BURST_MIN_ROWS, factor: float = C.BURST_FACTOR, delay: str = "24 hours") -> DataFrame:
     """Burst rule on every transaction of a stream.
 
-    State is kept per account and time slice; rows near a slice's end are sent to the next slice too, so a
+    State is kept by part of the accounts and time slice; rows near a slice's end are sent to the next slice too, so a
     busy account's history is spread over keys and old slices expire whole.
     """
     slice_s = 10 * window_s
     slot = lambda us: F.floor(us / F.lit(int(slice_s * 1e6))).cast("long")
     us = X.micros("timestamp")
     fed = (txns.withWatermark("timestamp", delay)
-           .select("account_id", "transaction_id", "timestamp", "amount", slot(us).alias("_home"),
+           .select(F.pmod(F.xxhash64("account_id"), F.lit(PARTS)).cast("int").alias("part"), "account_id", "transaction_id", "timestamp", "amount", slot(us).alias("_home"),
                    F.explode(F.sequence(slot(us), slot(us + int(window_s * 1e6)))).alias("slice"))
            .withColumn("repeat", F.col("slice") != F.col("_home")).drop("_home"))
-    return fed.groupBy("account_id", "slice").transformWithStateInPandas(
+    return fed.groupBy("part", "slice").transformWithStateInPandas(
         statefulProcessor=BurstBuffer(window_s, keep, limit, min_n, limit * factor, slice_s),
         outputStructType=schemas.BURST_OUT, outputMode="append", timeMode="EventTime")
 
