@@ -81,3 +81,23 @@ def test_state_does_not_grow_with_the_stream(spark):
     assert query.exception() is None
     sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert len(sizes) >= 10 and max(sizes[-3:]) <= max(sizes[1:4]) + 15
+
+
+def test_accounts_of_one_group_keep_apart(spark, monkeypatch):
+    """All accounts under one key: pairs are of one account only, also where events of two have the same time, and a group is called
+    once for a batch however many accounts it has."""
+    monkeypatch.setattr(retention, "GROUPS", 1)
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(retention.AccountMemory):
+        def handleInputRows(self, key, rows, timerValues):
+            calls.add(1)
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(retention, "AccountMemory", Counted)
+    accounts = [f"a{k}" for k in range(30)]
+    batches = [[(a, "access", f"x{a}", BASE) for a in accounts], [(a, "transaction", f"y{a}", BASE + 60 * 10**6) for a in accounts]]
+    run = runs.new_run(spark)
+    got = runs.drain(retention.remembered_pairs(_stream(spark, run, batches), 240.0, 86400.0, "30 days"), run)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((a, f"y{a}", f"x{a}", 60.0, True) for a in accounts)
+    assert 2 <= calls.value <= 4
