@@ -1,4 +1,6 @@
+import glob
 import random
+import time
 
 import pytest
 
@@ -62,3 +64,18 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(bytes([k]), bytes([k + 1])) for k in range(40)] + [(b"\xf0", b"\xf1")], "a binary, b binary")
     got = {bytes(r.node): bytes(r.root) for r in jaccard_join.components(links).collect()}
     assert len(got) == 43 and {v for k, v in got.items() if k[0] < 100} == {b"\x00"} and got[b"\xf1"] == b"\xf0"
+
+
+def test_no_shuffle_files_are_left_on_the_executors_disks(spark):
+    folders = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for folder in folders for f in glob.glob(f"{folder}/**/shuffle_*", recursive=True)}
+    docs = spark.createDataFrame(_docs(random.Random(13)), "doc_id long, text string")
+    before, setting = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    jaccard_join.assigned(docs, "doc_id", "text", 5, 80, 3, 1 << 19, 1 << 20)
+    left = files() - before
+    deadline = time.time() + 10  # removal goes by message
+    while left and time.time() < deadline:
+        time.sleep(0.2)
+        left &= files()
+    assert not left and spark.conf.get(setting) == was

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.words import Words, runs, space_separated
-from tracewell.session import checkpointed, fresh_dir, release
+from tracewell.session import checkpointed, fresh_dir, without_leftovers
 
 SHINGLE, PERCENT = 5, 80
 CHUNK_TOKENS, RANGE_TOKENS = 1 << 19, 1 << 20  # tokens of a chunk and of a token range, about
@@ -284,18 +284,17 @@ def links_between_sets(found: DataFrame, percent: int, orders: int) -> tuple[Dat
 def assigned(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, orders: int, chunk_tokens: int, range_tokens: int) -> DataFrame:
     """(doc_id, node, n, root): each document's set and the component that the set belongs to."""
     spark: SparkSession = docs.sparkSession
-    folder = fresh_dir(spark, "jaccard-sets")
-    signed = signatures(docs, doc_id, text, shingle)
-    signed.write.parquet(folder)
-    signed = spark.read.schema(signed.schema).parquet(folder)
-    total = signed.agg(F.sum("n")).first()[0] or 0
-    folder = fresh_dir(spark, "jaccard-candidates")
-    found = candidates(docs, text, total, shingle, percent, chunk_tokens, range_tokens)
-    found.write.parquet(folder)
-    found = spark.read.schema(found.schema).parquet(folder)
-    release(spark)  # the tokens' shuffles are the largest of all
-    _, known = links_between_sets(found, percent, orders)
-    release(spark)
+    with without_leftovers(spark):
+        folder = fresh_dir(spark, "jaccard-sets")
+        signed = signatures(docs, doc_id, text, shingle)
+        signed.write.parquet(folder)
+        signed = spark.read.schema(signed.schema).parquet(folder)
+        total = signed.agg(F.sum("n")).first()[0] or 0
+        folder = fresh_dir(spark, "jaccard-candidates")
+        found = candidates(docs, text, total, shingle, percent, chunk_tokens, range_tokens)
+        found.write.parquet(folder)
+        found = spark.read.schema(found.schema).parquet(folder)
+        _, known = links_between_sets(found, percent, orders)
     return signed.join(known, "node", "left").select("doc_id", "node", "n", F.coalesce("root", "node").alias("root"))
 
 
