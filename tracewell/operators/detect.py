@@ -60,13 +60,10 @@ def with_rings(rows: DataFrame, first: DataFrame, ring_scenario: str | None = No
     return rows.withColumns({n: F.when(due, F.col(n)) for n in RING})
 
 
-def transaction_signals(access: DataFrame, txns: DataFrame, rings: DataFrame | None = None,
-                        mode: str = "past", burst_window_s: float = C.BURST_WINDOW_SECONDS, ring_scenario: str | None = None) -> DataFrame:
-    """Link, burst, profile and ring columns of every transaction, as known when it arrived.
-
-    Rings count for every transaction of a member once they are closed; ``ring_scenario`` keeps them to transactions with
-    that label.
-    """
+def matched_payments(access: DataFrame, txns: DataFrame, rings: DataFrame | None = None,
+                     mode: str = "past", burst_window_s: float = C.BURST_WINDOW_SECONDS, ring_scenario: str | None = None) -> DataFrame:
+    """Every transaction with its burst and profile numbers, its account's first ring and the access it links to: what
+    :func:`paired_payments` writes texts from."""
     w = int(C.LINK_WINDOW_SECONDS * 1e6)
     rows = B.burst_rule(txns, burst_window_s)
     rows = P.profile_score(P.profile_features(rows, mode))
@@ -79,7 +76,17 @@ def transaction_signals(access: DataFrame, txns: DataFrame, rings: DataFrame | N
     acc = L.as_accesses(access).select(*PARTNER)
     rows = L.match_within(L.as_payments(rows.select(*keep)), acc, "account_id", "txn_ts", "access_ts", "access_id", -w, 0, "first", "_m")
     fields = [c for c in acc.columns if c != "account_id"]
-    return paired_payments(rows.select("*", *[F.col(f"_m.{c}").alias(c) for c in fields]).withColumn("_linked", F.col("_m").isNotNull()), burst_window_s)
+    return rows.select("*", *[F.col(f"_m.{c}").alias(c) for c in fields], F.col("_m").isNotNull().alias("_linked")).drop("_m")
+
+
+def transaction_signals(access: DataFrame, txns: DataFrame, rings: DataFrame | None = None,
+                        mode: str = "past", burst_window_s: float = C.BURST_WINDOW_SECONDS, ring_scenario: str | None = None) -> DataFrame:
+    """Link, burst, profile and ring columns of every transaction, as known when it arrived.
+
+    Rings count for every transaction of a member once they are closed; ``ring_scenario`` keeps them to transactions with
+    that label.
+    """
+    return paired_payments(matched_payments(access, txns, rings, mode, burst_window_s, ring_scenario), burst_window_s)
 
 
 def paired_payments(rows: DataFrame, burst_window_s: float = C.BURST_WINDOW_SECONDS) -> DataFrame:
@@ -99,13 +106,21 @@ def paired_accesses(rows: DataFrame) -> DataFrame:
             .withColumn("raw_event", F.when(F.col("_linked"), _raw_txn("txn_ts", "txn_branch")).otherwise(raw_access)))
 
 
-def access_signals(access: DataFrame, txns: DataFrame) -> DataFrame:
-    """Accesses that link to an earlier transaction, or that are unusual for their role."""
+def matched_accesses(access: DataFrame, txns: DataFrame) -> DataFrame:
+    """Accesses that are unusual for their role or link to an earlier transaction, beside that: what :func:`paired_accesses`
+    writes texts from."""
     w = int(C.LINK_WINDOW_SECONDS * 1e6)
     pay = L.as_payments(txns)
     rows = L.match_within(L.as_accesses(access), pay, "account_id", "access_ts", "txn_ts", "transaction_id", -w, -1, "first", "_m")
     fields = [c for c in pay.columns if c != "account_id"]
-    return paired_accesses(rows.select("*", *[F.col(f"_m.{c}").alias(c) for c in fields]).withColumn("_linked", F.col("_m").isNotNull()))
+    rows = rows.select("*", *[F.col(f"_m.{c}").alias(c) for c in fields], F.col("_m").isNotNull().alias("_linked")).drop("_m")
+    unusual = R.role_score(rows.withColumn("timestamp", F.col("access_ts")))
+    return unusual.where(F.col("_linked") | F.col("role_anomalous")).select(*rows.columns)
+
+
+def access_signals(access: DataFrame, txns: DataFrame) -> DataFrame:
+    """Accesses that link to an earlier transaction, or that are unusual for their role."""
+    return paired_accesses(matched_accesses(access, txns))
 
 
 def all_signals(access: DataFrame, txns: DataFrame, rings: DataFrame | None = None, mode: str = "past",
@@ -132,3 +147,10 @@ def alerts(access: DataFrame, txns: DataFrame, rings: DataFrame | None = None, u
     """Alerts of every event; rings are found first unless given."""
     rings = find_rings(access, txns) if rings is None else rings
     return K.build_alerts(all_signals(access, txns, rings, mode, burst_window_s), ["source", "source_id"], use_label_flag)
+
+
+def alerts_of_matched(payments: DataFrame, accesses: DataFrame, use_label_flag: bool = True, burst_window_s: float = C.BURST_WINDOW_SECONDS) -> DataFrame:
+    """The same alerts from the rows of :func:`matched_payments` and :func:`matched_accesses`; only the columns that a query asks for are
+    worked out."""
+    rows = both_kinds(paired_payments(payments, burst_window_s), paired_accesses(accesses))
+    return K.build_alerts(rows, ["source", "source_id"], use_label_flag)

@@ -77,13 +77,6 @@ def label_bursts(df: DataFrame, window_s: float = C.BURST_WINDOW_SECONDS, limit:
     return plain if hot is None else plain.unionByName(_swept_label(hot, *args))
 
 
-def recent_rows(b: Blocks, n: int, hours: float, cols: list[str]) -> Column:
-    """The account's last ``n`` rows including this one, not older than ``hours``, oldest first."""
-    rows = F.collect_list(F.struct(*cols)).over(b.over.rowsBetween(-(n - 1), 0))
-    since = F.col("timestamp") - F.expr(f"interval {int(hours * 3600)} seconds")
-    return F.filter(rows, lambda r: r["timestamp"] >= since)
-
-
 def burst_rule(df: DataFrame, window_s: float = C.BURST_WINDOW_SECONDS, n: int = C.BUFFER_ROWS,
                limit: float = C.REPORTING_LIMIT, min_n: int = C.BURST_MIN_ROWS, factor: float = C.BURST_FACTOR) -> DataFrame:
     """Serving rule per transaction: rows under the limit among the recent buffer's window ending here.
@@ -93,19 +86,23 @@ def burst_rule(df: DataFrame, window_s: float = C.BURST_WINDOW_SECONDS, n: int =
     unique = H.order_of(df)[1]
     b = ordered_blocks(df, [KEY], H.order_of(df), reach=n - 1)
     kind = "transaction_type" if "transaction_type" in df.columns else "type"
-    buffer = b.df.withColumn("_buffer", recent_rows(b, n, C.BUFFER_HOURS, [unique, "timestamp", "amount", kind]))
-    since = F.col("timestamp") - F.expr(f"interval {int(window_s)} seconds")
-    inside = lambda r: (r["timestamp"] >= since) & (r["amount"] < limit)
-    # One pass over the buffer for count and sum; the row list is built only where a query asks for it.
-    tally = F.aggregate("_buffer", F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s")), lambda acc, r: F.struct(
-        (acc["n"] + F.when(inside(r), 1).otherwise(0)).alias("n"), (acc["s"] + F.when(inside(r), r["amount"]).otherwise(0.0)).alias("s")))
-    rows = F.transform(F.filter("_buffer", inside), lambda r: F.struct(
+    frame = b.over.rowsBetween(-(n - 1), 0)
+    # Times are compared as numbers and totals read a list of their own: the rows' list, with its texts, is collected only where a query
+    # asks for it.
+    timed = b.df.withColumn("_us", X.micros("timestamp"))
+    buffer = timed.withColumns({"_rows": F.collect_list(F.struct("_us", unique, "timestamp", "amount", kind)).over(frame),
+                                "_numbers": F.collect_list(F.struct("_us", "amount")).over(frame)})
+    recent, since = F.col("_us") - int(C.BUFFER_HOURS * 3.6e9), F.col("_us") - int(window_s) * 1_000_000
+    inside = lambda r: (r["_us"] >= F.greatest(recent, since)) & (r["amount"] < limit)
+    total = F.aggregate("_below", F.lit(0.0), lambda s, r: s + r["amount"])
+    rows = F.transform(F.filter("_rows", inside), lambda r: F.struct(
         r[unique].cast("string").alias("transaction_id"), r["timestamp"].alias("timestamp"),
         r["amount"].alias("amount"), r[kind].alias("type")))
-    return (b.finish(buffer).withColumn("_tally", tally).withColumns({
-        "buffer_rows": F.size("_buffer"), "cluster_rows": rows, "cluster_count": F.col("_tally.n"),
-        "aggregate_amount": F.round("_tally.s", 2),
-        "rule_matched": (F.col("_tally.n") >= min_n) & (F.col("_tally.s") >= limit * factor)}).drop("_buffer", "_tally"))
+    below = b.finish(buffer).withColumn("_below", F.filter("_numbers", inside)).withColumn("_total", total)
+    return below.withColumns({
+        "buffer_rows": F.size(F.filter("_numbers", lambda r: r["_us"] >= recent)), "cluster_rows": rows, "cluster_count": F.size("_below"),
+        "aggregate_amount": F.round("_total", 2),
+        "rule_matched": (F.size("_below") >= min_n) & (F.col("_total") >= limit * factor)}).drop("_us", "_rows", "_numbers", "_below", "_total")
 
 
 def burst_totals(df: DataFrame, window_s: float = C.BURST_WINDOW_SECONDS, limit: float = C.REPORTING_LIMIT, min_n: int = C.BURST_MIN_ROWS,

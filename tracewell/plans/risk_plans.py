@@ -75,13 +75,16 @@ _STORED: dict[tuple[str, str], str] = {}
 
 
 def alerts(spark, d):
-    """The alert table, worked out and stored once for a session and table folder."""
+    """The alert table. Its numbers (each event beside its partner, with its ring) are worked out and stored once for a session and
+    table folder; a query writes the texts of the columns it reads."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _STORED:
         folder = fresh_dir(spark, "alerts")
-        D.alerts(access(spark, d), txns(spark, d), burst_window_s=BURST_S).write.parquet(folder)
+        a, t = access(spark, d), txns(spark, d)
+        D.matched_payments(a, t, D.find_rings(a, t), burst_window_s=BURST_S).write.parquet(f"{folder}/payments")
+        D.matched_accesses(a, t).write.parquet(f"{folder}/accesses")
         _STORED[key] = folder
-    return spark.read.parquet(_STORED[key])
+    return D.alerts_of_matched(*[spark.read.parquet(f"{_STORED[key]}/{kind}") for kind in ("payments", "accesses")], burst_window_s=BURST_S)
 
 
 @query("link_alerts", f"""select transaction_id, access_id, account_id, round(score, 4) as link_score, cast(format('{{:.1f}}', round(score, 4) * 0.35::double / 0.35::double * 100) as double) as composite_risk_score,
