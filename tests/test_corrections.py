@@ -4,7 +4,7 @@ from build import txns
 from pyspark.sql import functions as F
 
 from tracewell.operators import structuring
-from tracewell.streaming import corrections
+from tracewell.streaming import corrections, runs
 
 HOUR = 3600
 
@@ -65,3 +65,11 @@ def test_an_empty_batch_changes_nothing(spark, tmp_path):
     each(t, 1)
     each(t.limit(0), 2)
     assert _shown(corrections.current(corrections.stored(spark, f"{store}/log", corrections.LOG))) == _shown(structuring.burst_rule(t, 2 * HOUR))
+
+
+def test_a_slice_is_written_by_many_tasks_and_is_one_batch(spark, tmp_path):
+    rows = spark.range(400).select(F.col("id").cast("string").alias("transaction_id"), (F.col("id") % 3).alias("part"))
+    slices, seen = [rows.where(F.col("part") == i) for i in (0, 1, 5, 2)], {}  # the third is empty
+    runs.replay_slices(slices, str(tmp_path), lambda batch, k: seen.update({k: sorted(r[0] for r in batch.collect())}), "transaction_id")
+    assert seen == {k: sorted(r[0] for r in part.collect()) for k, part in enumerate(slices)}
+    assert len(list((tmp_path / "in" / "p=0").glob("*.parquet"))) > 1

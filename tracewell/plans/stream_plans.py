@@ -98,10 +98,8 @@ def _late_payments(spark, d, run):
     slow = F.conv(F.substring(F.md5(F.concat(F.lit("transaction"), "transaction_id").cast("binary")), 1, 8), 16, 10).cast("long") % 4 == 0
     part = (F.least(F.floor((us("timestamp", "c") - lo) * SLICES / (hi - lo + 1)), F.lit(SLICES - 1)) + slow.cast("int")).cast("int")
     dealt = rows.withColumn("_part", part)
-    for i in range(SLICES + 1):
-        dealt.where(F.col("_part") == i).drop("_part").coalesce(1).write.parquet(f"{run}/in/p={i}")
-    stream = readers.read_event_stream(spark, f"{run}/in/p=*", rows.schema, "parquet", max_files=1)
-    runs.drain_batches(stream, run, corrections.burst_log(spark, f"{run}/store", BURST_S, DELAY_S))
+    slices = [dealt.where(F.col("_part") == i).drop("_part") for i in range(SLICES + 1)]
+    runs.replay_slices(slices, run, corrections.burst_log(spark, f"{run}/store", BURST_S, DELAY_S), "transaction_id")
     return f"{run}/store"
 
 

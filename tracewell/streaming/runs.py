@@ -84,6 +84,15 @@ def replay(access: DataFrame, txns: DataFrame, run: str, each: Callable[[DataFra
         drain_batches(through(stream) if through else stream, run, each)
 
 
+def replay_slices(slices: list[DataFrame], run: str, each: Callable[[DataFrame, int], None], key: str) -> None:
+    """Feeds tables through a foreachBatch function, one batch of the same query each. A table is written by as many tasks as there are
+    cores, dealt by ``key``, right before its batch: a file for a batch would have to pass through one task."""
+    for i, rows in enumerate(slices):
+        spark = rows.sparkSession
+        rows.repartition(spark.sparkContext.defaultParallelism, key).write.parquet(f"{run}/in/p={i}")
+        drain_batches(readers.read_event_stream(spark, f"{run}/in/p=*", rows.schema, "parquet"), run, each)
+
+
 def split_topics(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Typed access and transaction rows of a tagged event table, batch or streaming."""
     topic = X.route_topic("topic")
