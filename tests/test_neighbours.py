@@ -135,3 +135,13 @@ def test_buckets_are_gone_over_in_tiles_and_asked_rows_only(spark, monkeypatch):
     points = spark.createDataFrame([(k, r.tolist(), [k]) for k, r in enumerate(unit)], "v long, u array<double>, ids array<long>")
     placed = points.select("v", F.lit(0).alias("table"), F.lit("").alias("bucket"))
     assert N._judged(placed, points, points, 2, -1.0).groupBy("v").count().agg(F.max("count")).head()[0] < 300
+
+
+def test_points_are_dealt_to_all_tasks_and_plain_distances_are_the_same(spark):
+    """Few bytes are much work here: the points must not end up in one task, nor the pairs they are asked for."""
+    points = spark.range(600).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"), F.array(*[F.sin(F.col("id") * (i + 1)) for i in range(3)]).alias("x"))
+    placed, summary = N.cells(points, "g", 5)
+    assert len({r[0] for r in placed.select(F.spark_partition_id()).collect()}) > 1
+    assert "BroadcastHashJoin" in placed.join(summary, "g")._jdf.queryExecution().executedPlan().toString()
+    pairs = N.candidates(placed, summary, "g", 5).select(N.distance(F.col("x"), F.col("other_x")).alias("a"), N.distance(F.col("x"), F.col("other_x"), 3).alias("b"))
+    assert pairs.where("a is distinct from b").count() == 0 and pairs.count() > 600
