@@ -106,3 +106,45 @@ def test_groups_with_one_kind_of_event_only():
         table = pd.concat(state.handleInputRows(0, iter([pd.DataFrame(mine)]), None))
         assert len(table) == len(mine) and list(table.columns) == list(A.OUT)
         assert (np.array(table["cluster_count"].notna()) == (kind == "transaction")).all()
+
+
+def test_tagged_lines_are_read_once_and_give_the_rows_of_both_kinds(spark, tmp_path):
+    from tracewell import schemas
+    from tracewell.streaming import runs
+
+    pay = '{"transaction_id":"T1","account_id":"A","amount":49000.25,"counterparty_id":"X","timestamp":"2024-01-01T00:00:01.000002Z","is_fraud":1}'
+    seen = '{"employee_id":"E","account_id":"A","timestamp":"2024-01-01T00:00:00.5Z","records_accessed":3}'
+    lines = [("transactions", pay, "T1"), ("access_logs", seen, "7"), ("access_events", seen, None), (None, pay, "T1"), ("alerts", pay, "T1"),
+             ("transactions", None, "T2"), ("transactions", "{broken", "T3"), ("access_events", "{broken", "8")]
+    path = str(tmp_path / "lines")
+    spark.createDataFrame(lines, "topic string, payload string, event_key string").write.json(path)
+    table = spark.read.schema(schemas.EVENT_LINES).json(path)
+    got, want = A.tagged_events(table), A.events(*runs.split_topics(table))
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want.schema]
+    key = lambda r: tuple(map(str, r))
+    some = lambda rows: sorted((tuple(r) for r in rows.where("account_id is not null and at is not null").collect()), key=key)
+    assert some(got) == some(want) and len(some(got)) == 4
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan json")
+    assert (scans(got), scans(want)) == (1, 2)
+
+
+def test_the_stream_of_alerts_reads_its_lines_once(spark, tmp_path, monkeypatch):
+    from tracewell.streaming import detectors, runs
+
+    seen = []
+    monkeypatch.setattr(A, "account_stream", lambda events, *_: seen.append(events) or events)
+    monkeypatch.setattr(runs, "replay", lambda *_, through: through(spark.createDataFrame([], "topic string, payload string, event_key string")))
+    spark.range(1).write.parquet(str(tmp_path / "alerts"))
+    detectors.stream_alerts(spark.range(0), spark.range(0), str(tmp_path))
+    assert "Union" not in seen[0]._jdf.queryExecution().analyzed().toString()
+
+
+def test_states_come_back_as_they_were_put():
+    rows = A._typed(pd.DataFrame({"account_id": ["a", None, "c"], "at": pd.array([2**62 + 1, None, 3], "Int64"), "amount": [0.1, np.nan, 3.0]}), A.RECENT)
+    state, whole = Held(), A._typed(pd.concat([rows] * 5000, ignore_index=True), A.RECENT)
+    A._write(state, A.RECENT, whole)
+    assert len(state.rows) == 2
+    pd.testing.assert_frame_equal(A._read(state, A.RECENT), whole)
+    left = rows[["account_id", "at"]]
+    stacked = A._stacked([rows, left], A.RECENT)
+    pd.testing.assert_frame_equal(stacked, A._typed(pd.concat([rows, left.assign(amount=np.nan)], ignore_index=True), A.RECENT))

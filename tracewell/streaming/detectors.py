@@ -198,5 +198,5 @@ def stream_alerts(access: DataFrame, txns: DataFrame, run: str, chunks: int = 4,
     """Replays both tables in ``chunks`` batches through the account state and reads their alerts back."""
     spark = access.sparkSession
     runs.replay(access, txns, run, alert_batch(spark, f"{run}/store", f"{run}/alerts", burst_window_s, use_label_flag), chunks,
-                through=lambda events: accounts.account_stream(accounts.events(*runs.split_topics(events)), burst_window_s))
+                through=lambda lines: accounts.account_stream(accounts.tagged_events(lines), burst_window_s))
     return spark.read.parquet(f"{run}/alerts")
