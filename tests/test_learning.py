@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from build import txns
@@ -165,3 +167,23 @@ def test_embedding_puts_ring_neighbours_together(spark):
 def test_cosine_edge_cases(spark):
     df = spark.createDataFrame([([1.0, 0.0], [2.0, 0.0]), ([1.0, 0.0], [-1.0, 0.0]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0, 1.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(E.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, -1.0, 0.0, 0.0]
+
+
+def test_pairs_of_walks_are_counted_from_both_ends_and_the_walks_read_once_for_the_factors(spark):
+    paths = [["a", "b", "a", None, "c", "a", "a"], [], None, ["z"], [None, None, "a", "b", "c", "d", "e", "f"]]
+    for window in (1, 3, 20):
+        want = Counter((p[i], p[j]) for p in paths if p for i in range(len(p)) for j in range(len(p)) if i != j and abs(i - j) <= window)
+        got = E.cooccurrence(spark.createDataFrame([(p,) for p in paths], "path array<string>"), window).collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.n for r in got} == want
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"n{k}", w, [f"n{(k + i * w) % 12}" for i in range(6)]) for k in range(12) for w in (1, 2)]
+    walks = spark.createDataFrame(rows, "start string, walk int, path array<string>").mapInArrow(seen, "start string, walk int, path array<string>")
+    vecs = E.embed(walks, dim=4).collect()
+    assert len(vecs) == 12 and all(len(v.vec) == 4 for v in vecs)
+    assert read.value == 2 * len(rows)  # once for the nodes' numbers, once for the pairs
