@@ -187,3 +187,21 @@ def test_pairs_of_walks_are_counted_from_both_ends_and_the_walks_read_once_for_t
     vecs = E.embed(walks, dim=4).collect()
     assert len(vecs) == 12 and all(len(v.vec) == 4 for v in vecs)
     assert read.value == 2 * len(rows)  # once for the nodes' numbers, once for the pairs
+
+
+def test_a_split_works_its_rows_out_once_when_they_are_stored(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(300).select(F.col("id").cast("string").alias("transaction_id"), F.timestamp_seconds("id").alias("timestamp"), F.col("id").alias("n"))
+    spark.conf.set("spark.tracewell.singleTaskBytes", "1")
+    try:
+        split = ml.time_split(rows.mapInArrow(seen, rows.schema), val_frac=0.8).groupBy("split").agg(F.count("*").alias("n"), F.max("n").alias("hi")).collect()
+    finally:
+        spark.conf.unset("spark.tracewell.singleTaskBytes")
+    assert {r.split: (r.n, r.hi) for r in split} == {"train": (192, 191), "val": (48, 239), "test": (60, 299)}
+    assert read.value <= 2 * 300  # for the cut points and for the rows, not once more for their number

@@ -51,7 +51,8 @@ def time_split(df: DataFrame, frac: float = 0.8, by: list[str] | None = None, va
     """Chronological split: the first share is ``train`` (its last part ``val`` if asked), the rest ``test``."""
     by = by or []
     placed = positions(df, by, order_of(df), "_at")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    # Counted on the placed rows, which are stored when they are many: ``df`` would be worked out again for its number of rows.
+    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     rows = null_safe_join(placed, sizes, by) if by else placed.withColumn("_n", sizes.select("_n").scalar())
     cut = F.floor(F.lit(frac) * F.col("_n"))
     name = F.when(F.col("_at") > cut, "test")

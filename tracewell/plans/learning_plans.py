@@ -302,8 +302,8 @@ def _role_net(spark, d):
 
 
 def _profiles(spark, d):
-    rows = keep_active(scored_types(ledger(spark, d)), "account_id", 2)
-    return P.profile_features(rows)
+    # Stored, as counts of heavy accounts, of heavy pairs and the windows all go over these rows.
+    return P.profile_features(checkpointed(keep_active(scored_types(ledger(spark, d)), "account_id", 2)))
 
 
 _FITTED: dict[tuple[str, str], str] = {}
