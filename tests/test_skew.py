@@ -174,3 +174,22 @@ def test_answers_do_not_depend_on_partition_count(spark, tables):
         seen.append((pairs, rings))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert seen[0] == seen[1]
+
+
+def test_quantiles_of_many_values_sort_only_those_near_them(spark, monkeypatch):
+    sorted_rows, running = [], stats.spread_running
+
+    def counted(df, *rest):
+        sorted_rows.append(df.count())
+        return running(df, *rest)
+
+    monkeypatch.setattr(stats, "spread_running", counted)
+    value = F.when(F.col("id") % 3 == 0, F.lit(0.0)).otherwise(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7.0 - 40_000.0)
+    rows = spark.range(30_000).select(F.when(F.col("id") % 2 == 0, "a").when(F.col("id") % 5 == 0, None).otherwise("b").alias("g"), value.alias("_v"))
+    probs = {"least": 0.0, "q25": 0.25, "q50": 0.5, "q99": 0.99, "most": 1.0}
+    for by in (["g"], []):
+        want = rows.groupBy(*by).agg(*[F.percentile("_v", F.lit(p)).alias(n) for n, p in probs.items()]).collect()
+        assert sorted(map(str, stats.spread_quantiles(rows, by, probs).collect())) == sorted(map(str, want))
+    assert max(sorted_rows) < 500
+    monkeypatch.setattr(stats, "FEW_GROUPS", 0)
+    assert sorted(map(str, stats.spread_quantiles(rows, ["g"], probs).collect())) == sorted(map(str, rows.groupBy("g").agg(*[F.percentile("_v", F.lit(p)).alias(n) for n, p in probs.items()]).collect()))

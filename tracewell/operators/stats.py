@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.ordering import null_safe_join, spread_running
-from tracewell.session import fits_one_task
+from tracewell.session import checkpointed, fits_one_task
 
 
 def group_stats(df: DataFrame, by: list[str], col: str) -> DataFrame:
@@ -103,12 +103,47 @@ def quantiles(df: DataFrame, by: list[str], col: str, probs: dict[str, float]) -
     return spread_quantiles(rows, by, probs)
 
 
+STRETCHES = 4096  # that a group's values are counted in
+FEW_GROUPS = 10_000  # whose bounds are broadcast
+
+
+def _near_quantiles(rows: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
+    """The rows that can be a wanted quantile, with the number of rows left out before them (``_skip``) and of the whole group (``_n``).
+
+    Values are counted in stretches between their group's least and greatest, which keep their order; rows of stretches that hold
+    no wanted position are left out. However many values there are, a task counts in a few thousand stretches a group.
+    """
+    v, inf = F.col("_v"), F.lit(float("inf"))
+    finite = F.when(F.abs("_v") < inf, v)
+    span = checkpointed(rows.groupBy(*by).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi")))
+    few = span.count() <= FEW_GROUPS  # a shuffle on a handful of groups would send all rows to as many tasks
+    if by:
+        wide = null_safe_join(rows, span, by, small=few)
+    else:
+        wide = rows.withColumn("_s", span.select(F.struct("*")).scalar()).select("_v", "_s.*")
+    # Halves: the distance of two values may be more than a double holds.
+    part = F.try_divide(v / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
+    inside = F.coalesce(F.least(F.floor(part * STRETCHES).cast("int"), F.lit(STRETCHES - 1)), F.lit(0))
+    at = F.when(F.isnan("_v"), STRETCHES + 1).when(v == inf, STRETCHES).when(v == -inf, -1).otherwise(inside)
+    cut = wide.select(*by, "_v", at.alias("_at"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # one row for each stretch of a group
+    upto = group.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    held = cut.groupBy(*by, "_at").agg(F.count(F.lit(1)).alias("_c"))
+    held = held.select("*", F.sum("_c").over(upto).alias("_to"), F.sum("_c").over(group).alias("_n"))
+    wanted = F.lit(False)
+    for p in probs.values():
+        place = F.lit(p) * (F.col("_n") - 1)
+        for x in (F.floor(place) + 1, F.ceil(place) + 1):
+            wanted = wanted | x.between(F.col("_to") - F.col("_c") + 1, F.col("_to"))
+    held = held.withColumn("_wanted", wanted).withColumn("_skip", F.sum(F.when(F.col("_wanted"), 0).otherwise(F.col("_c"))).over(upto))
+    return null_safe_join(cut, held.where("_wanted").select(*by, "_at", "_skip", "_n"), [*by, "_at"], small=few).drop("_at")
+
+
 def spread_quantiles(rows: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
-    """Quantiles of ``_v`` by position in a distributed sort."""
-    counted = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    """Quantiles of ``_v`` by position in a distributed sort of the rows near them."""
+    counted = _near_quantiles(rows, by, probs).groupBy(*by, "_v", "_skip", "_n").agg(F.count(F.lit(1)).alias("_c"))
     ends = spread_running(counted, by, ["_v"], {"_end": ("sum", F.col("_c"))})
-    totals = ends.groupBy(*by).agg(F.max("_end").alias("_n"))
-    placed = null_safe_join(ends, totals, by) if by else ends.withColumn("_n", totals.select("_n").scalar())
+    placed = ends.withColumn("_end", F.col("_end") + F.col("_skip"))
     picks = []
     for n, p in probs.items():
         at = F.lit(p) * (F.col("_n") - 1)
